@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality_rules
-from .common import table
+from pyspark.sql import functions as F
+
+from . import exact_dedup, html_text, language_id, packing, quality_rules, sstable, toxicity
+from .common import held_out, table
 
 
 def op3_quality_rules(spark, sf_dir):
@@ -15,10 +17,39 @@ def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op6_token_output(spark, sf_dir):
+    return sstable.tokens_through_files(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op8_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_html_extraction(spark, sf_dir):
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+def op10_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs)
+    return language_id.identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def queries():
     return {
         "op3_quality_rules": op3_quality_rules,
         "op4_exact_dedup": op4_exact_dedup,
+        "op6_token_output": op6_token_output,
+        "op7_toxicity": op7_toxicity,
+        "op8_best_fit_packing": op8_best_fit_packing,
+        "op9_html_extraction": op9_html_extraction,
+        "op10_language_id": op10_language_id,
     }
 
 
