@@ -114,3 +114,30 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     space = (data == 32) | ((data >= 9) & (data <= 13))
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
     return edge[0::2], edge[1::2]
+
+
+def word_hashes(texts_: list[str], segment: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts in order, and the number of words before each text and after the last.
+
+    Works in segments that end at white space, so memory stays bounded for any length of a text.
+    """
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts_]
+    data = np.frombuffer(b"\n".join([*raw, b""]), dtype=np.uint8)
+    ends = np.cumsum([len(r) + 1 for r in raw]) if raw else np.zeros(0, np.int64)
+    hashes, starts, at = [], [], 0
+    while at < len(data):
+        end = min(len(data), at + segment)
+        while end < len(data):  # up to the next white space
+            part = data[end : end + segment]
+            space = np.flatnonzero((part == 32) | ((part >= 9) & (part <= 13)))
+            if len(space):
+                end += int(space[0])
+                break
+            end += len(part)
+        part = data[at:end]
+        s, e = word_spans(part)
+        hashes.append(Rolling(part).spans(s, e))
+        starts.append(s + at)
+        at = end
+    starts_ = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+    return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.concatenate(([0], np.searchsorted(starts_, ends)))
