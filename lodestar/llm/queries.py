@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, language_id, packing, quality_rules, sstable, toxicity
+from . import exact_dedup, html_text, language_id, ngram_join, packing, quality_rules, sstable, toxicity
 from .common import held_out, table
 
 
@@ -17,6 +17,10 @@ def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op5_ngram_jaccard_join(spark, sf_dir):
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_token_output(spark, sf_dir):
     return sstable.tokens_through_files(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def queries():
     return {
         "op3_quality_rules": op3_quality_rules,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op6_token_output": op6_token_output,
         "op7_toxicity": op7_toxicity,
         "op8_best_fit_packing": op8_best_fit_packing,
