@@ -10,6 +10,16 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: White space next to white space, or at an end: there a single space is no safe place to cut.
 _UNSAFE = re.compile(r"\s\s|^\s|\s$")
+_OTHER_SPACE = "\n\t\r\v\f\x1c\x1d\x1e\x1f"
+#: A word, then ASCII punctuation (no apostrophe: contractions are units) up to its end.
+_PUNCTUATED = re.compile(r"(.*[^\W\d_])([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+)", re.S)
+_TWO_LINES = re.compile(r"(\S+)\n(\S+)")
+
+
+def _unsafe(text: str) -> bool:
+    if not text.isascii():
+        return bool(_UNSAFE.search(text))
+    return "  " in text or text[:1].isspace() or text[-1:].isspace() or any(c in text and (f"{c} " in text or f" {c}" in text) for c in _OTHER_SPACE)
 
 
 def tokenizer_path(name: str) -> str:
@@ -19,42 +29,87 @@ def tokenizer_path(name: str) -> str:
 
 
 class _Words(dict):
-    """Word -> ids of " " + word as little-endian unsigned 32-bit bytes; holds at most ``most`` words."""
+    """Word -> ids of ``before`` + word as little-endian unsigned 32-bit bytes; holds at most ``most`` words.
 
-    def __init__(self, encode, most: int):
+    A word that is not known is cut where units always end: between two lines, and between a
+    letter and the punctuation that ends the word.
+    """
+
+    def __init__(self, encode, before: str, bare: _Words | None, most: int):
         super().__init__()
-        self.encode, self.most = encode, most
+        self.encode, self.before, self.most = encode, before, most
+        self.bare = self if bare is None else bare
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.encode(" " + word)
+        if m := _TWO_LINES.fullmatch(word):
+            return self[m[1]] + self.bare["\n"] + self.bare[m[2]]
+        if m := _PUNCTUATED.fullmatch(word):
+            ids = self[m[1]] + self.bare[m[2]]
+        else:
+            ids = self.encode(self.before, word)
         if len(self) < self.most and len(word) < 64:
             self[word] = ids
         return ids
 
 
+#: Letters whose lower and composed forms are the same to every library, so a word of them needs no normaliser.
+_PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_PROBES = ("the", "The", "UPPER", "x", "\u00e9tat", "\u00c9TAT", "Gr\u00f6\u00dfe", "unquestionablyzq", "\u00fc\u00df")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write for bytes: printable ones as they are, the rest from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
 class TextEncoder:
     """Encodes texts to ids (little-endian unsigned 32-bit bytes) exactly as the library does.
 
     A byte-level or word-level pre-tokenizer always starts a new unit at a single space between
     two characters that are not white space, so the text is cut there and the words' ids are
-    kept. Texts with other white space around a cut go to the library whole.
+    kept. Texts with other white space around a cut go to the library whole. A word of plain letters
+    is one unit and goes straight to the library's model, where probes show that this gives the
+    ids of the whole chain.
     """
 
-    def __init__(self, path: str, cache_words: int = 500_000):
+    def __init__(self, path: str, cache_words: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.words = _Words(self.whole, cache_words)
+        self.model = self.tok.model
+        self.byte_letters = _byte_letters()
+        self.form = None
+        for form in ((" ", False), ("", True), ("", False)):  # (space kept before a word, lower case)
+            self.form = form
+            if all(self.unit(" ", w) == self.whole(" " + w) and self.unit("", w) == self.whole(w) for w in _PROBES):
+                break
+            self.form = None
+        self.bare = _Words(self.unit, "", None, cache_words // 8)
+        self.words = _Words(self.unit, " ", self.bare, cache_words)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def unit(self, before: str, word: str) -> bytes:
+        if self.form is None or not _PLAIN.fullmatch(word):
+            return self.whole(before + word)
+        space, lower = self.form
+        if before and space:
+            word = space + word
+        if lower:
+            word = word.lower()
+        word = word.encode().decode("latin-1").translate(self.byte_letters)
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
     def encode(self, text: str) -> bytes:
-        if _UNSAFE.search(text):
+        if _unsafe(text):
             return self.whole(text)
-        first, *rest = text.split(" ")
-        return self.whole(first) + b"".join(map(self.words.__getitem__, rest))
+        words = text.split(" ")
+        words[0] = self.bare[words[0]]
+        words[1:] = map(self.words.__getitem__, words[1:])
+        return b"".join(words)
 
 
 _ENCODERS: dict[str, TextEncoder] = {}
