@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, language_id, ngram_join, packing, quality_rules, sstable, toxicity
+from . import exact_dedup, html_text, language_id, ngram_join, packing, quality_rules, sstable, suffix_dedup, toxicity
 from .common import held_out, table
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_quality_rules(spark, sf_dir):
     led = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")), "v1")
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits", "policy")
@@ -47,6 +51,7 @@ def op10_language_id(spark, sf_dir):
 
 def queries():
     return {
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_quality_rules": op3_quality_rules,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
