@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, language_id, ngram_join, packing, quality_rules, sstable, suffix_dedup, toxicity
+from . import exact_dedup, html_text, language_id, ngram_join, packing, quality_rules, sentencepiece_scan, sstable, suffix_dedup, toxicity
 from .common import held_out, table
 
 
+def op1_sentencepiece(spark, sf_dir):
+    return sentencepiece_scan.encode_decode(table(spark, sf_dir, "documents"))
+
+
 def op2_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -51,6 +55,7 @@ def op10_language_id(spark, sf_dir):
 
 def queries():
     return {
+        "op1_sentencepiece": op1_sentencepiece,
         "op2_suffix_dedup": op2_suffix_dedup,
         "op3_quality_rules": op3_quality_rules,
         "op4_exact_dedup": op4_exact_dedup,
