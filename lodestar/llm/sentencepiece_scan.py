@@ -296,7 +296,7 @@ def encode(docs: DataFrame, model: str | None = None, giant: int = GIANT, chunk:
 
     table = materialize(parts.mapInArrow(matrices, "rid long, idx int, m string"), "matrices")
 
-    def scan(key, frame: pa.Table) -> pa.Table:
+    def scan(key, frame):
         frame = frame.sort_by("idx")
         m = [_load(x) for x in frame["m"].to_pylist()]
         done = prefix_products(m)
