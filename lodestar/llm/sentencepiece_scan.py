@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import materialize
 from .tokens import tokenizer_path
@@ -329,7 +330,7 @@ def encode(docs: DataFrame, model: str | None = None, giant: int = GIANT, chunk:
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     """Adds decoded (string) to rows with ids, by the library."""
     path = model or tokenizer_path("piece_bpe_32k.model")
-    schema = encoded.schema.add("decoded", "string")
+    schema = StructType([*encoded.schema.fields, StructField("decoded", StringType())])
 
     def run(batches):
         sp = pieces_of(path).sp
