@@ -308,14 +308,17 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = WORDS, id_
     sk = materialize(sketches(d, n), "sketches")
     known = sk.where("doc_id is not null and digest is not null")
     classes = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("size")), "classes")
-    reps = known.join(classes.select("digest", F.col("class_id").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest", "doc_id"]).select(F.col("doc_id").alias("class_id"), "sketch", "keys")
+    member = materialize(sk.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")), "members")
+    reps = known.join(classes.select("digest", F.col("class_id").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest", "doc_id"])
+    reps = materialize(reps.select(F.col("doc_id").alias("class_id"), "sketch", "keys"), "reps")
+    remove(docs.sparkSession, sk)
     sizes = classes.groupBy("class_id").agg(F.sum("size").alias("size"))
     regions = components(star_edges(reps), "regions").select(F.col("node").alias("class_id"), F.col("component").alias("region")).join(sizes, "class_id")
     found = materialize(links(d, materialize(regions, "regions"), threshold, n), "links")
     groups = components(found.where("b is not null").select("a", "b"), "groups").select(F.col("node").alias("copy_id"), F.col("component").alias("class_id"))
     counts = found.where("b is null").groupBy(F.col("a").alias("copy_id")).agg(F.sum("n_texts").alias("n_links"), F.sum("n_docs").alias("n_linked"))
     per_class = classes.select("digest", F.col("class_id").alias("copy_id"), "size").join(groups, "copy_id", "left").join(counts, "copy_id", "left")
-    member = sk.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(per_class, "digest", "left")
+    member = member.join(per_class, "digest", "left")
     return member.select(
         "doc_id",
         F.coalesce("class_id", "copy_id", "doc_id").alias("class_id"),

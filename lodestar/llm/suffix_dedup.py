@@ -293,14 +293,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     spark = docs.sparkSession
     keyed = _keyed(docs, id_col, text_col)
     found = materialize(find_anchors(keyed, length, gram), "anchors")
-    grams = found.groupBy("g").agg(F.count("*").alias("gn")).where("gn > 1").select("g")
+    # Stored, so that both sides of the join are plain exchanges, whose large partitions can be split.
+    grams = materialize(found.groupBy("g").agg(F.count("*").alias("gn")).where("gn > 1").select("g"), "grams")
     alive = materialize(found.join(grams, "g"), "alive")
     remove(spark, found)
     _tidy(spark)
     me = F.xxhash64("did", "tie", "lo")
     kinds = alive.groupBy("g", "s").agg(F.count("*").alias("n"), F.min(me).alias("rep"))
+    kinds = materialize(kinds, "kinds")
     variants = kinds.groupBy("g").agg(F.count("*").alias("k")).where("k > 1")
-    kinds = kinds.join(variants, "g", "left")
+    kinds = materialize(kinds.join(variants, "g", "left"), "kinds")
     # item: goes into the sort. meets: goes to its gram's edge comparison.
     judged = alive.join(kinds, ["g", "s"]).select(
         "did", "tie", F.struct("lo", "hi", "g", "k", (F.col("n") > 1).alias("item"), (F.col("k").isNotNull() & ((F.col("n") == 1) | (F.col("rep") == me))).alias("meets")).alias("a")
