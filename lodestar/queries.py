@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("q_text", "q_graph")
+_MODULES = ("q_text", "q_graph", "q_retrieval", "q_aggregate")
 
 
 def _all() -> dict:
