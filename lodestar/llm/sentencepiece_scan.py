@@ -36,7 +36,7 @@ from .common import materialize
 from .tokens import tokenizer_path
 
 MARK = "▁"
-GIANT, CHUNK = 1 << 15, 1 << 13  # characters
+GIANT, CHUNK = 1 << 16, 1 << 14  # characters
 
 State = tuple[int, str]  # (characters past the boundary, the piece that ends there)
 Matrix = dict[State, dict[State, float]]
