@@ -136,7 +136,8 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 def pack(items: DataFrame, capacity: int = 2048, bucket_rows: int = 20_000) -> DataFrame:
     """``items`` (with doc_id, piece, length, ids_crc32, stored so that it can be read twice) with sequence_id and offset."""
     spark = items.sparkSession
-    n_buckets = max(1, items.count() // bucket_rows)
+    n = items.count()
+    n_buckets = max(1, min(64, n // 500), n // bucket_rows)
     keyed = items.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n_buckets)).cast("int"))
     counts = keyed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = counts.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
