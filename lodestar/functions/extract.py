@@ -133,7 +133,7 @@ def parse_date(c: Column) -> Column:
 
 
 def valid_date(c: Column) -> Column:
-    return F.try_to_date(parse_date(c), F.lit("yyyy-MM-dd"))
+    return F.try_to_date(parse_date(c), "yyyy-MM-dd")
 
 
 def academic_year(c: Column) -> dict[str, Column]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
 
@@ -45,7 +46,7 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, threshold: floa
     return both.select("a", "b", T.jaccard(F.col("x"), F.col("y")).alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-12).withColumn("jaccard", F.round("jaccard", 6))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     from difflib import SequenceMatcher
 
