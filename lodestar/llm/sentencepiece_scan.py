@@ -37,6 +37,7 @@ from .tokens import tokenizer_path
 
 MARK = "▁"
 GIANT, CHUNK = 1 << 16, 1 << 14  # characters
+SLICE = 256  # documents that go to the library at once
 
 State = tuple[int, str]  # (characters past the boundary, the piece that ends there)
 Matrix = dict[State, dict[State, float]]
@@ -84,7 +85,7 @@ class Pieces:
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == 2)
         self.longest = max(map(len, self.score))
         self.closed = not any(MARK in p.lstrip(MARK) for p in self.score)  # marks stand only at the start of pieces
-        self.merges = lru_cache(1 << 18)(self._merges)
+        self.merges = lru_cache(1 << 16)(self._merges)
 
     def _merges(self, text: str) -> tuple[str, ...]:
         """What the model makes of a short string: the best-scored neighbours join first, the leftmost of equals."""
@@ -260,20 +261,26 @@ def _ids_frame(cols: dict[str, pa.Array], ids: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*cols.values(), pa.array(ids, pa.binary())], names=[*cols, "ids"])
 
 
-def encode(docs: DataFrame, model: str | None = None, giant: int = GIANT, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text and ids (little-endian unsigned 32-bit) of every document, as (doc_id, text, ids, n_chunks)."""
+def encode(docs: DataFrame, model: str | None = None, giant: int = GIANT, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(doc_id, text, ids, n_chunks[, decoded]) of every document; ids are little-endian unsigned 32-bit.
+
+    With ``decoded`` the ids of ordinary documents are decoded by the worker that made them.
+    """
     path = model or tokenizer_path("piece_bpe_32k.model")
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def whole(batches):
         sp = pieces_of(path).sp
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
-                ids = [array("I", x).tobytes() for x in sp.encode(part.column(1).to_pylist(), num_threads=1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary()), pa.array([1] * len(ids), pa.int32())], names=["doc_id", "text", "ids", "n_chunks"])
-
-    small = d.where(F.length("text") <= giant).mapInArrow(whole, "doc_id long, text string, ids binary, n_chunks int")
+            for lo in range(0, b.num_rows, SLICE):
+                part = b.slice(lo, SLICE)
+                ids = sp.encode(part.column(1).to_pylist(), num_threads=1)
+                cols = [part.column(0), part.column(1), pa.array([array("I", x).tobytes() for x in ids], pa.binary()), pa.array([1] * len(ids), pa.int32())]
+                if decoded:
+                    cols.append(pa.array(sp.decode(ids), pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text", "ids", "n_chunks", "decoded"][: len(cols)])
+
+    small = d.where(F.length("text") <= giant).mapInArrow(whole, "doc_id long, text string, ids binary, n_chunks int" + ", decoded string" * decoded)
     big = materialize(d.where(F.length("text") > giant).withColumn("rid", F.monotonically_increasing_id()), "giant")
     if big.isEmpty():
         return small
@@ -324,7 +331,7 @@ def encode(docs: DataFrame, model: str | None = None, giant: int = GIANT, chunk:
     traced = parts.join(states, ["rid", "idx"]).mapInArrow(back, "rid long, idx int, ids binary")
     joined = traced.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("idx", "ids"))).alias("p")).select("rid", F.transform("p", lambda p: p["ids"]).alias("p"))
     large = big.join(joined, "rid").select("doc_id", "text", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x)).alias("ids"), F.size("p").alias("n_chunks"))
-    return small.unionByName(large)
+    return small.unionByName(decode(large, path) if decoded else large)
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
@@ -335,8 +342,8 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     def run(batches):
         sp = pieces_of(path).sp
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
+            for lo in range(0, b.num_rows, SLICE):
+                part = b.slice(lo, SLICE)
                 ids = [np.frombuffer(x, "<u4").tolist() for x in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sp.decode(ids) if ids else [], pa.string())], names=[*part.schema.names, "decoded"])
 
@@ -345,5 +352,5 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
 
 def encode_decode(docs: DataFrame, model: str | None = None, giant: int = GIANT, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_crc32, n_chunks, decoded_sha256, round_trip."""
-    d = decode(encode(docs, model, giant, chunk, id_col, text_col), model)
+    d = encode(docs, model, giant, chunk, id_col, text_col, decoded=True)
     return d.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), "n_chunks", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
