@@ -91,5 +91,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+""",
+    "op5_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE
+        WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4])
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS sh FROM w),
+c AS (SELECT sh, len(sh) AS k, min(doc_id) AS copy_id, count(*) AS size FROM s GROUP BY sh),
+x AS (SELECT copy_id, k, size, unnest(sh) AS g FROM c),
+p AS (SELECT a.copy_id AS a, b.copy_id AS b, count(*) AS m, any_value(a.k) AS ka, any_value(b.k) AS kb, any_value(b.size) AS sb
+      FROM x a JOIN x b ON a.g = b.g AND a.copy_id <> b.copy_id GROUP BY 1, 2),
+l AS (SELECT a, b, sb FROM p WHERE 5 * m >= 4 * (ka + kb - m)),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+g AS (SELECT a, least(a, min(b)) AS class_id FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n_links, sum(sb) AS n_docs FROM l GROUP BY a)
+SELECT doc_id, CASE WHEN k = 0 THEN doc_id ELSE coalesce(g.class_id, copy_id) END AS class_id, CASE WHEN k = 0 THEN doc_id ELSE copy_id END AS copy_id,
+       coalesce(n_links, 0) AS n_links, CASE WHEN k = 0 THEN 0 ELSE (coalesce(n_docs, 0) + size - 1)::BIGINT END AS n_linked_docs
+FROM s JOIN c USING (sh) LEFT JOIN g ON g.a = copy_id LEFT JOIN n ON n.a = copy_id
 """,
 }
