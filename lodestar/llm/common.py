@@ -21,8 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows go to Python workers at most ``rows`` at a time: texts are long, and the default of 10,000 is meant for short rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, rows)
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text) with a null text as the empty one."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
@@ -116,7 +124,7 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
-def word_hashes(texts_: list[str], segment: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts_: list[str], segment: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the texts in order, and the number of words before each text and after the last.
 
     Works in segments that end at white space, so memory stays bounded for any length of a text.

@@ -120,7 +120,7 @@ def bar(n: int, threshold: float) -> int:
     return _LEAST[n, threshold]
 
 
-def _chunks(ids, batch: list[str], most: int = 4 << 20):
+def _chunks(ids, batch: list[str], most: int = 1 << 20):
     """Parts of a batch of about ``most`` characters."""
     lo = size = 0
     for i, t in enumerate(batch):

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import materialize
+from .common import materialize, small_batches
 from .tokens import tokenizer_path
 
 MARK = "▁"
@@ -267,6 +267,7 @@ def encode(docs: DataFrame, model: str | None = None, giant: int = GIANT, chunk:
     With ``decoded`` the ids of ordinary documents are decoded by the worker that made them.
     """
     path = model or tokenizer_path("piece_bpe_32k.model")
+    small_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def whole(batches):

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import Rolling, materialize, mix64, remove, texts
 
 LENGTH, GRAM = 400, 128
-SEGMENT = 1 << 20  # windows that are hashed at a time
+SEGMENT = 1 << 18  # windows that are hashed at a time
 RANGE_BYTES = 24 << 20  # of segments in a range of the sort
 SAMPLE = 4000  # segments from which splitters are taken
 MOST_VARIANTS = 4096

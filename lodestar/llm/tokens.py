@@ -73,7 +73,7 @@ class TextEncoder:
     ids of the whole chain.
     """
 
-    def __init__(self, path: str, cache_words: int = 800_000):
+    def __init__(self, path: str, cache_words: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)

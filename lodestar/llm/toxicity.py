@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, small_batches
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -146,6 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, max_word
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted of every document. The model has at most ``max_words`` weights."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
