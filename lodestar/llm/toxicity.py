@@ -44,7 +44,7 @@ IDENTITY_TERMS = (
 
 
 #: A word also gives its beginnings of these lengths, so that an inflected insult is known by its stem.
-STEMS = (5, 6, 7, 8)
+STEMS = (4, 5, 6, 7)
 
 
 def words(text: str) -> set[str]:
