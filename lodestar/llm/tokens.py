@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from codecs import charmap_decode
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -41,9 +42,11 @@ class _Words(dict):
         self.bare = self if bare is None else bare
 
     def __missing__(self, word: str) -> bytes:
-        if m := _TWO_LINES.fullmatch(word):
+        if word.isalpha():
+            ids = self.encode(self.before, word)
+        elif m := _TWO_LINES.fullmatch(word):
             return self[m[1]] + self.bare["\n"] + self.bare[m[2]]
-        if m := _PUNCTUATED.fullmatch(word):
+        elif m := _PUNCTUATED.fullmatch(word):
             ids = self[m[1]] + self.bare[m[2]]
         else:
             ids = self.encode(self.before, word)
@@ -57,10 +60,11 @@ _PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _PROBES = ("the", "The", "UPPER", "x", "\u00e9tat", "\u00c9TAT", "Gr\u00f6\u00dfe", "unquestionablyzq", "\u00fc\u00df")
 
 
-def _byte_letters() -> dict[int, str]:
-    """The letters that byte-level vocabularies write for bytes: printable ones as they are, the rest from U+0100 on."""
+def _byte_letters() -> str:
+    """The 256 letters that byte-level vocabularies write for bytes: printable ones as they are, the rest from U+0100 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    return {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+    rest = iter(range(256, 512))
+    return "".join(chr(b if b in plain else next(rest)) for b in range(256))
 
 
 class TextEncoder:
@@ -73,7 +77,7 @@ class TextEncoder:
     ids of the whole chain.
     """
 
-    def __init__(self, path: str, cache_words: int = 400_000):
+    def __init__(self, path: str, cache_words: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -93,23 +97,22 @@ class TextEncoder:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
     def unit(self, before: str, word: str) -> bytes:
-        if self.form is None or not _PLAIN.fullmatch(word):
+        if self.form is None or not (word.isascii() and word.isalpha() or _PLAIN.fullmatch(word)):
             return self.whole(before + word)
         space, lower = self.form
         if before and space:
             word = space + word
         if lower:
             word = word.lower()
-        word = word.encode().decode("latin-1").translate(self.byte_letters)
+        if space or not word.isascii():
+            word = charmap_decode(word.encode(), "strict", self.byte_letters)[0]
         return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def encode(self, text: str) -> bytes:
         if _unsafe(text):
             return self.whole(text)
-        words = text.split(" ")
-        words[0] = self.bare[words[0]]
-        words[1:] = map(self.words.__getitem__, words[1:])
-        return b"".join(words)
+        first, _, rest = text.partition(" ")
+        return self.bare[first] + (b"".join(map(self.words.__getitem__, rest.split(" "))) if rest else b"")
 
 
 _ENCODERS: dict[str, TextEncoder] = {}
