@@ -18,7 +18,10 @@ WORD_BREAK = r"[\x20\x09-\x0D]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A stored table; a scan with fewer partitions than cores, as one small file has, is dealt out."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    n = spark.sparkContext.defaultParallelism
+    return df.repartition(n) if name in ("documents", "pages") and df.rdd.getNumPartitions() < n else df
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -17,7 +17,7 @@ def op2_suffix_dedup(spark, sf_dir):
 
 
 def op3_quality_rules(spark, sf_dir):
-    led = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")), "v1")
+    led = quality_rules.apply_policy(quality_rules.ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")), "v1")
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits", "policy")
 
 
