@@ -74,10 +74,14 @@ COLLECTIONS = {
 }
 
 
-def type_scores(text: Column, title: Column) -> dict[str, Column]:
-    """Raw score of every type: pattern matches in title and text weigh 2 and 1.5, in the title 3."""
-    full = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(text, F.lit(""))))
-    head = F.lower(F.coalesce(title, F.lit("")))
+def with_lower(df: DataFrame, text: str, title: str) -> DataFrame:
+    """Adds _full (title and text) and _head (title) in lower case, as columns of their own: some fifty rules read them."""
+    head = F.lower(F.coalesce(F.col(title), F.lit("")))
+    return df.withColumn("_full", F.concat_ws(" ", head, F.lower(F.coalesce(F.col(text), F.lit(""))))).withColumn("_head", head)
+
+
+def type_scores(full: Column, head: Column) -> dict[str, Column]:
+    """Raw score of every type, from lower-case columns: matches in title and text weigh 2 and 1.5, in the title 3."""
     return {
         kind: reduce(lambda a, b: a + b, [F.regexp_count(src, F.lit(p)) * w for patterns, src, w in zip(groups, (full, full, head), WEIGHTS, strict=True) for p in patterns])
         for kind, groups in TYPE_PATTERNS.items()
@@ -92,7 +96,7 @@ def classify(df: DataFrame, text: str = "text", title: str = "title", folders: s
     the type declared first.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    out = df.withColumn("scores", F.struct(*[v.alias(k) for k, v in type_scores(F.col(text), F.col(title)).items()]))
+    out = with_lower(df, text, title).withColumn("scores", F.struct(*[v.alias(k) for k, v in type_scores(F.col("_full"), F.col("_head")).items()]))
     best = F.greatest(*[F.col(f"scores.{k}") for k in TYPE_PATTERNS])
     first = F.coalesce(*[F.when(F.col(f"scores.{k}") == F.col("_best"), F.lit(k)) for k in TYPE_PATTERNS])
     out = out.withColumn("_best", best)
@@ -105,7 +109,7 @@ def classify(df: DataFrame, text: str = "text", title: str = "title", folders: s
         .withColumn("confidence", conf)
         .withColumn("confidence_level", F.when(conf >= 0.8, "high").when(conf >= 0.6, "medium").otherwise("low"))
         .withColumn("method", F.when(empty, "insufficient_data").when(by_folder, "folder_based").otherwise("rule_based"))
-        .drop("_best")
+        .drop("_best", "_full", "_head")
     )
 
 

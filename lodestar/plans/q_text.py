@@ -107,7 +107,8 @@ _FIRST = "CASE " + " ".join(f"WHEN s_{k} = best THEN {lit(k)}" for k in _SCORES)
 
 @query("c01_rule_scores", f"{_SCORED} SELECT chunk_id, {', '.join(f'CAST(s_{k} AS DOUBLE) AS s_{k}' for k in _SCORES)} FROM b")
 def _(spark, sf):
-    return corpus.chunks(spark, sf).select("chunk_id", *[v.alias(f"s_{k}") for k, v in C.type_scores(F.col("text"), F.col("title")).items()])
+    c = C.with_lower(corpus.chunks(spark, sf), "text", "title")
+    return c.select("chunk_id", *[v.alias(f"s_{k}") for k, v in C.type_scores(F.col("_full"), F.col("_head")).items()])
 
 
 @query(
