@@ -46,35 +46,40 @@ CLOSES = {
 }
 SCOPE = {"li": frozenset(["ul", "ol", "menu"]), "td": frozenset(["table"]), "th": frozenset(["table"]), "tr": frozenset(["table"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"])}
 _NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice|notification|alert|popup|modal|newsletter|subscribe|signup|login|comment\w*|disqus|respond|replies|reply|"
-    r"sidebar|side-bar|widget\w*|related\w*|recommend\w*|share|sharing|social\w*|breadcrumbs?|menu\w*|nav|navbar|navigation|masthead|header|site-header|footer|foot|pagination|pager|toolbar|skip|tags|rating|outbrain|taboola)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ad|ads\w*|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notices?|notification|alert|popup|modal|toast|disclaimer|paywall|newsletter|subscribe|signup|login|comment\w*|disqus|respond|responses|replies|reply|"
+    r"sidebar|side-bar|widget\w*|related\w*|recommend\w*|share|sharing|social\w*|breadcrumbs?|menu\w*|nav|navbar|navigation|masthead|site-header|page-header|global-header|footer|foot|pagination|pager|toolbar|skip|tags|rating|outbrain|taboola)(?:$|[\s_-])",
     re.I,
 )
+_HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
+_OWN_HEADER = re.compile(r"(?:article|entry|post|story|content)[_-]?header", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 
 
 class Node:
-    __slots__ = ("children", "chars", "link_chars", "noise", "parent", "points", "tag")
+    __slots__ = ("children", "chars", "link_chars", "named", "noise", "parent", "points", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool = False):
-        self.tag, self.parent, self.noise, self.children = tag, parent, noise, []
+    def __init__(self, tag: str, parent: Node | None, noise: str = ""):
+        self.tag, self.parent, self.noise, self.children = tag, parent, bool(noise), []
+        self.named = noise == "name"
         self.points = 0.0
         self.chars = self.link_chars = 0
 
 
-def _noise(tag: str, attrs: str) -> bool:
+def _noise(tag: str, attrs: str, top: Node) -> str:
+    """Why an element is no part of the article: "tag", or "name" where only its names or the tag form say so."""
     if tag in SKIP:
-        return True
+        return "name" if tag == "form" else "tag"
     if not attrs.strip(" /") or tag in ("html", "body", "article", "main"):
-        return "hidden" in attrs and bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attrs)) and tag not in ("html", "body")
+        return "tag" if "hidden" in attrs and re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attrs) and tag not in ("html", "body") else ""
     names = []
     for k, a, b, c in _ATTR.findall(attrs):
         k, v = k.lower(), a or b or c
         if k in ("class", "id"):
             names.append(v)
         elif k == "role" and v.lower() in _ROLES or k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and re.search(r"display\s*:\s*none", v):
-            return True
-    return bool(names) and bool(_NOISE.search(" ".join(names)))
+            return "tag"
+    said = " ".join(names)
+    return "name" if said and (_NOISE.search(said) or _HEADER.search(said) and not _inside(top, "article", "main") and not _OWN_HEADER.search(said)) else ""
 
 
 def parse(page: str) -> Node:
@@ -115,7 +120,7 @@ def parse(page: str) -> Node:
                 elif node.tag in SCOPE.get(tag, ()) or node.tag in BLOCK and node.tag not in CLOSES:
                     break
                 node = node.parent
-        new = Node(tag, top, _noise(tag, m["attrs"]))
+        new = Node(tag, top, _noise(tag, m["attrs"], top))
         if tag == "header" and not new.noise:
             new.noise = not _inside(top, "article", "main")
         if tag in RAW:
@@ -130,6 +135,34 @@ def parse(page: str) -> Node:
     return root
 
 
+def _keep_the_bulk(root: Node) -> None:
+    """An element that only its names rule out is a container of the article if it holds over half of the page's text
+
+    and a title, an article or three paragraphs of it.
+    """
+    size: dict[int, int] = {}
+    order, named, stack = [], [], [root]
+    while stack:
+        x = stack.pop()
+        order.append(x)
+        if x.named:
+            named.append(x)
+        stack.extend(c for c in x.children if not isinstance(c, str) and (not c.noise or c.named))
+    if not named:
+        return
+    for x in reversed(order):
+        size[id(x)] = sum(len(c.strip()) if isinstance(c, str) else size.get(id(c), 0) for c in x.children)
+    for x in named:
+        if 2 * size[id(x)] > size[id(root)]:
+            tags, stack = [], [x]
+            while stack:
+                y = stack.pop()
+                tags.append(y.tag)
+                stack.extend(c for c in y.children if not isinstance(c, str) and (not c.noise or c.named))
+            if {"h1", "article", "main"} & set(tags) or tags.count("p") >= 3:
+                x.noise = False
+
+
 def _inside(node: Node | None, *tags: str) -> bool:
     while node is not None:
         if node.tag in tags:
@@ -215,6 +248,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _keep_the_bulk(root)
     seen = _score(root)
     best, value = None, 0.0
     for x in seen:
