@@ -154,3 +154,16 @@ def carry_forward(turns: DataFrame, session: str, order: str, value: str, histor
 def mode(query: Column) -> Column:
     q = F.lower(query)
     return F.when(q.rlike(r"\b(?:idea|brainstorm|suggest)"), "brainstorming").when(q.rlike(r"\b(?:analy|deep|compare|explain)"), "pro_deepthink").otherwise("normal_qa")
+
+
+def resolve_reference(query: Column, entity: Column, pronoun: str = r"(?:it|its|that|this)") -> Column:
+    """The first pronoun becomes the carried entity; without one, or without an entity, the query stays."""
+    out = F.regexp_replace(query, F.lit(rf"(?is)^(.*?)\b{pronoun}\b"), F.concat(F.lit("$1"), entity))
+    return F.when(entity.isNull(), query).otherwise(out)
+
+
+def topic_thread(turns: DataFrame, session: str, order: str, topic: str, most: int = 5) -> DataFrame:
+    """Each turn with the distinct topics of its last ``most`` turns, latest last (a bounded frame, so state stays small)."""
+    w = Window.partitionBy(session).orderBy(order).rowsBetween(1 - most, Window.currentRow)
+    seen = F.filter(F.collect_list(F.col(topic)).over(w), lambda x: x.isNotNull())
+    return turns.withColumn("thread", F.reverse(F.array_distinct(F.reverse(seen))))

@@ -171,3 +171,18 @@ def _(spark, sf):
 @query("n11_answer_mode", f"{_QW} SELECT c_custkey, CASE WHEN {has('q', r'\b(?:idea|brainstorm|suggest)')} THEN 'brainstorming' WHEN {has('q', r'\b(?:analy|deep|compare|explain)')} THEN 'pro_deepthink' ELSE 'normal_qa' END AS mode FROM q")
 def _(spark, sf):
     return _queries(spark, sf).select("c_custkey", N.mode(F.col("query")).alias("mode"))
+
+
+_CARRY = "t AS (SELECT conv_id, turn, text, CASE WHEN turn % 3 = 0 THEN role || CAST(turn AS VARCHAR) END AS v FROM conversations WHERE text IS NOT NULL), c AS (SELECT *, last_value(v IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS b FROM t)"
+
+
+@query("n08b_resolve_references", f"WITH {_CARRY} SELECT conv_id, turn, CASE WHEN coalesce(v, b) IS NULL THEN text ELSE regexp_replace(text, '(?is)^(.*?)\\b(?:it|its|that|this)\\b', '\\1' || coalesce(v, b)) END AS resolved FROM c WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+def _(spark, sf):
+    t = corpus.table(spark, sf, "conversations").where("text is not null").select("conv_id", "turn", "text", F.when(F.col("turn") % 3 == 0, F.concat("role", F.col("turn").cast("string"))).alias("v"))
+    c = N.carry_forward(t, "conv_id", "turn", "v")
+    return c.where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("conv_id", "turn", N.resolve_reference(F.col("text"), F.col("carried")).alias("resolved"))
+
+
+@query("n08c_topic_thread", "SELECT conv_id, turn, count(DISTINCT role) OVER w AS n_topics FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
+def _(spark, sf):
+    return N.topic_thread(corpus.table(spark, sf, "conversations"), "conv_id", "turn", "role").select("conv_id", "turn", F.size("thread").cast("long").alias("n_topics"))
