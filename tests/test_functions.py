@@ -86,3 +86,50 @@ def test_dedup(spark):
     d = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog today"), (2, "the quick brown fox jumps over the lazy dog todax"), (3, "something else entirely, unrelated"), (4, None)], "id long, text string")
     got = [(r.a, r.b) for r in dedup.near_duplicates(d, "id", "text", 0.85).collect()]
     assert got == [(1, 2)]
+
+
+def test_ratio_is_difflib(spark):
+    from difflib import SequenceMatcher
+
+    pairs = [("abcd efgh", "abxd efgh"), ("", "x"), ("same", "same"), ("abc", "xyz")]
+    got = [r.r for r in spark.createDataFrame(pairs, "a string, b string").select(dedup.sequence_ratio(F.col("a"), F.col("b")).alias("r")).collect()]
+    assert got == [round(SequenceMatcher(None, a, b).ratio(), 6) if a and b else 0.0 for a, b in pairs]
+
+
+def fold(parts, most, glue, overlap):
+    out, now = [], None
+    for p in parts:
+        if now is not None and len(now) + len(p) > most:
+            out.append(now)
+            now = now[-overlap:] + glue + p if overlap else p
+        else:
+            now = p if now is None else now + glue + p
+    return out + ([now] if now is not None else [])
+
+
+def test_chunks_are_the_greedy_fold(spark):
+    import random
+
+    rng = random.Random(1)
+    texts = [(i, "\n\n".join("w" * rng.randint(1, 60) for _ in range(rng.randint(0, 12)))) for i in range(30)]
+    got = {}
+    for r in sections.general_chunks(spark.createDataFrame(texts, "id long, t string"), "id", "t", 100, 10).orderBy("id", "position").collect():
+        got.setdefault(r.id, []).append(r.text)
+    assert got == {i: fold(t.split("\n\n"), 100, "\n\n", 10) for i, t in texts if t}
+
+
+def test_chunk_documents_loses_no_document(spark):
+    from lodestar.operators import chunking
+
+    rows = [(1, "Section 1 A\nbody\nSection 2 B\nmore", "act"), (2, "no structure at all", "act"), (3, "line one\nline two", "government_order"), (4, "plain\n\ntext", None), (5, "It was held that the petition of the teachers stands allowed in full. Other.", "judicial")]
+    got = chunking.chunk_documents(spark.createDataFrame(rows, "id long, t string, k string"), "id", "t", "k").orderBy("id", "chunk_no").collect()
+    assert {r.id for r in got} == {1, 2, 3, 4, 5}
+    assert [r.text for r in got if r.id == 1] == ["Section 1 A\nbody", "Section 2 B\nmore"]
+    assert [r.chunk_type for r in got if r.id in (2, 4)] == ["general_paragraph", "general_paragraph"]
+    assert "judicial_holding" in {r.chunk_type for r in got if r.id == 5}
+
+
+def test_diversify_is_greedy(spark):
+    rows = [("q", i, t, s) for i, (t, s) in enumerate([("a b c d", 1.0), ("a b c e", 0.95), ("x y z", 0.6), ("x y q", 0.55)])]
+    got = [r.id for r in retrieval.diversify(spark.createDataFrame(rows, "q string, id long, t string, s double"), "q", "id", "t", "s", 3, 0.5).orderBy("pick").collect()]
+    assert got == [0, 2, 1]
