@@ -3,7 +3,8 @@
 Features are the presence of words (lower case, letters only) and of beginnings of words. For every labelled text that holds
 an identity term, the text with the term swapped for each other term of its group is its
 counterfactual; the squared change of the score's logit is added to the loss, so that a label that
-happens to go with a group moves onto the other words of the text.
+happens to go with a group moves onto the other words of the text. A swap takes the term's beginnings with
+it, where no other word of the text has them, and brings those of the other term, seen in the sample or not.
 
 The classifier is fitted on a bounded sample: at most ``max_labels`` labelled training rows, chosen by
 a hash of the id, and at most ``max_words`` words, those whose presence differs most between the
@@ -17,6 +18,7 @@ training rows every score is the share of toxic ones (0 without rows).
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +59,19 @@ def features(text: str) -> set[str]:
     return w.union(*({x[:k] + "*" for x in w if len(x) > k} for k in STEMS))
 
 
+def swaps(present: set[str], known: set[str] | frozenset[str], groups=IDENTITY_TERMS):
+    """(group, leaving, entering) of every counterfactual of a text with these features: known features that change."""
+    terms = [(g, a) for g, group in enumerate(groups) for a in group if a in present]
+    plain = [x for x in present if not x.endswith("*")] if terms else []
+    for g, a in terms:
+        stay = set().union(*(features(x) for x in plain if x != a and x[: min(STEMS)] == a[: min(STEMS)]))
+        leaving = features(a) - stay
+        for b in groups[g]:
+            if b != a:
+                new = features(b)
+                yield g, sorted((leaving - new) & known), sorted((new - present) & known)
+
+
 def training_ids(labels: DataFrame, max_labels: int, id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
     """At most ``max_labels`` labelled training ids with their label."""
     d = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
@@ -73,10 +88,11 @@ class Model:
         return float(1 / (1 + np.exp(-min(60.0, max(-60.0, z)))))
 
 
-def fit(rows: list[tuple[int, list[int]]], vocabulary: list[str], ridge: float = 1.0, swap: float = 4.0, steps: int = 12, groups=IDENTITY_TERMS) -> Model:
-    """Newton's method on logistic loss + ridge * |w|^2 / 2 + swap * mean squared logit change over swaps / 2 * rows.
+def fit(rows: list[tuple[int, list[int]]], vocabulary: list[str], ridge: float = 1.0, swap: float = 4.0, steps: int = 12, groups=IDENTITY_TERMS, swapped=None) -> Model:
+    """Newton's method on logistic loss + ridge * |w|^2 / 2 + swap * squared logit change, mean over a term's swaps / 2.
 
-    rows: (label, indices of the words present).
+    rows: (label, indices of the features present). swapped: number of texts by (group, leaving, entering) of
+    swaps(); without it, the rows' own features are taken for whole texts.
     """
     n, k = len(rows), len(vocabulary)
     y = np.array([r[0] for r in rows], float)
@@ -90,17 +106,12 @@ def fit(rows: list[tuple[int, list[int]]], vocabulary: list[str], ridge: float =
     index = {w: i for i, w in enumerate(vocabulary)}
     penalty = np.eye(k + 1) * ridge
     penalty[k, k] = 1e-6
-    for group in groups:
-        terms = [index[t] for t in group if t in index]
-        for a in terms:
-            hits = x[:, a] > 0
-            for b in terms:
-                if a != b:  # texts with a and without b: the swap moves their logit by w[b] - w[a]
-                    m = float((hits & (x[:, b] == 0)).sum()) * swap / max(1, len(terms) - 1)
-                    penalty[a, a] += m
-                    penalty[b, b] += m
-                    penalty[a, b] -= m
-                    penalty[b, a] -= m
+    if swapped is None:
+        swapped = Counter((g, tuple(a), tuple(b)) for _, at in rows for g, a, b in swaps({vocabulary[i] for i in at}, index.keys(), groups))
+    for (g, leaving, entering), m in swapped.items():  # the swap moves the texts' logit by the weights that enter less those that leave
+        at = [index[v] for v in (*leaving, *entering)]
+        sign = np.array([-1.0] * len(leaving) + [1.0] * len(entering))
+        penalty[np.ix_(at, at)] += m * swap / max(1, len(groups[g]) - 1) * np.outer(sign, sign)
     w = np.zeros(k + 1)
     w[k] = np.log(y.mean() / (1 - y.mean()))
     for _ in range(steps):
@@ -133,15 +144,26 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, max_word
         # Difference of the word's share in both classes over its standard error.
         share = F.col("n") / F.lit(max(1.0, n1 + n0))
         z = (F.col("a") / F.lit(max(1.0, n1)) - F.col("b") / F.lit(max(1.0, n0))) / F.sqrt(share * (1 - share + 1e-9) * (1 / max(1, n1) + 1 / max(1, n0)))
-        known = per_word.where((F.col("n") >= min_rows) & (F.abs(z) >= min_z) | F.col("w").isin(terms))
-        top = known.orderBy(F.col("w").isin(terms).desc(), F.abs(z).desc(), "w").limit(max_words)
+        passing = per_word.where((F.col("n") >= min_rows) & (F.abs(z) >= min_z) | F.col("w").isin(terms))
+        top = passing.orderBy(F.col("w").isin(terms).desc(), F.abs(z).desc(), "w").limit(max_words)
         vocabulary = sorted(r["w"] for r in top.select("w").collect())
         index = F.array(*[F.lit(v) for v in vocabulary]) if vocabulary else F.array().cast("array<string>")
         rows = bags.select("doc_id", "y", F.array_intersect("w", index).alias("w")).collect()  # max_labels rows of known words
+        known = frozenset(vocabulary)
+
+        def changes(batches):
+            for b in batches:
+                out = [c for w in b.column(0).to_pylist() for c in swaps(set(w), known, groups)]
+                g, leaving, entering = zip(*out, strict=True) if out else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(leaving, pa.list_(pa.string())), pa.array(entering, pa.list_(pa.string()))], names=["g", "leaving", "entering"])
+
+        # The stems that stay or are there already are nested, so a pair of terms has a few dozen different swaps at most.
+        different = bags.select("w").mapInArrow(changes, "g int, leaving array<string>, entering array<string>").groupBy("g", "leaving", "entering").count()
+        swapped = {(r["g"], tuple(r["leaving"]), tuple(r["entering"])): r["count"] for r in different.orderBy("g", "leaving", "entering").collect()}
     finally:
         bags.unpersist()
     at = {v: i for i, v in enumerate(vocabulary)}
-    return fit([(r["y"], [at[w] for w in r["w"]]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["y"], r["w"]))], vocabulary, groups=groups)
+    return fit([(r["y"], [at[w] for w in r["w"]]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["y"], r["w"]))], vocabulary, groups=groups, swapped=swapped)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

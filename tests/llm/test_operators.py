@@ -386,6 +386,40 @@ def test_toxicity(spark):
     assert toxicity.train(df, lab.limit(0)).weights == {}
 
 
+def test_toxicity_swap_takes_stems_along(spark):
+    """'muslim' goes with half of the toxic labels, and nothing else explains those."""
+    rng = random.Random(3)
+    calm = "tree river stone cloud meadow bridge garden".split()
+    rows, labels = [], []
+    for i in range(1500):
+        bad = rng.random() < 0.3
+        term = "muslim" if rng.random() < (0.8 if bad else 0.1) else "christian" if rng.random() < 0.4 else "teacher"
+        rows.append((i, " ".join([*rng.choices(calm, k=8), term, *(["nastyface"] if bad and rng.random() < 0.5 else [])])))
+        labels.append((i, int(bad)))
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    logit = lambda t: np.log(model.score(t) / (1 - model.score(t)))
+    assert {"musl*", "musli*"} <= set(model.weights)
+    assert abs(logit("the muslim by the river") - logit("the christian by the river")) < 0.5
+    assert abs(logit("the muslim by the river") - logit("the atheist by the river")) < 0.5  # not in the sample
+    assert logit("nastyface by the river") - logit("teacher by the river") > 2
+
+
+def test_swaps_are_the_difference_of_feature_sets():
+    rng = random.Random(5)
+    pool = "muslim muslims christian christ musliness atheist women womenfolk men woman tree transgender transit".split()
+    known = set().union(*map(toxicity.features, pool))
+    for _ in range(200):
+        w = set(rng.sample(pool, rng.randint(1, 6)))
+        want = []
+        for g, group in enumerate(toxicity.IDENTITY_TERMS):
+            for a in group:
+                for b in group:
+                    if a in w and a != b:
+                        now, then = toxicity.features(" ".join(w)), toxicity.features(" ".join(w - {a} | {b}))
+                        want.append((g, sorted((now - then) & known), sorted((then - now) & known)))
+        assert list(toxicity.swaps(toxicity.features(" ".join(w)), known)) == want
+
+
 def test_held_out(spark):
     df = spark.createDataFrame([(i,) for i in range(50)], "doc_id long").select("doc_id", common.held_out().alias("h"))
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in df.collect())
