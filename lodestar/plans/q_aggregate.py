@@ -91,17 +91,28 @@ def _(spark, sf):
 
 _OWN = f"nullif(regexp_extract(text, {lit(G.OWN_NUMBER)}, 1), '')"
 _TG = " UNION ALL ".join(f"SELECT CAST(unnest(regexp_extract_all(text, {lit(p)}, 1)) AS INT) AS target FROM chunks WHERE {_OWN} IS NOT NULL AND doc_id % 20 = 0" for _, _, p in G.SUPERSESSION)
+_TG_ALL = " UNION ALL ".join(f"SELECT CAST(unnest(regexp_extract_all(text, {lit(p)}, 1)) AS INT) AS target FROM chunks WHERE {_OWN} IS NOT NULL" for _, _, p in G.SUPERSESSION)
 
 
-@query("a11_order_status", f"{W}, t AS (SELECT DISTINCT target FROM ({_TG}) x), o AS (SELECT chunk_id, CAST({_OWN} AS INT) AS number, y, kind FROM chunks WHERE {_OWN} IS NOT NULL) SELECT CASE WHEN target IS NOT NULL THEN 'superseded' WHEN kind = 7 THEN 'active' WHEN 2026 - y > 10 THEN 'likely_superseded' ELSE 'active' END AS status, count(*) AS n FROM o LEFT JOIN t ON number = target GROUP BY 1")
-def _(spark, sf):
-    c = corpus.chunks(spark, sf)
+def _status(c, superseding="true"):
+    """Orders by status; ``superseding``: the chunks whose supersessions count."""
     own = F.regexp_extract("text", G.OWN_NUMBER, 1)
     o = c.select("kind", "y", F.when(own != "", own).cast("int").alias("number")).where("number is not null")
-    gone = G.supersessions(c.where("doc_id % 20 = 0"))
+    gone = G.supersessions(c.where(superseding))
     return A.order_status(o, gone, "number", "y", 2026, F.col("kind") == 7).groupBy("status").agg(F.count("*").alias("n"))
 
 
+# a11 counts only the supersessions by a twentieth of the documents, as its SQL does; a11b counts all.
+@query("a11_order_status", f"{W}, t AS (SELECT DISTINCT target FROM ({_TG}) x), o AS (SELECT chunk_id, CAST({_OWN} AS INT) AS number, y, kind FROM chunks WHERE {_OWN} IS NOT NULL) SELECT CASE WHEN target IS NOT NULL THEN 'superseded' WHEN kind = 7 THEN 'active' WHEN 2026 - y > 10 THEN 'likely_superseded' ELSE 'active' END AS status, count(*) AS n FROM o LEFT JOIN t ON number = target GROUP BY 1")
+def _(spark, sf):
+    return _status(corpus.chunks(spark, sf), "doc_id % 20 = 0")
+
+
+@query("a11b_order_status_whole", f"{W}, t AS (SELECT DISTINCT target FROM ({_TG_ALL}) x), o AS (SELECT chunk_id, CAST({_OWN} AS INT) AS number, y, kind FROM chunks WHERE {_OWN} IS NOT NULL) SELECT CASE WHEN target IS NOT NULL THEN 'superseded' WHEN kind = 7 THEN 'active' WHEN 2026 - y > 10 THEN 'likely_superseded' ELSE 'active' END AS status, count(*) AS n FROM o LEFT JOIN t ON number = target GROUP BY 1")
+def _(spark, sf):
+    return _status(corpus.chunks(spark, sf))
+
+
 @query("a12_orders_timeline", f"{W} SELECT y, doc_type, count(*) AS n, count(DISTINCT n1) AS n_numbers, min(chunk_id) AS first_chunk FROM chunks WHERE kind IN (0, 7) GROUP BY 1, 2")
 def _(spark, sf):
     return corpus.chunks(spark, sf).where("kind in (0, 7)").groupBy("y", "doc_type").agg(F.count("*").alias("n"), F.countDistinct("n1").alias("n_numbers"), F.min("chunk_id").alias("first_chunk"))
