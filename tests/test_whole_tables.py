@@ -1,6 +1,8 @@
 """Queries over whole tables, where a part of the rows would give other results, against plain versions."""
 
 import datetime
+import math
+import re
 
 import pytest
 
@@ -40,3 +42,16 @@ def test_current_by_topic_counts_every_supersession(spark, orders):
     want = {t: (max(x for x in current if x % 5 == t), sum(x % 5 == t for x in current)) for t in {x % 5 for x in current}}
     got = {r.topic: (r.current, r.n) for r in core.queries()["g12b_current_by_topic_whole"](spark, path).collect()}
     assert got == want and got
+
+
+def test_idf_keeps_rare_terms(spark, tmp_path):
+    texts = ["one two two", "Two three", "", None, "été two"] + ["two common"] * 20
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = {}
+    for t in texts:
+        for w in set(re.findall(r"\w+", (t or "").lower())):
+            df[w] = df.get(w, 0) + 1
+    want = {w: (n, round(math.log((len(texts) - n + 0.5) / (n + 0.5) + 1), 6)) for w, n in df.items()}
+    got = {r.term: (r.df, r.idf) for r in core.queries()["r05b_idf_whole"](spark, str(tmp_path)).collect()}
+    assert got == want
+    assert set(got) >= {"one", "three", "été"}
