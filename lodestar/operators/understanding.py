@@ -157,8 +157,11 @@ def mode(query: Column) -> Column:
 
 
 def resolve_reference(query: Column, entity: Column, pronoun: str = r"(?:it|its|that|this)") -> Column:
-    """The first pronoun becomes the carried entity; without one, or without an entity, the query stays."""
-    out = F.regexp_replace(query, F.lit(rf"(?is)^(.*?)\b{pronoun}\b"), F.concat(F.lit("$1"), entity))
+    """The first pronoun becomes the carried entity; without one, or without an entity, the query stays.
+
+    A word ends where no letter, number or underscore of any script follows, so the end of an accented word is no pronoun.
+    """
+    out = F.regexp_replace(query, F.lit(rf"(?isu)^(.*?)(?<![\p{{L}}\p{{N}}_]){pronoun}(?![\p{{L}}\p{{N}}_])"), F.concat(F.lit("$1"), entity))
     return F.when(entity.isNull(), query).otherwise(out)
 
 

@@ -42,7 +42,8 @@ def _(spark, sf):
 
 @query("k05_generic_sections", "SELECT conv_id, turn, 0 AS position, trim(text) AS text FROM conversations WHERE length(text) < 5000 AND trim(text) <> '' AND NOT contains(text, chr(10) || chr(10))")
 def _(spark, sf):
-    c = corpus.table(spark, sf, "conversations").where((F.length("text") < 5000) & ~F.col("text").contains("\n\n")).withColumn("id", F.struct("conv_id", "turn"))
+    # All texts; the SQL has only those that stay in one section, which all of the stored tables do.
+    c = corpus.table(spark, sf, "conversations").withColumn("id", F.struct("conv_id", "turn"))
     return K.generic_sections(c, "id", "text").select("id.conv_id", "id.turn", "position", "text")
 
 
@@ -176,11 +177,22 @@ def _(spark, sf):
 _CARRY = "t AS (SELECT conv_id, turn, text, CASE WHEN turn % 3 = 0 THEN role || CAST(turn AS VARCHAR) END AS v FROM conversations WHERE text IS NOT NULL), c AS (SELECT *, last_value(v IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS b FROM t)"
 
 
+def _resolved(turns):
+    t = turns.select("conv_id", "turn", "text", F.when(F.col("turn") % 3 == 0, F.concat("role", F.col("turn").cast("string"))).alias("v"))
+    c = N.carry_forward(t, "conv_id", "turn", "v")
+    return c.select("conv_id", "turn", "text", N.resolve_reference(F.col("text"), F.col("carried")).alias("resolved"))
+
+
+# n08b gives the turns in ASCII, as its SQL does; n08d all of them, which DuckDB's word boundaries would cut elsewhere.
 @query("n08b_resolve_references", f"WITH {_CARRY} SELECT conv_id, turn, CASE WHEN coalesce(v, b) IS NULL THEN text ELSE regexp_replace(text, '(?is)^(.*?)\\b(?:it|its|that|this)\\b', '\\1' || coalesce(v, b)) END AS resolved FROM c WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
 def _(spark, sf):
-    t = corpus.table(spark, sf, "conversations").where("text is not null").select("conv_id", "turn", "text", F.when(F.col("turn") % 3 == 0, F.concat("role", F.col("turn").cast("string"))).alias("v"))
-    c = N.carry_forward(t, "conv_id", "turn", "v")
-    return c.where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("conv_id", "turn", N.resolve_reference(F.col("text"), F.col("carried")).alias("resolved"))
+    c = _resolved(corpus.table(spark, sf, "conversations").where("text is not null"))
+    return c.where(~F.col("text").rlike(r"[^\x00-\x7F]")).drop("text")
+
+
+@query("n08d_resolve_references_whole")
+def _(spark, sf):
+    return _resolved(corpus.table(spark, sf, "conversations")).drop("text")
 
 
 @query("n08c_topic_thread", "SELECT conv_id, turn, count(DISTINCT role) OVER w AS n_topics FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")

@@ -55,3 +55,43 @@ def test_idf_keeps_rare_terms(spark, tmp_path):
     got = {r.term: (r.df, r.idf) for r in core.queries()["r05b_idf_whole"](spark, str(tmp_path)).collect()}
     assert got == want
     assert set(got) >= {"one", "three", "été"}
+
+
+@pytest.fixture(scope="module")
+def turns(spark, tmp_path_factory):
+    texts = [
+        "Is it open?", "Wo liegt Köln, and what is its rule?", "Ist das éit? Yes, that.", "ΑΒΓit it", "日本that is this", "plain", "", None,
+        "first part\n\nsecond part\n\n  \n\n third ", "x" * 6000, "\n\n".join(["ä" * 2400, "b" * 2500, "c" * 2600, "d" * 10]), "THIS été it", "a_it it", "line\nthat line",
+    ]
+    rows = [(i // 7, i % 7, "user" if i % 2 else "bot", t) for i, t in enumerate(texts)]
+    path = tmp_path_factory.mktemp("turns")
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{path}/conversations.parquet")
+    return str(path), rows
+
+
+def test_references_of_every_turn_are_resolved(spark, turns):
+    path, rows = turns
+    value = {(c, t): f"{role}{t}" if t % 3 == 0 else None for c, t, role, _ in rows}
+    want = {}
+    for c, t, _, text in rows:
+        v = next((value[c, k] for k in range(t, max(-1, t - 6), -1) if value[c, k]), None)
+        want[c, t] = re.sub(r"\b(?:it|its|that|this)\b", v, text, count=1, flags=re.I) if text and v else text
+    got = {(r.conv_id, r.turn): r.resolved for r in core.queries()["n08d_resolve_references_whole"](spark, path).collect()}
+    assert got == want
+    assert got[0, 2] == "Ist das éit? Yes, bot0."
+
+
+def test_generic_sections_of_every_text(spark, turns):
+    path, rows = turns
+    want = {}
+    for c, t, _, text in rows:
+        out = []
+        for p in filter(None, (p.strip(" ") for p in (text or "").split("\n\n"))):
+            if out and len(out[-1]) + len(p) <= 5000:
+                out[-1] += "\n\n" + p
+            else:
+                out.append(p)
+        want |= {(c, t, i): p for i, p in enumerate(out)}
+    got = {(r.conv_id, r.turn, r.position): r.text for r in core.queries()["k05_generic_sections"](spark, path).collect()}
+    assert got == want
+    assert any(i for _, _, i in got) and max(map(len, got.values())) >= 5000
