@@ -77,11 +77,17 @@ def _(spark, sf):
     return corpus.table(spark, sf, "customer").select("c_custkey", T.spelling(F.expr(_WRONG), SPELLING).alias("out"))
 
 
+# t16 takes the chunks of one kind, as its SQL does; t16b all of them.
 @query("t16_expand_acronyms", f"{corpus.WITH} SELECT chunk_id, {rewrite('text', [(rf'(?i)\b({k})\b', rf'\1 ({_ACRONYMS[k]})') for k in sorted(_ACRONYMS, key=lambda k: (-len(k), k))])} AS out FROM chunks WHERE kind = 5")
 def _(spark, sf):
     return corpus.chunks(spark, sf).where("kind = 5").select("chunk_id", T.expand_acronyms(F.col("text"), _ACRONYMS).alias("out"))
 
 
+@query("t16b_expand_acronyms_whole", f"{corpus.WITH} SELECT chunk_id, {rewrite('text', [(rf'(?i)\b({k})\b', rf'\1 ({_ACRONYMS[k]})') for k in sorted(_ACRONYMS, key=lambda k: (-len(k), k))])} AS out FROM chunks")
+def _(spark, sf):
+    return corpus.chunks(spark, sf).select("chunk_id", T.expand_acronyms(F.col("text"), _ACRONYMS).alias("out"))
+
+
 @query("t17_canonical_districts", f"SELECT c_custkey, {rewrite(_WRONG, [(rf'(?i)\b{k}\b', v) for k, v in _ALIASES.items()])} AS out FROM customer")
 def _(spark, sf):
     return corpus.table(spark, sf, "customer").select("c_custkey", T.canonical_names(F.expr(_WRONG), _ALIASES).alias("out"))
@@ -393,7 +399,7 @@ def _(spark, sf):
 
 @query("u06_sequence_ratio")
 def _(spark, sf):
-    c = corpus.chunks(spark, sf).where("kind = 2")
+    c = corpus.chunks(spark, sf)
     return c.select("chunk_id", U.sequence_ratio(F.col("text"), F.col("title")).alias("ratio"))
 
 

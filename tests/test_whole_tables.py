@@ -3,17 +3,21 @@
 import datetime
 import math
 import re
+from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar import queries as core
+from lodestar.functions import text as T
+from lodestar.plans import corpus, q_text
 
 
 @pytest.fixture(scope="module")
 def orders(spark, tmp_path_factory):
     """Orders as (o_orderkey, o_custkey): the number of an order is the key % 89 + 1, and it replaces custkey % 89 + 1."""
     rows = [(8 * i + (7 if i % 2 else 0), (5 * i) % 40, datetime.date(1992 + i % 7, 1 + i % 12, 1 + i % 28), "1-URGENT") for i in range(1, 60)]
-    rows += [(k, k, datetime.date(1995, 1, 1), "2-HIGH") for k in (9, 18, 27, 34, 43, 52, 61)]  # one of each kind besides
+    rows += [(k, k, datetime.date(1995, 1, 1), "2-HIGH") for k in (9, 18, 27, 36, 45, 54)]  # the other kinds
     path = tmp_path_factory.mktemp("orders")
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate date, o_orderpriority string").write.parquet(f"{path}/orders.parquet")
     return str(path), rows
@@ -95,3 +99,24 @@ def test_generic_sections_of_every_text(spark, turns):
     got = {(r.conv_id, r.turn, r.position): r.text for r in core.queries()["k05_generic_sections"](spark, path).collect()}
     assert got == want
     assert any(i for _, _, i in got) and max(map(len, got.values())) >= 5000
+
+
+def test_sequence_ratio_of_every_chunk(spark, orders):
+    path, rows = orders
+    forms = corpus.chunks(spark, path).select("chunk_id", "kind", T.for_comparison(F.col("text")).alias("a"), T.for_comparison(F.col("title")).alias("b")).collect()
+    assert {r.kind for r in forms} == set(range(8)) and len(forms) == len(rows)
+    got = {r.chunk_id: r.ratio for r in core.queries()["u06_sequence_ratio"](spark, path).collect()}
+    assert got == {r.chunk_id: round(SequenceMatcher(None, r.a, r.b).ratio(), 6) for r in forms}
+
+
+def test_acronyms_of_every_chunk_are_expanded(spark, orders):
+    path, rows = orders
+    table = q_text._ACRONYMS
+    want = {}
+    for r in corpus.chunks(spark, path).collect():
+        out = r.text
+        for k in sorted(table, key=lambda k: (-len(k), k)):
+            out = re.sub(rf"(?i)\b({k})\b", rf"\1 ({table[k]})", out)
+        want[r.chunk_id] = out
+    got = {r.chunk_id: r.out for r in core.queries()["t16b_expand_acronyms_whole"](spark, path).collect()}
+    assert got == want and len(got) == len(rows)
