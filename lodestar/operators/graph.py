@@ -5,6 +5,10 @@ Edges have source, target (any type), relation_type, confidence.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,42 +45,60 @@ def inverse_edges(edges: DataFrame) -> DataFrame:
     )
 
 
+def _kept(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """Written once to the shared folder (spark.checkpoint.dir) and read back, so a round does not repeat those before it."""
+    df.write.parquet(f"{folder}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def _rounds(spark: SparkSession, first: DataFrame, following, max_depth: int) -> DataFrame:
+    """All rows of ``first`` (depth 1) and of what ``following`` makes of each round, until one is empty or the depth is reached.
+
+    Unlike recursive SQL, which Spark stops at a million rows, this holds any number.
+    """
+    place = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/lodestar-scratch"
+    folder = f"{place.rstrip('/')}/lodestar-rounds-{uuid.uuid4().hex}"
+    rows = [_kept(first, folder, "1")]
+    for depth in range(2, max_depth + 1):
+        if rows[-1].isEmpty():
+            break
+        rows.append(_kept(following(rows[-1], depth), folder, str(depth)))
+    return reduce(DataFrame.unionByName, rows)
+
+
 def closure(spark: SparkSession, edges: DataFrame, max_depth: int = 10) -> DataFrame:
     """(source, target, depth, confidence): what each node reaches over the edges.
 
     Confidence is the product over the path of edge confidence and decay; of several paths the
     shortest counts, of equally short ones the most confident. Pairs at or below the floor are left
-    out at the end, as their continuations only fall. Distinct pairs are kept at each depth, so a
+    out, as their continuations only fall. Distinct pairs are kept at each depth, so a
     round never holds more than one row for each pair.
     """
-    edges.select("source", "target", "confidence").groupBy("source", "target").agg(F.max("confidence").alias("confidence")).createOrReplaceTempView("_lodestar_edges")
+    best = F.max("confidence").alias("confidence")
+    e = edges.groupBy("source", "target").agg(best)
+    first = e.where("source <> target").select("source", "target", F.lit(1).alias("depth"), (F.col("confidence") * CLOSURE_DECAY).alias("confidence")).where(F.col("confidence") > CLOSURE_FLOOR)
+    hop = e.select(F.col("source").alias("target"), F.col("target").alias("_next"), F.col("confidence").alias("_confidence"))
+
+    def following(walk: DataFrame, depth: int) -> DataFrame:
+        w = walk.join(hop, "target").where("_next <> source").select("source", F.col("_next").alias("target"), (F.col("confidence") * F.col("_confidence") * CLOSURE_DECAY).alias("confidence"))
+        return w.where(F.col("confidence") > CLOSURE_FLOOR).groupBy("source", "target").agg(best).select("source", "target", F.lit(depth).alias("depth"), "confidence")
+
     # A pair's confidence falls at least by the decay each hop, so a bounded number of hops is enough.
-    rows = spark.sql(
-        f"""
-        WITH RECURSIVE walk(source, target, depth, confidence) AS (
-          SELECT source, target, 1, confidence * {CLOSURE_DECAY} FROM _lodestar_edges WHERE source <> target
-          UNION ALL
-          SELECT w.source, e.target, w.depth + 1, w.confidence * e.confidence * {CLOSURE_DECAY}
-          FROM walk w JOIN _lodestar_edges e ON w.target = e.source
-          WHERE w.depth < {max_depth} AND e.target <> w.source AND w.confidence * e.confidence * {CLOSURE_DECAY} > {CLOSURE_FLOOR}
-        ) SELECT * FROM walk"""
-    )
-    best = F.row_number().over(Window.partitionBy("source", "target").orderBy("depth", F.desc("confidence")))
-    return rows.where(F.col("confidence") > CLOSURE_FLOOR).withColumn("_rn", best).where("_rn = 1").drop("_rn")
+    shortest = F.min_by(F.struct("depth", "confidence"), "depth").alias("b")
+    return _rounds(spark, first, following, max_depth).groupBy("source", "target").agg(shortest).select("source", "target", "b.depth", "b.confidence")
 
 
 def chains(spark: SparkSession, edges: DataFrame, max_depth: int = 10) -> DataFrame:
     """(start, node, depth): from each node along its first edge (the least target), until the end, a cycle or the depth."""
-    edges.groupBy("source").agg(F.min("target").alias("target")).createOrReplaceTempView("_lodestar_first")
-    return spark.sql(
-        f"""
-        WITH RECURSIVE chain(start, node, depth, path) AS (
-          SELECT source, target, 1, array(source, target) FROM _lodestar_first WHERE source <> target
-          UNION ALL
-          SELECT c.start, f.target, c.depth + 1, array_append(c.path, f.target) FROM chain c JOIN _lodestar_first f ON c.node = f.source
-          WHERE c.depth < {max_depth} AND NOT array_contains(c.path, f.target)
-        ) SELECT start, node, depth FROM chain"""
-    )
+    f = edges.groupBy("source").agg(F.min("target").alias("target"))
+    first = f.where("source <> target").select(F.col("source").alias("start"), F.col("target").alias("node"), F.lit(1).alias("depth"), F.array("source", "target").alias("path"))
+    hop = f.select(F.col("source").alias("node"), F.col("target").alias("_next"))
+
+    def following(chain: DataFrame, depth: int) -> DataFrame:
+        c = chain.join(hop, "node").where(~F.array_contains("path", F.col("_next")))
+        return c.select("start", F.col("_next").alias("node"), F.lit(depth).alias("depth"), F.array_append("path", F.col("_next")).alias("path"))
+
+    return _rounds(spark, first, following, max_depth).select("start", "node", "depth")
 
 
 def chain_ends(walked: DataFrame) -> DataFrame:

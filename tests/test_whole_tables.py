@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestar import queries as core
 from lodestar.functions import text as T
+from lodestar.operators import graph
 from lodestar.plans import corpus, q_text
 
 
@@ -120,3 +121,41 @@ def test_acronyms_of_every_chunk_are_expanded(spark, orders):
         want[r.chunk_id] = out
     got = {r.chunk_id: r.out for r in core.queries()["t16b_expand_acronyms_whole"](spark, path).collect()}
     assert got == want and len(got) == len(rows)
+
+
+@pytest.fixture
+def few_rows(spark):
+    """Spark stops recursive SQL at this number of rows; a million in use, which takes long to pass."""
+    key = "spark.sql.cteRecursionRowLimit"
+    spark.conf.set(key, 50)
+    yield
+    spark.conf.unset(key)
+
+
+def test_chains_hold_any_number_of_rows(spark, few_rows):
+    target = {i: i // 3 for i in range(1, 200) if i % 7} | {300: 301, 301: 302, 302: 300, 400: 400}
+    want = set()
+    for start in target:
+        path = [start]
+        while len(path) <= 10 and path[-1] in target and target[path[-1]] not in path:
+            path.append(target[path[-1]])
+            want.add((start, path[-1], len(path) - 1))
+    edges = spark.createDataFrame([(s, t, 0.9) for s, t in target.items()], "source long, target long, confidence double")
+    got = [tuple(r) for r in graph.chains(spark, edges).collect()]
+    assert len(got) == len(set(got)) > 50 and set(got) == want
+    ends = {r.start: (r.current, r.length) for r in graph.chain_ends(graph.chains(spark, edges)).collect()}
+    assert ends == {s: max(((n, d) for x, n, d in want if x == s), key=lambda p: p[1]) for s in {x for x, _, _ in want}}
+
+
+def test_closure_holds_any_number_of_rows(spark, few_rows):
+    edges = {(i, j): 0.5 + (i * 7 + j) % 11 / 20 for i in range(40) for j in ((i + 1) % 40, (i * 3 + 2) % 40, (i * 5) % 40)}
+    step = {(s, t, 1, c * 0.8) for (s, t), c in edges.items() if s != t}
+    want = {}
+    for _ in range(10):
+        for s, t, d, c in sorted(step, key=lambda r: -r[3]):
+            if c > 0.3:
+                want.setdefault((s, t), (d, round(c, 9)))
+        step = {(s, t, d + 1, c * edges[u, t] * 0.8) for s, u, d, c in step for v, t in edges if v == u and t not in (u, s) and c * edges[u, t] * 0.8 > 0.3}
+    df = spark.createDataFrame([(*k, c) for k, c in edges.items()], "source long, target long, confidence double")
+    got = {(r.source, r.target): (r.depth, round(r.confidence, 9)) for r in graph.closure(spark, df).collect()}
+    assert got == want and len(got) > 50
