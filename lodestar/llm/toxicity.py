@@ -7,8 +7,8 @@ happens to go with a group moves onto the other words of the text. A swap takes
 it, where no other word of the text has them, and brings those of the other term, seen in the sample or not.
 
 The classifier is fitted on a bounded sample: at most ``max_labels`` labelled training rows, chosen by
-a hash of the id, and at most ``max_words`` words, those whose presence differs most between the
-classes. All texts are scored, whole.
+a hash of the id, and on every feature of theirs whose presence differs between the classes by
+``min_z`` standard errors in ``min_rows`` rows or more. All texts are scored, whole.
 
 Defined results: a null or empty text has the score of a text without any known word; null labels
 teach nothing; an id with several labels is toxic if one says so; without both classes among the
@@ -99,33 +99,60 @@ def fit(rows: list[tuple[int, list[int]]], vocabulary: list[str], ridge: float =
     if not n or y.min() == y.max():
         rate = float(y.mean()) if n else 0.0
         return Model(float(np.log(max(rate, 1e-9) / max(1 - rate, 1e-9))), {})
-    x = np.zeros((n, k + 1), np.float32)
-    for i, (_, at) in enumerate(rows):
-        x[i, at] = 1
-    x[:, k] = 1
+    # Ones at (row, feature), the bias being feature k; only these are stored, so any number of features fits.
+    size = np.array([len(r[1]) for r in rows])
+    row = np.concatenate([np.repeat(np.arange(n), size), np.arange(n)])
+    col = np.concatenate([np.fromiter((i for r in rows for i in r[1]), np.int64, int(size.sum())), np.full(n, k)])
     index = {w: i for i, w in enumerate(vocabulary)}
-    penalty = np.eye(k + 1) * ridge
-    penalty[k, k] = 1e-6
+    ridges = np.full(k + 1, ridge, float)
+    ridges[k] = 1e-6
     if swapped is None:
         swapped = Counter((g, tuple(a), tuple(b)) for _, at in rows for g, a, b in swaps({vocabulary[i] for i in at}, index.keys(), groups))
-    for (g, leaving, entering), m in swapped.items():  # the swap moves the texts' logit by the weights that enter less those that leave
-        at = [index[v] for v in (*leaving, *entering)]
-        sign = np.array([-1.0] * len(leaving) + [1.0] * len(entering))
-        penalty[np.ix_(at, at)] += m * swap / max(1, len(groups[g]) - 1) * np.outer(sign, sign)
+    # A swap moves its texts' logit by the weights that enter less those that leave.
+    cells = [(i, index[v], sign) for i, (_, leaving, entering) in enumerate(swapped) for part, sign in ((leaving, -1.0), (entering, 1.0)) for v in part]
+    which, at, sign = (np.array(x, t) for x, t in zip(zip(*cells, strict=True) if cells else ((), (), ()), (np.int64, np.int64, float), strict=True))
+    force = np.array([m * swap / max(1, len(groups[g]) - 1) for (g, _, _), m in swapped.items()], float)
+
+    def logits(v):
+        return np.bincount(row, v[col], n)
+
+    def back(u):
+        return np.bincount(col, u[row], k + 1)
+
+    def penalty(v):
+        moved = force * np.bincount(which, sign * v[at], len(force))
+        return ridges * v + np.bincount(at, sign * moved[which], k + 1)
+
+    def solve(curve, g):
+        """Conjugate gradients on the Hessian, scaled by its diagonal."""
+        scale = back(curve) + ridges + np.bincount(at, force[which], k + 1)
+        v, left = np.zeros(k + 1), g.copy()
+        z = left / scale
+        d, rz = z.copy(), left @ z
+        for _ in range(2000):
+            if np.abs(left).max() <= 1e-9 * max(1.0, np.abs(g).max()):
+                break
+            h = back(curve * logits(d)) + penalty(d)
+            a = rz / (d @ h)
+            v += a * d
+            left -= a * h
+            z = left / scale
+            rz, old = left @ z, rz
+            d = z + rz / old * d
+        return v
+
     w = np.zeros(k + 1)
     w[k] = np.log(y.mean() / (1 - y.mean()))
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + penalty @ w
-        hessian = (x.T * np.maximum(p * (1 - p), 1e-6).astype(np.float32)) @ x + penalty
-        step = np.linalg.solve(hessian, gradient)
+        p = 1 / (1 + np.exp(-np.clip(logits(w), -30, 30)))
+        step = solve(np.maximum(p * (1 - p), 1e-6), back(p - y) + penalty(w))
         w -= step * min(1.0, 8 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-6:
             break
     return Model(float(w[k]), {v: float(w[i]) for i, v in enumerate(vocabulary)})
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, max_words: int = 600, min_rows: int = 5, min_z: float = 3.5, groups=IDENTITY_TERMS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, min_rows: int = 5, min_z: float = 3.5, groups=IDENTITY_TERMS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     spark = docs.sparkSession
     ids = training_ids(labels, max_labels, id_col, label_col)
     ids = spark.createDataFrame([(r["doc_id"], r["y"]) for r in ids.collect()], "doc_id long, y int")  # bounded by max_labels
@@ -145,10 +172,14 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, max_word
         share = F.col("n") / F.lit(max(1.0, n1 + n0))
         z = (F.col("a") / F.lit(max(1.0, n1)) - F.col("b") / F.lit(max(1.0, n0))) / F.sqrt(share * (1 - share + 1e-9) * (1 / max(1, n1) + 1 / max(1, n0)))
         passing = per_word.where((F.col("n") >= min_rows) & (F.abs(z) >= min_z) | F.col("w").isin(terms))
-        top = passing.orderBy(F.col("w").isin(terms).desc(), F.abs(z).desc(), "w").limit(max_words)
-        vocabulary = sorted(r["w"] for r in top.select("w").collect())
-        index = F.array(*[F.lit(v) for v in vocabulary]) if vocabulary else F.array().cast("array<string>")
-        rows = bags.select("doc_id", "y", F.array_intersect("w", index).alias("w")).collect()  # max_labels rows of known words
+        vocabulary = sorted(r["w"] for r in passing.select("w").collect())  # at least min_rows of the labelled sample hold each
+        at = {v: i for i, v in enumerate(vocabulary)}
+
+        def present(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([sorted(at[v] for v in w if v in at) for w in b.column(2).to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "y", "w"])
+
+        rows = bags.mapInArrow(present, "doc_id long, y int, w array<int>").collect()  # max_labels rows of known features
         known = frozenset(vocabulary)
 
         def changes(batches):
@@ -162,12 +193,11 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, max_word
         swapped = {(r["g"], tuple(r["leaving"]), tuple(r["entering"])): r["count"] for r in different.orderBy("g", "leaving", "entering").collect()}
     finally:
         bags.unpersist()
-    at = {v: i for i, v in enumerate(vocabulary)}
-    return fit([(r["y"], [at[w] for w in r["w"]]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["y"], r["w"]))], vocabulary, groups=groups, swapped=swapped)
+    return fit([(r["y"], r["w"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["y"], r["w"]))], vocabulary, groups=groups, swapped=swapped)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score, predicted of every document. The model has at most ``max_words`` weights."""
+    """doc_id, score, predicted of every document. The model is bounded by the labelled sample."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

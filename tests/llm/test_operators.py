@@ -420,6 +420,31 @@ def test_swaps_are_the_difference_of_feature_sets():
         assert list(toxicity.swaps(toxicity.features(" ".join(w)), known)) == want
 
 
+def test_toxicity_keeps_every_telling_word(spark):
+    """200 words that go with the label, with stems about 1,000 features; a rare insult comes last among them."""
+    rng = random.Random(17)
+    with_label = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(200)]
+    rows, labels = [], []
+    for i in range(2000):
+        bad = i % 3 == 0
+        rows.append((i, " ".join([w for w in with_label if rng.random() < (0.5 if bad else 0.1)] + (["nastyface"] if bad and i < 100 else []))))
+        labels.append((i, int(bad)))
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert {"nastyface", *with_label} <= set(model.weights) and len(model.weights) > 600
+
+
+def test_toxicity_fit_is_the_minimum():
+    rng = np.random.default_rng(2)
+    vocabulary = ["muslim", "christian", "musl*", "chri*", "tree", "bad"]
+    rows = [(int(rng.random() < 0.4), [i for i in range(6) if rng.random() < 0.3]) for _ in range(300)]
+    m = toxicity.fit(rows, vocabulary)
+    x = np.array([[float(i in at) for i in range(6)] + [1.0] for _, at in rows])
+    y, w = np.array([r[0] for r in rows]), np.array([m.weights[v] for v in vocabulary] + [m.bias])
+    swaps = [(np.array([(v in b) - (v in a) for v in vocabulary] + [0.0]), 4.0 / (len(toxicity.IDENTITY_TERMS[g]) - 1)) for _, at in rows for g, a, b in toxicity.swaps({vocabulary[i] for i in at}, set(vocabulary))]
+    gradient = x.T @ (1 / (1 + np.exp(-x @ w)) - y) + w * ([1.0] * 6 + [1e-6]) + sum(f * d * (d @ w) for d, f in swaps)
+    assert swaps and np.abs(gradient).max() < 1e-4
+
+
 def test_held_out(spark):
     df = spark.createDataFrame([(i,) for i in range(50)], "doc_id long").select("doc_id", common.held_out().alias("h"))
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in df.collect())
