@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows go to Python workers at most ``rows`` at a time: texts are long, and the default of 10,000 is meant for short rows."""
+    """Rows go to Python workers at most ``rows`` at a time: texts are long, and the default of 10,000 is meant for short rows.
+
+    Results are lazy, so this holds for the session from then on. The registered queries and the
+    pipeline call it; the operators leave the session's settings alone.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:
         spark.conf.set(key, rows)
@@ -33,14 +38,15 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text) with a null text as the empty one."""
-    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one only if it is unset."""
+    """The folder that all executors share (spark.checkpoint.dir); a temporary one only if it is unset and the session is local."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         place = f"file://{tempfile.gettempdir()}/lodestar-scratch"
     return place.rstrip("/")
 
@@ -52,10 +58,26 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cuts the lineage: written once to the shared folder and read back, so a lost executor costs no recomputation."""
     path = scratch_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    with _shuffle_files_go(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def _shuffle_files_go(spark: SparkSession):
+    """Shuffle files of what runs inside are deleted when it ends, not when the driver's collector gets to them."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def remove(spark: SparkSession, df_or_path) -> None:
     """Deletes scratch data that no later plan reads."""
     paths = [df_or_path] if isinstance(df_or_path, str) else sorted({f.rsplit("/", 1)[0] for f in df_or_path.inputFiles()})

@@ -19,8 +19,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
@@ -281,7 +279,6 @@ def _flat(node: Node) -> str:
 
 def extract_text(pages: DataFrame, keys: tuple[str, ...] = ("page_id", "url"), html_col: str = "html") -> DataFrame:
     """The key columns, text and n_chars (code points) of every page."""
-    small_batches(pages.sparkSession)
     d = pages.select(*keys, F.coalesce(F.col(html_col), F.lit("")).alias("__html"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema.fields[:-1]) + ", text string, n_chars long"
 

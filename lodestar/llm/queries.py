@@ -1,11 +1,20 @@
-"""The registered queries of this package and their SQL; each applies its operator to its whole table."""
+"""The registered queries of this package and their SQL; each applies its operator to its whole table.
+
+A query sets how many rows at a time go to Python workers (see small_batches); the operators leave the session's settings alone.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from . import exact_dedup, html_text, language_id, ngram_join, packing, quality_rules, sentencepiece_scan, sstable, suffix_dedup, toxicity
-from .common import held_out, table
+from .common import held_out, small_batches
+from .common import table as stored
+
+
+def table(spark, sf_dir, name):
+    small_batches(spark)
+    return stored(spark, sf_dir, name)
 
 
 def op1_sentencepiece(spark, sf_dir):

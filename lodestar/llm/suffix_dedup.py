@@ -15,18 +15,23 @@ all suffixes would settle this, but equal strings of that length also agree on w
    Splitters carry a tie-breaker, so equal segments of any number spread over several ranges.
 4. An edge, a segment unlike all others of its gram, holds a place where repeated text begins or ends. The
    different segments of a gram meet (copies are represented by one) and their windows are
-   compared, by hash and then by bytes, for the first and last repeated one. Grams with more than
-   ``MOST_VARIANTS`` different segments do this by a distributed aggregation over window hashes instead.
+   compared, by hash and then by bytes, for the first and last repeated one. A gram with more than
+   ``MOST_VARIANTS`` different segments is not gathered in a task: its windows are aggregated by hash,
+   and the first and last of each segment are compared by bytes with another place of that hash.
 5. The intervals join the texts.
 
+Text of a short period (a run of dashes) would move the anchor with every byte. A gram that repeats
+itself after at most ``PERIOD`` bytes is an anchor only where a window has no other, and of a periodic
+stretch only the first three periods are sorted: every later window equals one of those, byte for byte.
+
 Defined results: a null text is empty; matches never cross documents; overlaps count; rows that repeat
-an id and a text are two places of the same string; texts shorter than ``LENGTH`` are untouched.
+an id and a text are two places of the same string; texts shorter than ``LENGTH`` are untouched. Ids
+are integers; rows with a null id are told apart by their text.
 """
 
 from __future__ import annotations
 
 import bisect
-import gc
 import hashlib
 import zlib
 
@@ -34,14 +39,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import Rolling, materialize, mix64, remove, texts
+from .common import Rolling, materialize, mix64, remove, texts, word_spans
 
 LENGTH, GRAM = 400, 128
 SEGMENT = 1 << 18  # windows that are hashed at a time
+PERIOD = 64
 RANGE_BYTES = 24 << 20  # of segments in a range of the sort
-SAMPLE = 4000  # segments from which splitters are taken
-MOST_VARIANTS = 4096
+SAMPLE = 32  # segments a range from which splitters are taken
+SPLITTER_BYTES = 128 << 20  # of splitters, which are broadcast; beyond it ranges are larger
+MOST_TASKS = 20_000  # of the merge; a task merges several ranges one after the other
+MOST_VARIANTS = 512
+_PERIODIC = np.uint64(1 << 63)
 _NO_ID = -(1 << 63)
 
 
@@ -58,18 +69,78 @@ def sliding_argmin(h: np.ndarray, width: int) -> np.ndarray:
     return np.where(v[:m] <= v[off : off + m], at[:m], at[off : off + m]) if off else at[:m]
 
 
+def _same_for(a: np.ndarray, b: np.ndarray) -> int:
+    """How many leading bytes are equal."""
+    k, step, n = 0, 256, min(len(a), len(b))
+    while k < n:
+        x = np.flatnonzero(a[k : min(n, k + step)] != b[k : min(n, k + step)])
+        if len(x):
+            return k + int(x[0])
+        k, step = k + step, 2 * step
+    return n
+
+
+def _stretches(data: np.ndarray, places: np.ndarray, gram: int) -> list[tuple[int, int, int]]:
+    """(start, end, period) of the stretches around those grams that repeat themselves after at most PERIOD bytes and half their length."""
+    most = min(PERIOD, gram // 2, gram - 8)
+    if most < 1 or not len(places):
+        return []
+    heads = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, most + 8)[places])
+    eight = np.ndarray((len(places), most + 1), "<u8", heads, 0, (most + 8, 1))  # the 8 bytes from each place on
+    again = eight[:, 1:] == eight[:, :1]
+    out: list[tuple[int, int, int]] = []
+    for i in np.flatnonzero(again.any(1)):
+        at = int(places[i])
+        if out and at + gram <= out[-1][1]:  # in the last stretch
+            continue
+        q = next((int(q) + 1 for q in np.flatnonzero(again[i]) if (data[at : at + gram - q - 1] == data[at + q + 1 : at + gram]).all()), 0)
+        if q:
+            out.append((at - _same_for(data[:at][::-1], data[q : at + q][::-1]), at + q + _same_for(data[at + q :], data[at : len(data) - q]), q))
+    return out
+
+
+def places_of(data: np.ndarray, length: int, gram: int):
+    """Gram hashes, the anchor of every window, and the periodic stretches (start, end, period) that were met.
+
+    The anchor is the leftmost least of the grams without a short period, or of all where a window has no other:
+    a function of the window's bytes alone. Periodic grams are marked, stretch by stretch, until no anchor is one by surprise.
+    """
+    h = Rolling(data).windows(gram) & ~_PERIODIC
+    stretches: list[tuple[int, int, int]] = []
+    known = np.zeros(0, np.int64)
+    while True:
+        at = sliding_argmin(h, length - gram + 1)
+        places = np.unique(at)
+        places = places[h[places] < _PERIODIC]
+        new = np.setdiff1d(places, known, assume_unique=True)
+        met = _stretches(data, new, gram)
+        if not met:
+            return h, at, stretches
+        known = np.union1d(known, new)
+        for s, e, _ in met:
+            h[s : e - gram + 1] |= _PERIODIC
+        stretches += met
+
+
 def anchors_of(data: np.ndarray, length: int = LENGTH, gram: int = GRAM, segment: int = SEGMENT):
-    """Arrays lo, hi, gram hash, segment hash of one text's bytes."""
+    """Arrays lo, hi, gram hash, segment hash, proven of one text's bytes; proven ranges are repeated, the rest is to be sorted."""
     out = []
     for x in range(0, max(0, len(data) - length + 1), segment):
         part = data[x : x + segment + length - 1]
-        r = Rolling(part)
-        h = r.windows(gram)
-        at = sliding_argmin(h, length - gram + 1)
+        h, at, stretches = places_of(part, length, gram)
         cut = np.flatnonzero(np.diff(at))
         lo, hi = np.concatenate(([0], cut + 1)), np.concatenate((cut, [len(at) - 1]))
-        s = mix64(r.spans(lo, hi + length) * np.uint64(0x9E3779B97F4A7C15) + (at[lo] - lo).astype(np.uint64))
-        out.append((lo + x, hi + x, h[at[lo]].view(np.int64), s.view(np.int64)))
+        proven = np.zeros(len(lo), bool)
+        for s, e, q in stretches:  # a window from the fourth period on equals the one a period before it
+            i, j = np.searchsorted(lo, s + 3 * q), np.searchsorted(hi, e - length, "right")
+            if i < j:
+                proven[i] = True
+                hi[i] = hi[j - 1]
+                keep = np.ones(len(lo), bool)
+                keep[i + 1 : j] = False
+                lo, hi, proven = lo[keep], hi[keep], proven[keep]
+        s = mix64(Rolling(part).spans(lo, hi + length) * np.uint64(0x9E3779B97F4A7C15) + (at[lo] - lo).astype(np.uint64))
+        out.append((lo + x, hi + x, h[at[lo]].view(np.int64), s.view(np.int64), proven))
     return [np.concatenate(c) for c in zip(*out, strict=True)] if out else None
 
 
@@ -80,6 +151,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def find_anchors(keyed: DataFrame, length: int, gram: int) -> DataFrame:
+    """Rows did, tie, lo, hi, g, s; g is null where the range is known to be repeated."""
+
     def run(batches):
         for b in batches:
             for did, tie, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
@@ -87,7 +160,7 @@ def find_anchors(keyed: DataFrame, length: int, gram: int) -> DataFrame:
                 if (a := anchors_of(data, length, gram)) is not None:
                     n = len(a[0])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, did)), pa.array(np.full(n, tie)), pa.array(a[0]), pa.array(a[1]), pa.array(a[2]), pa.array(a[3])], names=["did", "tie", "lo", "hi", "g", "s"]
+                        [pa.array(np.full(n, did)), pa.array(np.full(n, tie)), pa.array(a[0]), pa.array(a[1]), pa.array(a[2], mask=a[4]), pa.array(a[3])], names=["did", "tie", "lo", "hi", "g", "s"]
                     )
 
     def packed(batches):  # one batch for many small texts
@@ -210,8 +283,26 @@ def repeated_of(merged) -> list[bytes]:
     return out
 
 
-def cut_runs(items: list[tuple[bytes, bytes]], splitters: list[tuple[bytes, bytes]]) -> list[tuple[int, bytes]]:
-    """Sorts a task's segments and front-codes its part of each range; hot splitters get a witness in each range they span.
+def separators(items: list[tuple[bytes, bytes]], every: int) -> list[tuple[bytes, bytes]]:
+    """Of sorted items, for each ``every``-th: the shortest string that is above the item before it, or itself where they have one segment."""
+    out = []
+    for i in range(every // 2, len(items), every):
+        seg, last = items[i][0], items[i - 1][0] if i else b""
+        out.append(items[i] if i and seg == last else (seg[: common_prefix(last, seg, 0) + 1], b""))
+    return sorted(set(out))
+
+
+def hot_segments(splitters: list[tuple[bytes, bytes]]) -> dict[bytes, range]:
+    """The ranges over which a segment that is itself a splitter spreads."""
+    out: dict[bytes, range] = {}
+    for r, (seg, payload) in enumerate(splitters):
+        if payload:
+            out[seg] = range(out[seg].start if seg in out else r, r + 2)
+    return out
+
+
+def cut_runs(items: list[tuple[bytes, bytes]], splitters: list[tuple[bytes, bytes]], hot: dict[bytes, range]) -> list[tuple[int, bytes]]:
+    """Sorts a task's segments and front-codes its part of each range; a hot segment gets a witness in each range it spans.
 
     A payload begins with a tie-breaker, so (segment, payload) orders equal segments; only the
     segment is compared when ranges are merged.
@@ -220,15 +311,11 @@ def cut_runs(items: list[tuple[bytes, bytes]], splitters: list[tuple[bytes, byte
     parts: dict[int, list[tuple[bytes, bytes]]] = {}
     for it in items:
         parts.setdefault(bisect.bisect_right(splitters, it), []).append(it)
-    for r in range(len(splitters)):
-        seg = splitters[r][0]  # ranges r and r + 1 may both hold this segment
+    for seg, spans in hot.items():
         lo, hi = bisect.bisect_left(items, (seg, b"")), bisect.bisect_right(items, (seg, b"\xff" * 25))
-        if lo < hi:
-            first, last = bisect.bisect_left([s[0] for s in splitters], seg), bisect.bisect_right([s[0] for s in splitters], seg)
-            for to in range(first, last + 1):
-                other = next((items[i] for i in (lo, hi - 1) if bisect.bisect_right(splitters, items[i]) != to), None)
-                if other is not None:
-                    bisect.insort(parts.setdefault(to, []), (seg, b"\0" * 24))
+        for to in spans if lo < hi else ():
+            if any(bisect.bisect_right(splitters, items[i]) != to for i in (lo, hi - 1)):
+                bisect.insort(parts.setdefault(to, []), (seg, b"\0" * 24))
     return [(r, front_code(p)) for r, p in sorted(parts.items())]
 
 
@@ -273,12 +360,6 @@ def _groups(keys: np.ndarray, values: np.ndarray):
     return keys[np.concatenate(([0], cut))].tolist(), np.split(values, cut)
 
 
-def _tidy(spark) -> None:
-    """Lets Spark's cleaner delete the shuffle files of steps whose result is stored."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 _SPAN = "did long, tie long, lo long, hi long"
 
 
@@ -289,38 +370,39 @@ def _payload(did: int, tie: int, lo: int) -> bytes:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_variants: int = MOST_VARIANTS, range_bytes: int = RANGE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(did, tie, lo, hi): byte ranges that are to go, not yet merged; see _keyed for did and tie."""
+    """(did, tie, lo, hi): byte ranges that are to go, not yet merged; see _keyed for did and tie. Stored; what led to it is deleted."""
     spark = docs.sparkSession
     keyed = _keyed(docs, id_col, text_col)
     found = materialize(find_anchors(keyed, length, gram), "anchors")
+    direct = materialize(found.where("g is null").select("did", "tie", "lo", (F.col("hi") + length).alias("hi")), "direct")
     # Stored, so that both sides of the join are plain exchanges, whose large partitions can be split.
-    grams = materialize(found.groupBy("g").agg(F.count("*").alias("gn")).where("gn > 1").select("g"), "grams")
+    grams = materialize(found.where("g is not null").groupBy("g").agg(F.count("*").alias("gn")).where("gn > 1").select("g"), "grams")
     alive = materialize(found.join(grams, "g"), "alive")
     remove(spark, found)
-    _tidy(spark)
+    remove(spark, grams)
     me = F.xxhash64("did", "tie", "lo")
-    kinds = alive.groupBy("g", "s").agg(F.count("*").alias("n"), F.min(me).alias("rep"))
-    kinds = materialize(kinds, "kinds")
-    variants = kinds.groupBy("g").agg(F.count("*").alias("k")).where("k > 1")
-    kinds = materialize(kinds.join(variants, "g", "left"), "kinds")
+    per_kind = materialize(alive.groupBy("g", "s").agg(F.count("*").alias("n"), F.min(me).alias("rep")), "kinds")
+    variants = per_kind.groupBy("g").agg(F.count("*").alias("k")).where("k > 1")
+    kinds = materialize(per_kind.join(variants, "g", "left"), "kinds")
+    remove(spark, per_kind)
     # item: goes into the sort. meets: goes to its gram's edge comparison.
     judged = alive.join(kinds, ["g", "s"]).select(
         "did", "tie", F.struct("lo", "hi", "g", "k", (F.col("n") > 1).alias("item"), (F.col("k").isNotNull() & ((F.col("n") == 1) | (F.col("rep") == me))).alias("meets")).alias("a")
     )
     per_doc = materialize(judged.where("a.item or a.meets").groupBy("did", "tie").agg(F.collect_set("a").alias("a")), "per-doc")
-    _tidy(spark)
+    remove(spark, kinds)
     splitters = _splitters(keyed, alive, length, range_bytes)
     remove(spark, alive)
-    shared = spark.sparkContext.broadcast(splitters)  # at most SAMPLE short strings
+    shared = spark.sparkContext.broadcast(splitters)  # at most SPLITTER_BYTES
 
     def send(batches):
         """Kind 0: a front-coded part of a run for range ``key``. Kind 1: a segment for the comparison of gram ``key``."""
         names = ["kind", "key", "did", "tie", "lo", "k", "single", "seg"]
         types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-        items, size = [], 0
+        items, size, hot = [], 0, hot_segments(shared.value)
 
         def runs():
-            parts = cut_runs(items, shared.value)
+            parts = cut_runs(items, shared.value, hot)
             items.clear()
             n = len(parts)
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(([0] * n, [p[0] for p in parts], *[[None] * n] * 5, [p[1] for p in parts]), types, strict=True)], names=names)
@@ -346,7 +428,6 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
 
     marked = keyed.join(per_doc, ["did", "tie"]).select("did", "tie", F.col("text").cast("binary").alias("text"), "a")
     sent = materialize(marked.mapInArrow(send, "kind int, key long, did long, tie long, lo long, k long, single boolean, seg binary"), "runs")
-    _tidy(spark)
 
     def merge(batches):
         def done(blocks):
@@ -365,7 +446,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
         if blocks:
             yield done(blocks)
 
-    ranges = sent.where("kind = 0").select("key", "seg").repartition(len(splitters) + 1, "key").sortWithinPartitions("key")
+    ranges = sent.where("kind = 0").select("key", "seg").repartition(min(MOST_TASKS, len(splitters) + 1), "key").sortWithinPartitions("key")
     sorted_hits = ranges.mapInArrow(merge, "did long, tie long, lo long")
     ends = per_doc.select("did", "tie", F.explode("a").alias("a")).where("a.item").select("did", "tie", "a.lo", (F.col("a.hi") + length).alias("hi"))
     whole = sorted_hits.join(ends, ["did", "tie", "lo"]).select("did", "tie", "lo", "hi")
@@ -373,8 +454,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     def compare(batches):
         def done(rows):
             segs = [r[4] for r in rows]
-            # Where the gram lies in each segment: its least hash, leftmost, over any window of it.
-            at = [int(np.argmin(Rolling(np.frombuffer(s, np.uint8)).windows(gram)[: length - gram + 1])) for s in segs]
+            at = [int(places_of(np.frombuffer(s[:length], np.uint8), length, gram)[1][0]) for s in segs]  # where the gram lies
             out = [(r[0], r[1], r[2] + e[0], r[2] + e[1] + length) for r, e in zip(rows, edge_windows(segs, [r[3] for r in rows], [-x for x in at], length), strict=True) if e]
             return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(4)], names=["did", "tie", "lo", "hi"])
 
@@ -391,40 +471,91 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
 
     edges = sent.where("kind = 1")
     few = edges.where(F.col("k") <= most_variants).select("key", "did", "tie", "lo", "single", "seg").repartition("key").sortWithinPartitions("key")
-    spans = whole.unionByName(few.mapInArrow(compare, _SPAN))
-    return spans.unionByName(_many_variants(edges.where(F.col("k") > most_variants), length))
+    spans = whole.unionByName(few.mapInArrow(compare, _SPAN)).unionByName(direct)
+    many = edges.where(F.col("k") > most_variants).select("did", "tie", "lo", "single", "seg")
+    if not many.isEmpty():
+        spans = spans.unionByName(_many_variants(many, length))
+    spans = materialize(spans, "spans")
+    for x in (per_doc, sent, direct):
+        remove(spark, x)
+    return spans
+
 
+def _window_hashes(seg: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of every window: one of its bytes, one of its bytes from the end."""
+    data = np.frombuffer(seg, np.uint8)
+    return Rolling(data).windows(length).view(np.int64), Rolling(data[::-1].copy()).windows(length)[::-1].copy().view(np.int64)
 
-def _many_variants(edges: DataFrame, length: int) -> DataFrame:
-    """The edge comparison of grams with very many variants: an aggregation over 128-bit window hashes."""
+
+def _many_variants(edges: DataFrame, length: int, hashes=_window_hashes) -> DataFrame:
+    """The edge comparison of grams with very many variants: an aggregation over window hashes, then bytes.
+
+    The first and the last window of a segment whose hash occurs twice are compared with another
+    place of that hash. Should they differ, all places of the segment's hashes are grouped by bytes.
+    """
+    place = ["did", "tie", "lo", "p"]
 
     def windows(batches):
         for b in batches:
             for did, tie, lo, single, seg in zip(*(b.column(n).to_pylist() for n in ("did", "tie", "lo", "single", "seg")), strict=True):
-                r = Rolling(np.frombuffer(seg, np.uint8))
                 n = len(seg) - length + 1
-                s = np.arange(n)
-                second = Rolling(np.frombuffer(seg, np.uint8)[::-1].copy()).windows(length)[::-1]
-                arrays = [r.windows(length).view(np.int64), second.copy().view(np.int64), np.full(n, did), np.full(n, tie), s + lo, np.full(n, lo)]
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays] + [pa.array(np.full(n, single))], names=["w", "v", "did", "tie", "p", "lo", "single"])
-
-    w = edges.select("did", "tie", "lo", "single", "seg").mapInArrow(windows, "w long, v long, did long, tie long, p long, lo long, single boolean")
-    twice = w.groupBy("w", "v").agg(F.count("*").alias("n")).where("n > 1").select("w", "v")
-    hit = w.where("single").join(twice, ["w", "v"])
-    return hit.groupBy("did", "tie", F.col("lo").alias("at")).agg(F.min("p").alias("lo"), (F.max("p") + length).alias("hi")).select("did", "tie", "lo", "hi")
+                arrays = [*hashes(seg, length), np.full(n, did), np.full(n, tie), np.full(n, lo), np.arange(n) + lo]
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays] + [pa.array(np.full(n, single))], names=["w", "v", *place, "single"])
+
+    segments = edges.dropDuplicates(["did", "tie", "lo"]).select("did", "tie", "lo", "seg")
+
+    def with_bytes(rows: DataFrame) -> DataFrame:
+        return rows.join(segments, ["did", "tie", "lo"]).withColumn("bytes", F.expr(f"substring(seg, cast(p - lo + 1 as int), {length})")).drop("seg")
+
+    w = edges.mapInArrow(windows, "w long, v long, did long, tie long, lo long, p long, single boolean")
+    twice = materialize(w.groupBy("w", "v").agg(F.count("*").alias("n")).where("n > 1").select("w", "v"), "windows")
+    hit = materialize(w.where("single").join(twice, ["w", "v"]).select("w", "v", *place), "hits")
+    ends = hit.groupBy("did", "tie", "lo").agg(F.array_distinct(F.array(F.min(F.struct("p", "w", "v")), F.max(F.struct("p", "w", "v")))).alias("e"))
+    ends = materialize(with_bytes(ends.select("did", "tie", "lo", F.explode("e").alias("e")).select("did", "tie", "lo", "e.*")), "ends")
+    # Two places of each hash; one of them is another than the end itself.
+    two = w.join(ends.select("w", "v").distinct(), ["w", "v"]).groupBy("w", "v").agg(F.array(F.min(F.struct(*place)), F.max(F.struct(*place))).alias("o"))
+    others = with_bytes(two.select("w", "v", F.explode("o").alias("o")).select("w", "v", "o.*")).select("w", "v", F.struct(*place).alias("other"), F.col("bytes").alias("theirs"))
+    other = (F.struct(*place) != F.col("other")) & (F.col("bytes") == F.col("theirs"))
+    proven = ends.join(others, ["w", "v"]).groupBy(*place).agg(F.max(other).alias("ok")).groupBy("did", "tie", "lo").agg(F.min("ok").alias("ok"), F.min("p").alias("first"), (F.max("p") + length).alias("end"))
+    proven = materialize(proven, "proven")
+    out = proven.where("ok").select("did", "tie", F.col("first").alias("lo"), F.col("end").alias("hi"))
+    doubt = proven.where("not ok").select("did", "tie", "lo")
+    if not doubt.isEmpty():
+        theirs = hit.join(doubt, ["did", "tie", "lo"])
+        equal = with_bytes(w.join(theirs.select("w", "v").distinct(), ["w", "v"]).select("w", "v", *place).distinct()).groupBy("w", "v", "bytes").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        settled = with_bytes(theirs).join(equal, ["w", "v", "bytes"]).groupBy("did", "tie", F.col("lo").alias("at")).agg(F.min("p").alias("lo"), (F.max("p") + length).alias("hi"))
+        out = out.unionByName(settled.select("did", "tie", "lo", "hi"))
+    return out
 
 
 def _splitters(keyed: DataFrame, alive: DataFrame, length: int, range_bytes: int) -> list[tuple[bytes, bytes]]:
-    """Boundaries of the ranges, from a bounded sample of the segments that will be sorted."""
+    """Boundaries of the ranges, as many as the segments that will be sorted fill ranges.
+
+    The segments of a share of the documents are sorted by the cluster, and every task cuts its
+    part; only the cuts, short strings, come to the driver.
+    """
     n = alive.count()
-    ranges = min(SAMPLE // 4, n * (length + 100) // range_bytes)
+    ranges = n * (length + 100) // range_bytes
     if not ranges:
         return []
-    some = alive.select("did", "tie", "lo", "hi").where(F.pmod(F.xxhash64("lo", "tie", "did"), F.lit(n)) < 2 * SAMPLE).limit(2 * SAMPLE)
-    some = keyed.sparkSession.createDataFrame([tuple(r) for r in some.collect()], _SPAN)
-    got = keyed.join(F.broadcast(some), ["did", "tie"]).select("did", "tie", "lo", F.expr(f"substring(cast(text as binary), cast(lo + 1 as int), cast(hi - lo + {length} as int))").alias("seg")).collect()
-    keys = sorted({(bytes(r["seg"]), _payload(r["did"], r["tie"], r["lo"])) for r in got})
-    return [keys[len(keys) * i // (ranges + 1)] for i in range(1, ranges + 1)] if keys else []
+    # Documents by a hash, so that both sides are cut before they move.
+    mine = F.pmod(F.xxhash64("tie", "did"), F.lit(n)) < SAMPLE * ranges
+    some = keyed.where(mine).join(alive.where(mine).select("did", "tie", "lo", "hi"), ["did", "tie"])
+    cut = some.select("did", "tie", "lo", F.expr(f"substring(cast(text as binary), cast(lo + 1 as int), cast(hi - lo + {length} as int))").alias("seg")).distinct()
+    cut = materialize(cut, "sample")
+    every = max(1, cut.count() // ranges)
+    room = SPLITTER_BYTES // 16  # of a splitter, at 16 bytes each beside a few hot ones
+
+    def run(batches):
+        items = [(seg, _payload(did, tie, lo)) for b in batches for did, tie, lo, seg in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        got = separators(sorted(items), max(every, -(-every * ranges // room)))
+        yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.binary()) for i in range(2)], names=["seg", "payload"])
+
+    spark = keyed.sparkSession
+    tasks = max(1, min(MOST_TASKS, ranges // 1000))
+    got = cut.repartitionByRange(tasks, "seg", "did", "tie", "lo").mapInArrow(run, "seg binary, payload binary").collect()
+    remove(spark, cut)
+    return sorted({(bytes(r["seg"]), bytes(r["payload"])) for r in got})
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -437,33 +568,43 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _with_spans(docs: DataFrame, keep: list[str], schema: str, row, id_col: str, text_col: str, **params) -> DataFrame:
-    """Joins each document with its spans; ``row(text bytes, merged spans)`` gives the new columns."""
-    spans = repeated_spans(docs, id_col=id_col, text_col=text_col, **params)
+def _cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
+    at, parts = 0, []
+    for lo, hi in spans:
+        parts.append(data[at:lo])
+        at = hi
+    return b"".join([*parts, data[at:]])
+
+
+def _with_spans(docs: DataFrame, carried: DataFrame, fields: list, row, min_words: int = 0, **params) -> DataFrame:
+    """``carried`` (did, tie, text as bytes, row) with each document's merged spans; ``row(text bytes, spans)`` gives the new columns.
+
+    Spans of fewer than ``min_words`` words do not count.
+    """
+    spans = repeated_spans(docs, **params)
     per_doc = materialize(spans.groupBy("did", "tie").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
-    _tidy(docs.sparkSession)
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("__did"), F.xxhash64(t).alias("__tie"), t.cast("binary").alias("__text"), *[F.col(f"`{c}`") for c in keep])
-    j = d.join(per_doc.select(F.col("did").alias("__did"), F.col("tie").alias("__tie"), F.col("spans").alias("__spans")), ["__did", "__tie"], "left").select("__text", "__spans", *[F.col(f"`{c}`") for c in keep])
-    new = pa.schema(schema)
+    remove(docs.sparkSession, spans)
+    j = carried.join(per_doc, ["did", "tie"], "left").select("text", "spans", "row")
+    new = pa.schema(fields)
 
     def run(batches):
         for b in batches:
-            out = [row(x, merge_spans([(s["lo"], s["hi"]) for s in m or ()])) for x, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[2:], *(pa.array([o[i] for o in out], f.type) for i, f in enumerate(new))], names=[*keep, *new.names])
+            out = []
+            for x, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                merged = merge_spans([(s["lo"], s["hi"]) for s in m or ()])
+                if min_words:
+                    merged = [(lo, hi) for lo, hi in merged if len(word_spans(np.frombuffer(x[lo:hi], np.uint8))[0]) >= min_words]
+                out.append(row(x, merged))
+            yield pa.RecordBatch.from_arrays([b.column(2), *(pa.array([o[i] for o in out], f.type) for i, f in enumerate(new))], names=["row", *new.names])
 
-    from pyspark.sql.pandas.types import from_arrow_schema
-    from pyspark.sql.types import StructType
+    return j.mapInArrow(run, StructType([j.schema["row"], *from_arrow_schema(new).fields]))
 
-    return j.mapInArrow(run, StructType([*j.schema.fields[2:], *from_arrow_schema(new).fields]))
 
-
-def _cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
-    at, parts = 0, []
-    for lo, hi in spans:
-        parts.append(data[at:lo])
-        at = hi
-    return b"".join([*parts, data[at:]])
+def _carried(docs: DataFrame, columns: list[str], id_col: str, text_col: str) -> DataFrame:
+    """Each row's document, text as bytes, and the columns that it keeps, packed so that no name can clash."""
+    t = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    kept = F.struct(F.col(f"`{text_col}`").isNull().alias("is_null"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("of"))
+    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("did"), F.xxhash64(t).alias("tie"), t.cast("binary").alias("text"), kept.alias("row"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
@@ -472,22 +613,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def row(data, spans):
         return len(data), sum(hi - lo for lo, hi in spans), len(spans), hashlib.sha256(_cut(data, spans)).hexdigest(), [{"lo": lo, "hi": hi} for lo, hi in spans]
 
-    schema = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))]
-    return _with_spans(docs, [id_col], schema, row, id_col, text_col, **params)
+    fields = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))]
+    out = _with_spans(docs, _carried(docs, [id_col], id_col, text_col), fields, row, id_col=id_col, text_col=text_col, **params)
+    return out.select(F.col(f"row.of.`{id_col}`").alias(id_col), *[f[0] for f in fields])
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars", **params) -> DataFrame:
     """``docs`` with the repeated bytes cut out of the text, all other columns as they are.
 
     A character that loses some of its bytes goes as a whole; ``count_col``, where there is one,
-    becomes the number of characters left; a null text stays null.
+    becomes the number of characters left; a null text stays null. Columns may have any names.
     """
 
     def row(data, spans):
         return (_cut(data, spans).decode("utf-8", "ignore") if spans else data.decode("utf-8", "replace"),)
 
     keep = [c for c in docs.columns if c != text_col]
-    empty = docs.withColumn("__null", F.col(text_col).isNull())
-    out = _with_spans(empty, [*keep, "__null"], [("__new", pa.string())], row, id_col, text_col, **params)
-    text = F.when(~F.col("__null"), F.col("__new"))
-    return out.select(*[text.alias(c) if c == text_col else F.when(F.col("__null"), F.col(f"`{c}`")).otherwise(F.length("__new").cast(docs.schema[c].dataType)).alias(c) if c == count_col else F.col(f"`{c}`") for c in docs.columns])
+    out = _with_spans(docs, _carried(docs, keep, id_col, text_col), [("new", pa.string())], row, id_col=id_col, text_col=text_col, **params)
+
+    def column(c: str):
+        if c == text_col:
+            return F.when(~F.col("row.is_null"), F.col("new"))
+        own = F.col(f"row.of.`{c}`")
+        return F.when(F.col("row.is_null"), own).otherwise(F.length("new").cast(docs.schema[c].dataType)) if c == count_col else own
+
+    return out.select(*[column(c).alias(c) for c in docs.columns])

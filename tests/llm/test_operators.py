@@ -113,13 +113,91 @@ def test_suffix_dedup(spark, rows, kw):
     assert got == brute_removed(few, 60)
 
 
+def test_suffix_dedup_of_periodic_texts(spark):
+    """Runs of dashes and other short periods, long and short, alone and inside other text, shared or not."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    units = ["-", "=-", "ab ", "abcabd", word() * 2, " "]
+    rows = [(1, "-" * 700), (2, "ab" * 300 + "x" + "ab" * 31), (3, "-" * 61), (4, "-" * 60), (5, "=" * 60)]
+    for i in range(40):
+        rows.append((10 + i, "".join(rng.choice(units) * rng.randint(1, 120) if rng.random() < 0.4 else " ".join(word() for _ in range(rng.randint(1, 30))) for _ in range(rng.randint(1, 8)))))
+    for i in range(12):
+        a, b = rng.choice(rows)[1], rng.choice(rows)[1]
+        rows.append((100 + i, a[rng.randrange(len(a)) :] + b[: rng.randrange(len(b))]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for kw in ({}, {"most_variants": 1, "range_bytes": 3000}):
+        got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df, length=60, gram=20, **kw).collect()), key=repr)
+        assert got == brute_removed(rows, 60)
+
+
+def test_anchors_depend_on_the_window_alone():
+    length, gram, most = 60, 18, 9
+    for seed in range(20):
+        rng = random.Random(seed)
+        data = b"".join(rng.choice([bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 60))), bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 12))) * rng.randint(2, 30)]) for _ in range(12)) + b"c" * length
+        want = []
+        for x in range(len(data) - length + 1):
+            w = data[x : x + length]
+            h = common.Rolling(np.frombuffer(w, np.uint8)).windows(gram) & ~suffix_dedup._PERIODIC
+            periodic = [any(w[i : i + gram - q] == w[i + q : i + gram] for q in range(1, most + 1)) for i in range(length - gram + 1)]
+            want.append(x + min(range(length - gram + 1), key=lambda i: (periodic[i], int(h[i]), i)))  # noqa: B023
+        assert suffix_dedup.places_of(np.frombuffer(data, np.uint8), length, gram)[1].tolist() == want
+
+
+def test_periodic_text_stays_small():
+    rng = random.Random(1)
+    mixed = bytes(rng.choice(b"abcdefghij klm") for _ in range(20_000))
+    for unit in (b"-", b"ab", mixed[:63], mixed[:300], mixed):
+        data = np.frombuffer((unit * 40_000)[:40_000], np.uint8)
+        lo, hi, _, _, proven = suffix_dedup.anchors_of(data)
+        assert (hi - lo + suffix_dedup.LENGTH)[~proven].sum() < 10 * len(data)
+
+
+def test_many_variants_are_settled_by_bytes(spark):
+    """With window hashes that collide nearly always, the bytes still give the first and last repeated window."""
+    rng = random.Random(4)
+    segs = [bytes(rng.choice(b"ab") for _ in range(40)) for _ in range(30)]
+    edges = spark.createDataFrame([(i, 7, 5, i % 3 > 0, s) for i, s in enumerate(segs)], "did long, tie long, lo long, single boolean, seg binary")
+    n = Counter(s[p : p + 12] for s in segs for p in range(29))
+    want = set()
+    for i, s in enumerate(segs):
+        hit = [p for p in range(29) if n[s[p : p + 12]] > sum(s[k : k + 12] == s[p : p + 12] for k in range(29)) or n[s[p : p + 12]] > 1]
+        if hit and i % 3 > 0:
+            want.add((i, 7, 5 + hit[0], 5 + hit[-1] + 12))
+    weak = lambda seg, length: tuple(np.frombuffer(bytes(seg[p] % 2 for p in range(len(seg) - length + 1)), np.uint8).astype(np.int64) for _ in range(2))
+    for kw in ({}, {"hashes": weak}):
+        assert {tuple(r) for r in suffix_dedup._many_variants(edges, 12, **kw).collect()} == want
+
+
+def test_separators_cut_between_items():
+    rng = random.Random(6)
+    items = sorted((bytes(rng.choice(b"ab") for _ in range(rng.randint(3, 9))), rng.randbytes(24)) for _ in range(300))
+    items = sorted([*items, *((b"abab", rng.randbytes(24)) for _ in range(100))])
+    cuts = suffix_dedup.separators(items, 7)
+    assert cuts == sorted(cuts) and any(p for _, p in cuts) and len(b"".join(s for s, p in cuts if not p)) < 9 * len(cuts)
+    hot = suffix_dedup.hot_segments(cuts)
+    runs = suffix_dedup.cut_runs(list(items), cuts, hot)
+    real = [(s, p) for _, block in runs for _, s, p in suffix_dedup.decode_run(block) if p[:4] != b"\0" * 4]
+    assert real == items
+    assert b"abab" in hot and len(hot[b"abab"]) > 2
+
+
 def test_suffix_dedup_text_and_empty(spark, none):
     assert suffix_dedup.remove_repeats(none).count() == 0
+    assert suffix_dedup.drop_repeats(none).count() == 0
     t = "repeated passage number one that is long enough to be found again. "
     df = spark.createDataFrame([(1, "A " + t + " end", 99, "x"), (2, t + " tail", 99, "y"), (3, None, None, "z"), (4, "clean", 5, "w")], "doc_id long, text string, n_chars long, spans string")
     got = {r.doc_id: r for r in suffix_dedup.drop_repeats(df, length=40, gram=12).collect()}
     assert got[4].text == "clean" and got[4].n_chars == 5 and got[3].text is None and got[3].n_chars is None
     assert "passage" not in got[1].text and got[1].text.startswith("A ") and got[1].n_chars == len(got[1].text) and got[1].spans == "x"
+    names = ["did", "tie", "new", "row", "is_null", "of", "__did", "__tie", "__text", "lo", "hi", "seg", "a.b"]
+    odd = spark.createDataFrame([(1, "A " + t + " end", *names), (2, t + " tail", *names), (None, t, *names)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    out = suffix_dedup.drop_repeats(odd, length=40, gram=12)
+    assert out.columns == odd.columns and all(tuple(r)[2:] == tuple(names) for r in out.collect())
+    assert sorted(r.text for r in out.collect()) == ["", "A end", "tail"]
+    # 12 words in 66 bytes: with a least number of words above that, nothing goes.
+    assert all("passage" in r.text for r in suffix_dedup.drop_repeats(df.where("doc_id < 3"), length=40, gram=12, min_words=13).collect())
+    assert not any("passage" in r.text for r in suffix_dedup.drop_repeats(df.where("doc_id < 3"), length=40, gram=12, min_words=12).collect())
 
 
 def test_loser_tree():
