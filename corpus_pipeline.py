@@ -2,6 +2,10 @@
 
 Every stage takes the whole output of the one before. All but the last return the columns of
 ``documents``; the last returns the packed pieces.
+
+Every stage defines its result for nulls, empty tables, repeated rows and columns of any names: a
+null text fails the quality rules, as one without words does; rows with a null id stay apart in all
+stages that compare documents; an empty table goes through as an empty table.
 """
 
 from __future__ import annotations
@@ -9,7 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm import exact_dedup, ngram_join, packing, quality_rules, suffix_dedup
-from lodestar.llm.common import materialize, table
+from lodestar.llm.common import materialize, remove, small_batches, table
+
+
+REPEAT_WORDS, REPEAT_BYTES = 51, 200
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,11 +35,13 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts every repeated byte string of 400 bytes and more, op2's length, out of the texts; all documents stay, n_chars follows.
+    """Cuts passages of ``REPEAT_WORDS`` words and more that occur anywhere else out of the texts; all documents stay, n_chars follows.
 
-    Shorter repeats stay: passages of 51 to about 65 words often take fewer bytes.
+    Repeats are found as byte strings of ``REPEAT_BYTES``, which 51 words of prose exceed (4 bytes a word
+    with its space, 51 * 4 = 204), and go where the whole repeated stretch holds that many words: shorter
+    common phrases and lines stay. Null and empty texts stay as they are, ties do not arise.
     """
-    return suffix_dedup.drop_repeats(docs)
+    return suffix_dedup.drop_repeats(docs, length=REPEAT_BYTES, gram=64, min_words=REPEAT_WORDS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +56,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage; what a stage has read is deleted once its own result is stored."""
+    small_batches(spark)
+    docs, last = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialize(docs, f"stage{i}")
+            if last is not None:
+                remove(spark, last)
+            last = docs
     return docs
