@@ -6,18 +6,24 @@ least 0.8. The steps:
 1. Documents with equal shingle sets form a class, by a 128-bit digest and map-side combine: a group
    of copies is one class however large. Only classes go on.
 2. ``BANDS`` keys of ``ROWS`` MinHash values each; a key shared by several classes makes a bucket. Each
-   bucket links its members to one of them (a star, not all pairs; the choice differs between keys).
-   A star edge whose sketch leaves similarity ``LOOSE`` improbable is dropped, and the members so
-   dropped form new, smaller stars among themselves until none is left over.
+   bucket compares its members with one of them by their sketches (a star, not all pairs; the choice
+   differs between keys). Members that may reach similarity ``LOOSE`` with the centre are linked to it;
+   those that surely reach ``LOOSE`` + 1 - threshold are done with this bucket, and the others go on to a next
+   turn with four times as many centres. No pair gets lost: shingle distance is a metric, so whatever
+   is linked to a member that is done is itself linked to the same centre.
 3. Connected components of the star edges are the regions inside which links can lie. A region is
    cut into blocks of bounded size; every pair of blocks is one task unit.
-4. Inside a unit, MinHash values are compared a few at a time; a pair is dropped as soon as the
-   posterior probability that its similarity reaches the threshold falls below ``TOLERANCE`` (uniform
-   prior). The pairs that are left are verified on the exact shingle sets. A unit returns each
-   class's number of links and a spanning forest of them, never its pairs.
+4. A unit gets stored sketches alone. MinHash values are compared a few at a time; a pair is dropped as soon as
+   the posterior probability that its similarity reaches the threshold falls below ``TOLERANCE`` (uniform
+   prior). Only classes that keep a partner in the unit send their text there, and the pairs that are left
+   are verified on the whole shingle sets. A unit returns each class's number of links and a
+   spanning forest of them, never its pairs.
 5. Components of the forests give the groups.
 
-A pair at exactly 0.8 shares no bucket with probability (1 - 0.8**8)**64, about 8e-6; one at 0.85, 5e-9.
+A pair at exactly 0.8 shares no bucket with probability (1 - 0.8**8)**64, about 8e-6; one at 0.85, 5e-9. Each of the
+comparisons of sketches errs with probability ``TOLERANCE`` at most. Shingles are 64-bit hashes of their words: two
+different ones of a pair agree with probability 5e-20 times the product of their numbers. A bucket whose
+members are alike to no centre costs a share of its pairs; that takes eight equal MinHash values of texts that are unlike.
 
 Defined results: a text of one to four words has one shingle, all its words; a null text or one
 without words has no shingle, no link and is its own group; a null id has no group; rows that
@@ -41,7 +47,8 @@ WORDS, ROWS, BANDS = 5, 8, 64
 HASHES = ROWS * BANDS
 STEP = 32  # MinHash values that are compared at a time
 TOLERANCE, LOOSE, LOOSE_HASHES = 1e-6, 0.4, 256
-BLOCK = 1024
+BLOCK = 128
+UNIT_ROWS = 4096  # of a task of units, on average
 _RNG = np.random.default_rng(5)
 _MUL = _RNG.integers(0, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
 _XOR = _RNG.integers(0, 2**32, HASHES, dtype=np.uint32)
@@ -111,33 +118,32 @@ def least_matches(n: int, threshold: float, tolerance: float = TOLERANCE) -> int
     return n
 
 
-_LEAST: dict[tuple[int, float], int] = {}
+_LEAST: dict[tuple[int, float, float], int] = {}
 
 
-def bar(n: int, threshold: float) -> int:
-    if (n, threshold) not in _LEAST:
-        _LEAST[n, threshold] = least_matches(n, threshold)
-    return _LEAST[n, threshold]
+def bar(n: int, threshold: float, tolerance: float = TOLERANCE) -> int:
+    key = n, threshold, tolerance
+    if key not in _LEAST:
+        _LEAST[key] = least_matches(n, threshold, tolerance)
+    return _LEAST[key]
 
 
-def _chunks(ids, batch: list[str], most: int = 1 << 20):
+def _chunks(columns: list[pa.Array], batch: list[str], most: int = 1 << 20):
     """Parts of a batch of about ``most`` characters."""
     lo = size = 0
     for i, t in enumerate(batch):
         size += len(t)
-        if size >= most:
-            yield ids[lo : i + 1], batch[lo : i + 1]
+        if size >= most or i == len(batch) - 1:
+            yield [c.slice(lo, i + 1 - lo) for c in columns], batch[lo : i + 1]
             lo, size = i + 1, 0
-    if lo < len(batch):
-        yield ids[lo:], batch[lo:]
 
 
 def sketches(docs: DataFrame, n: int = WORDS) -> DataFrame:
-    """doc_id, digest (null without shingles), sketch (a byte of each MinHash value), keys (one per band)."""
+    """doc_id, tie (a hash of the text), digest (null without shingles), shingles, sketch (a byte of each MinHash value), keys (one per band)."""
 
     def run(batches):
         for b in batches:
-            for ids, part in _chunks(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for (ids, ties), part in _chunks([b.column(0), b.column(1)], b.column(2).to_pylist()):
                 sets = shingle_sets(part, n)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 digest, sketch, keys = [None] * len(part), [None] * len(part), [None] * len(part)
@@ -148,45 +154,58 @@ def sketches(docs: DataFrame, n: int = WORDS) -> DataFrame:
                     for k, i in enumerate(full):
                         digest[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
                         sketch[i], keys[i] = low[k].tobytes(), band[k]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "sketch", "keys"])
+                sizes = pa.array([len(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, ties, pa.array(digest, pa.binary()), sizes, pa.array(sketch, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "tie", "digest", "shingles", "sketch", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, digest binary, sketch binary, keys array<long>")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    return d.mapInArrow(run, "doc_id long, tie long, digest binary, shingles long, sketch binary, keys array<long>")
 
 
-def star_edges(reps: DataFrame) -> DataFrame:
-    """Edges (a, b) between classes such that every likely pair ends up in one component.
+def star_edges(reps: DataFrame, threshold: float = 0.8, loose: float = LOOSE) -> DataFrame:
+    """Edges (a, b) between classes such that any two classes that share a key and reach the threshold are in one component.
 
-    reps: class_id, sketch, keys.
+    reps: class_id, sketch, keys. Say x and y reach the threshold, and x is done with centre c: the
+    similarity of x and c is ``loose`` + 1 - threshold or more, so by the triangle inequality that of
+    y and c is ``loose`` or more, and both are linked to c. Until then both stay in the bucket.
     """
     spark = reps.sparkSession
-    rows = reps.select(F.explode("keys").alias("key"), "class_id")
+    rows = reps.select(F.explode("keys").alias("key"), "class_id").distinct()
     small = reps.select("class_id", F.substring("sketch", 1, LOOSE_HASHES).alias("sketch"))
-    least = bar(LOOSE_HASHES, LOOSE)
+    least, sure = bar(LOOSE_HASHES, loose), bar(LOOSE_HASHES, loose + 1 - threshold, 1 - TOLERANCE)
 
-    @F.pandas_udf("boolean")
-    def likely(a: pd.Series, b: pd.Series) -> pd.Series:
+    @F.pandas_udf("int")
+    def matches(a: pd.Series, b: pd.Series) -> pd.Series:
         x = np.frombuffer(b"".join(a), np.uint8).reshape(-1, LOOSE_HASHES)
         y = np.frombuffer(b"".join(b), np.uint8).reshape(-1, LOOSE_HASHES)
-        return pd.Series((x == y).sum(1) >= least)
+        return pd.Series((x == y).sum(1).astype(np.int32))
 
     found, turn = [], 0
     while True:
-        # The centre of a bucket: the least id after flipping bits by a mask that depends on key and turn.
+        # The centres of a bucket: in each of 4**turn parts the least id after flipping bits by a mask that depends on key and turn.
         mask = F.element_at(F.array(*[F.lit(m) for m in _MASKS]), (F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(8)) + 1).cast("int"))
+        part = F.pmod(F.xxhash64("class_id", F.lit(turn)), F.lit(4**turn))
         flipped = rows.withColumn("flipped", F.col("class_id").bitwiseXOR(mask))
-        buckets = flipped.groupBy("key").agg(F.count("*").alias("n"), F.min("flipped").alias("centre")).where("n > 1").select("key", F.col("centre"))
-        stars = flipped.join(buckets, "key").withColumn("centre", F.col("centre").bitwiseXOR(mask)).where("centre <> class_id").select("key", "class_id", "centre")
+        centres = flipped.groupBy("key", part.alias("part")).agg(F.min("flipped").alias("centre"))
+        if turn == 0:
+            buckets = flipped.groupBy("key").agg(F.count("*").alias("n"), F.min("flipped").alias("centre")).where("n > 1").select("key", "centre")
+        else:
+            buckets = centres.select("key", "centre")
+        stars = flipped.join(buckets, "key").withColumn("centre", F.col("centre").bitwiseXOR(mask)).select("key", "class_id", "centre")
         stars = materialize(stars, "stars")
-        edges = stars.select("class_id", "centre").distinct()
+        edges = stars.where("centre <> class_id").select("class_id", "centre").distinct()
         two = edges.join(small, "class_id").join(small.select(F.col("class_id").alias("centre"), F.col("sketch").alias("other")), "centre")
-        judged = materialize(two.select("class_id", "centre", likely("sketch", "other").alias("likely")), "edges")
-        found.append(judged.where("likely").select(F.col("class_id").alias("a"), F.col("centre").alias("b")))
-        left = judged.groupBy("class_id", "centre").agg(F.max("likely").alias("likely")).where("not likely").select("class_id", "centre")
-        if left.isEmpty():
-            break
-        rest = materialize(stars.join(left, ["class_id", "centre"], "left_semi").select("key", "class_id").distinct(), "stars")
+        judged = materialize(two.select("class_id", "centre", matches("sketch", "other").alias("m")), "edges")
+        found.append(judged.where(F.col("m") >= least).select(F.col("class_id").alias("a"), F.col("centre").alias("b")))
+        done = judged.groupBy("class_id", "centre").agg(F.min("m").alias("m")).where(F.col("m") >= sure).select("class_id", "centre")  # with all texts of an id
+        # A centre is done with its bucket too.
+        gone = stars.join(done, ["class_id", "centre"], "left_semi").unionByName(stars.where("class_id = centre")).select("key", "class_id").distinct()
+        rest = materialize(stars.select("key", "class_id").distinct().join(gone, ["key", "class_id"], "left_anti"), "stars")
         remove(spark, stars)
+        if turn:
+            remove(spark, rows)
         rows, turn = rest, turn + 1
+        if rows.groupBy("key").count().where("count > 1").isEmpty():
+            break
     out = found[0]
     for e in found[1:]:
         out = out.unionByName(e)
@@ -210,92 +229,136 @@ class _Forest:
             self.up[max(a, b)] = min(a, b)
 
 
-def verified_links(ids: list[int], sizes: list[int], side: list[int], batch: list[str], crossed: bool, threshold: float, n: int):
-    """Links of one unit: {id: [linked classes, linked documents]} and the forest. ``side`` tells the two blocks apart."""
-    sets = shingle_sets(batch, n)
-    seen, keep = set(), []
-    for i, s in enumerate(sets):  # rows that repeat
-        k = (ids[i], side[i], s.tobytes())
-        if len(s) and k not in seen:
-            seen.add(k)
-            keep.append(i)
-    keep.sort(key=lambda i: (side[i], ids[i]))
-    sets, ids, sizes, side = [sets[i] for i in keep], [ids[i] for i in keep], [sizes[i] for i in keep], np.array([side[i] for i in keep])
-    counts: dict[int, list[int]] = {}
-    forest = _Forest()
-    if len(keep) < 2:
+class Unit:
+    """The rows of one pair of blocks, in the order of their ids, and the pairs that their sketches leave open."""
+
+    def __init__(self, rows: list[tuple], crossed: bool, threshold: float):
+        """rows: (class id, size, side, shingles, sketch, ...); ``side`` tells the two blocks apart."""
+        rows.sort(key=lambda r: (r[2], r[0], r[4]))
+        self.rows, self.threshold = rows, threshold
+        self.ids = [r[0] for r in rows]
+        self.length = np.array([r[3] for r in rows])
+        self.sketch = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+        self.split = sum(r[2] == rows[0][2] for r in rows) if crossed else None
+
+    def open(self):
+        """(i, partners j of a later row) by incremental comparison."""
+        n, t, sketch, length = len(self.rows), self.threshold, self.sketch, self.length
+        for i in range(n if self.split is None else self.split):
+            j = np.arange(i + 1 if self.split is None else self.split, n)
+            j = j[np.minimum(length[j], length[i]) >= t * np.maximum(length[j], length[i]) - 1e-9]
+            got = np.zeros(len(j), np.int32)
+            for lo in range(0, HASHES, STEP):
+                if not len(j):
+                    break
+                got += (sketch[j, lo : lo + STEP] == sketch[i, lo : lo + STEP]).sum(1)
+                ok = got >= bar(lo + STEP, t)
+                j, got = j[ok], got[ok]
+            if len(j):
+                yield i, j
+
+    def survivors(self) -> list[int]:
+        alive = np.zeros(len(self.rows), bool)
+        for i, j in self.open():
+            alive[i] = True
+            alive[j] = True
+        return np.flatnonzero(alive).tolist()
+
+    def links(self, sets: list[np.ndarray]) -> tuple[dict[int, list[int]], _Forest]:
+        """{class: [linked classes, linked documents]} and the forest, from the rows' shingle sets."""
+        counts: dict[int, list[int]] = {}
+        forest, ids, t = _Forest(), self.ids, self.threshold
+        if len(sets) < 2:
+            return counts, forest
+        length = np.array([len(s) for s in sets])
+        starts = np.concatenate(([0], np.cumsum(length)[:-1]))
+        universe, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        flag = np.zeros(len(universe), np.int32)
+        for i, j in self.open():
+            mine = flat[starts[i] : starts[i] + length[i]]
+            flag[mine] = 1
+            if len(j) > 8:
+                common = np.add.reduceat(flag[flat], starts)[j]
+            else:
+                common = np.array([flag[flat[starts[x] : starts[x] + length[x]]].sum() for x in j])
+            flag[mine] = 0
+            for x, c in zip(j.tolist(), common.tolist(), strict=True):
+                if c >= t * (int(length[i]) + int(length[x]) - c) - 1e-9 and ids[i] != ids[x]:
+                    for p, q in ((i, x), (x, i)):
+                        k = counts.setdefault(ids[p], [0, 0])
+                        k[0] += 1
+                        k[1] += self.rows[q][1]
+                    forest.link(ids[i], ids[x])
         return counts, forest
-    sketch = (minhashes(sets) & np.uint32(255)).astype(np.uint8)
-    length = np.array([len(s) for s in sets])
-    starts = np.concatenate(([0], np.cumsum(length)[:-1]))
-    universe, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    flag = np.zeros(len(universe), np.int32)
-    split = int(np.searchsorted(side, side[0], "right"))
-    for i in range(split if crossed else len(sets)):
-        j = np.arange(split if crossed else i + 1, len(sets))
-        j = j[np.minimum(length[j], length[i]) >= threshold * np.maximum(length[j], length[i]) - 1e-9]
-        got = np.zeros(len(j), np.int32)
-        for lo in range(0, HASHES, STEP):
-            if not len(j):
-                break
-            got += (sketch[j, lo : lo + STEP] == sketch[i, lo : lo + STEP]).sum(1)
-            ok = got >= bar(lo + STEP, threshold)
-            j, got = j[ok], got[ok]
-        if not len(j):
-            continue
-        mine = flat[starts[i] : starts[i] + length[i]]
-        flag[mine] = 1
-        if len(j) > 8:
-            common = np.add.reduceat(flag[flat], starts)[j]
-        else:
-            common = np.array([flag[flat[starts[x] : starts[x] + length[x]]].sum() for x in j])
-        flag[mine] = 0
-        for x, c in zip(j.tolist(), common.tolist(), strict=True):
-            if c >= threshold * (int(length[i]) + int(length[x]) - c) - 1e-9 and ids[i] != ids[x]:
-                for p, q in ((i, x), (x, i)):
-                    k = counts.setdefault(ids[p], [0, 0])
-                    k[0] += 1
-                    k[1] += sizes[q]
-                forest.link(ids[i], ids[x])
-    return counts, forest
-
-
-def links(docs: DataFrame, regions: DataFrame, threshold: float, n: int) -> DataFrame:
-    """Rows (a, b, n_texts, n_docs): a forest edge where b is not null, else the counts of class a found in one unit.
 
-    docs: doc_id, text; regions: class_id, region, size.
-    """
-    width = regions.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
-    placed = regions.join(width, "region").withColumn("own", own)
-    spread = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("class_id", "size", "region", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    rows = docs.join(spread, docs["doc_id"] == spread["class_id"]).select("region", "lo", "hi", "own", "class_id", "size", "text")
-    units = rows.repartition("region", "lo", "hi").sortWithinPartitions("region", "lo", "hi")
+
+def _by_unit(columns: list[str], done):
+    """A function for mapInArrow over rows sorted by region, lo, hi; ``done(unit, rows)`` gives a unit's batch or None."""
 
     def run(batches):
-        def done(unit):
-            key, rows = unit
-            counts, forest = verified_links([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], key[1] != key[2], threshold, n)
-            a, b, c, d = [], [], [], []
-            for x, (texts_, docs_) in counts.items():
-                a.append(x), b.append(None), c.append(texts_), d.append(docs_)
-            for x in forest.up:
-                if (r := forest.root(x)) != x:
-                    a.append(x), b.append(r), c.append(0), d.append(0)
-            return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (a, b, c, d)], names=["a", "b", "n_texts", "n_docs"])
-
-        unit = None
+        unit, held = None, []
         for batch in batches:
-            for region, lo, hi, own, cid, size, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if unit is None or unit[0] != (region, lo, hi):
-                    if unit:
-                        yield done(unit)
-                    unit = ((region, lo, hi), [])
-                unit[1].append((cid, size, own, text))
-        if unit:
-            yield done(unit)
+            for region, lo, hi, *row in zip(*(batch.column(c).to_pylist() for c in ["region", "lo", "hi", *columns]), strict=True):
+                if unit != (region, lo, hi):
+                    if held and (out := done(unit, held)):
+                        yield out
+                    unit, held = (region, lo, hi), []
+                held.append(tuple(row))
+        if held and (out := done(unit, held)):
+            yield out
 
-    return units.mapInArrow(run, "a long, b long, n_texts long, n_docs long")
+    return run
+
+
+def _dealt(rows: DataFrame, count: int) -> DataFrame:
+    """Rows by unit: tasks in proportion to their ``count``, so that none holds more than a few units beyond the mean."""
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), count // UNIT_ROWS)
+    return rows.repartition(n, "region", "lo", "hi").sortWithinPartitions("region", "lo", "hi")
+
+
+def links(docs: DataFrame, reps: DataFrame, regions: DataFrame, threshold: float, n: int) -> DataFrame:
+    """Rows (a, b, n_texts, n_docs): a forest edge where b is not null, else the counts of class a found in one unit.
+
+    docs: doc_id, text; reps: class_id, tie, shingles, sketch; regions: class_id, region, size.
+    """
+    spark = docs.sparkSession
+    width = regions.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
+    placed = materialize(regions.join(width, "region").withColumn("own", own).join(reps.select("class_id", "tie", "shingles", "sketch"), "class_id"), "placed")
+    spread = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    spread = spread.select("region", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "class_id", "size", "own", "shingles", "sketch", "tie")
+    names = ["region", "lo", "hi", "class_id", "size", "own", "shingles", "sketch", "tie"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64()]
+
+    def prune(unit, rows):
+        u = Unit(rows, unit[1] != unit[2], threshold)
+        left = [(*unit, *u.rows[i]) for i in u.survivors()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*left, strict=True), kinds, strict=True)], names=names) if left else None
+
+    open_rows = _dealt(spread, spread.count()).mapInArrow(_by_unit(names[3:], prune), "region long, lo int, hi int, class_id long, size long, own int, shingles long, sketch binary, tie long")
+    open_rows = materialize(open_rows, "open")
+    remove(spark, placed)
+
+    def verify(unit, rows):
+        u = Unit(rows, unit[1] != unit[2], threshold)
+        counts, forest = u.links(shingle_sets([r[-1] for r in u.rows], n))
+        a, b, c, d = [], [], [], []
+        for x, (texts_, docs_) in counts.items():
+            a.append(x), b.append(None), c.append(texts_), d.append(docs_)
+        for x in forest.up:
+            if (r := forest.root(x)) != x:
+                a.append(x), b.append(r), c.append(0), d.append(0)
+        return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (a, b, c, d)], names=["a", "b", "n_texts", "n_docs"])
+
+    # One text of each class that has a partner left; rows that repeat an id and a text give it once.
+    needed = materialize(open_rows.select("class_id", "tie").distinct(), "needed")
+    text = docs.select(F.col("doc_id").cast("long").alias("class_id"), F.xxhash64("text").alias("tie"), "text").join(needed, ["class_id", "tie"], "left_semi").dropDuplicates(["class_id", "tie"])
+    text = materialize(text, "texts")
+    rows = open_rows.join(text, ["class_id", "tie"]).select(*names[:-1], "text")
+    found = materialize(_dealt(rows, open_rows.count()).mapInArrow(_by_unit([*names[3:-1], "text"], verify), "a long, b long, n_texts long, n_docs long"), "links")
+    for x in (open_rows, needed, text):
+        remove(spark, x)
+    return found
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -304,17 +367,21 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = WORDS, id_
     n_links counts the different shingle sets that are linked to the document's, n_linked_docs the
     documents that have them and its own copies.
     """
+    spark = docs.sparkSession
     d = texts(docs, id_col, text_col)
     sk = materialize(sketches(d, n), "sketches")
     known = sk.where("doc_id is not null and digest is not null")
     classes = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("size")), "classes")
     member = materialize(sk.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")), "members")
     reps = known.join(classes.select("digest", F.col("class_id").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest", "doc_id"])
-    reps = materialize(reps.select(F.col("doc_id").alias("class_id"), "sketch", "keys"), "reps")
-    remove(docs.sparkSession, sk)
+    reps = materialize(reps.select(F.col("doc_id").alias("class_id"), "tie", "shingles", "sketch", "keys"), "reps")
+    remove(spark, sk)
     sizes = classes.groupBy("class_id").agg(F.sum("size").alias("size"))
-    regions = components(star_edges(reps), "regions").select(F.col("node").alias("class_id"), F.col("component").alias("region")).join(sizes, "class_id")
-    found = materialize(links(d, materialize(regions, "regions"), threshold, n), "links")
+    linked = components(star_edges(reps, threshold), "regions")
+    regions = materialize(linked.select(F.col("node").alias("class_id"), F.col("component").alias("region")).join(sizes, "class_id"), "regions")
+    found = links(d, reps, regions, threshold, n)
+    remove(spark, reps)
+    remove(spark, regions)
     groups = components(found.where("b is not null").select("a", "b"), "groups").select(F.col("node").alias("copy_id"), F.col("component").alias("class_id"))
     counts = found.where("b is null").groupBy(F.col("a").alias("copy_id")).agg(F.sum("n_texts").alias("n_links"), F.sum("n_docs").alias("n_linked"))
     per_class = classes.select("digest", F.col("class_id").alias("copy_id"), "size").join(groups, "copy_id", "left").join(counts, "copy_id", "left")

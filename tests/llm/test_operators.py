@@ -246,6 +246,7 @@ def test_ngram_join(spark, docs, rows, none):
 
 def test_ngram_join_large_region(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    monkeypatch.setattr(ngram_join, "UNIT_ROWS", 30)
     rng = random.Random(3)
     w = [f"w{i}" for i in range(140)]
     rows = []
@@ -259,6 +260,26 @@ def test_ngram_join_large_region(spark, monkeypatch):
     assert got == brute_groups(rows)
 
 
+@pytest.mark.parametrize("share", [25, 45, 65])
+def test_ngram_join_around_a_hot_centre(spark, monkeypatch, share):
+    """Near copies that share one passage with all others: every bucket holds all texts, its centre is unlike most of them, and no link is lost."""
+    monkeypatch.setattr(ngram_join, "ROWS", 1)
+    monkeypatch.setattr(ngram_join, "BANDS", 24)
+    rng = random.Random(share)
+    passage = [f"p{i}" for i in range(share)]
+    rows = []
+    for i in range(45):
+        own = [f"d{i}x{k}" for k in range(100 - share)]
+        for j in range(2):
+            x = list(own)
+            for _ in range(j * rng.randint(1, 3)):
+                x[rng.randrange(len(x))] = f"e{i}"
+            rows.append((1000 * j + i, " ".join(passage + x)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.copy_id, r.n_links) for r in ngram_join.near_duplicates(df).collect()}
+    assert got == brute_groups(rows)
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(60) if i % 20] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)]
