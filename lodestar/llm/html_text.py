@@ -4,22 +4,25 @@ The page is read into a tree; elements that never hold an article (menus, forms,
 and elements named as such by class, id or role are left out. Every paragraph gives points for its
 length and its commas to its ancestors, halved at each step; an element's score is its points
 times one minus its link density. The best element and those of its siblings that score well or
-hold plain prose are the article.
+hold plain prose are the article. Inside it, a block of which nearly all is links to other places is
+left out too. Every step is linear in the page: points and lengths go up in one pass from the leaves.
 
 Defined results: a null or empty page has an empty text; a page without any paragraph gives all the
-text that is left of its body; broken markup is closed as browsers do; nothing is cut off.
+text that is left of its body; broken markup is closed as browsers do; nothing is cut off. Of elements
+that score alike the first of the page is the best.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
 
@@ -54,16 +57,17 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form menu
 
 
 class Node:
-    __slots__ = ("children", "chars", "link_chars", "named", "noise", "parent", "points", "tag")
+    __slots__ = ("chars", "children", "link_chars", "links", "named", "noise", "paragraphs", "parent", "points", "tag", "titled")
 
     def __init__(self, tag: str, parent: Node | None, noise: str = ""):
         self.tag, self.parent, self.noise, self.children = tag, parent, bool(noise), []
         self.named = noise == "name"
         self.points = 0.0
-        self.chars = self.link_chars = 0
+        self.chars = self.link_chars = self.links = self.paragraphs = 0
+        self.titled = False
 
 
-def _noise(tag: str, attrs: str, top: Node) -> str:
+def _noise(tag: str, attrs: str, in_article: bool) -> str:
     """Why an element is no part of the article: "tag", or "name" where only its names or the tag form say so."""
     if tag in SKIP:
         return "name" if tag == "form" else "tag"
@@ -77,12 +81,64 @@ def _noise(tag: str, attrs: str, top: Node) -> str:
         elif k == "role" and v.lower() in _ROLES or k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and re.search(r"display\s*:\s*none", v):
             return "tag"
     said = " ".join(names)
-    return "name" if said and (_NOISE.search(said) or _HEADER.search(said) and not _inside(top, "article", "main") and not _OWN_HEADER.search(said)) else ""
+    return "name" if said and (_NOISE.search(said) or _HEADER.search(said) and not in_article and not _OWN_HEADER.search(said)) else ""
+
+
+#: An end tag of an inline element does not reach beyond these.
+_WALLS = frozenset("article main table td section div body".split())
+
+
+class _Open:
+    """The open elements. Counts tell whether a tag closes anything, so nothing is climbed in vain."""
+
+    def __init__(self, root: Node):
+        self.path = [root]
+        self.of: Counter = Counter()  # open elements by tag
+        self.walled = [Counter()]  # those since the last wall, itself included
+        self.blocked = [Counter()]  # those that an opening tag may close, since the last block that it may not
+
+    def push(self, node: Node) -> None:
+        self.path.append(node)
+        self.of[node.tag] += 1
+        if node.tag in _WALLS:
+            self.walled.append(Counter())
+        self.walled[-1][node.tag] += 1
+        if node.tag in BLOCK and node.tag not in CLOSES:
+            self.blocked.append(Counter())
+        elif node.tag in CLOSES:
+            self.blocked[-1][node.tag] += 1
+
+    def pop(self) -> Node:
+        node = self.path.pop()
+        self.of[node.tag] -= 1
+        self.walled[-1][node.tag] -= 1
+        if node.tag in _WALLS:
+            self.walled.pop()
+        if node.tag in BLOCK and node.tag not in CLOSES:
+            self.blocked.pop()
+        elif node.tag in CLOSES:
+            self.blocked[-1][node.tag] -= 1
+        return node
+
+    def end(self, tag: str) -> None:
+        """An end tag closes the innermost open element of its name; that of an inline element inside the last wall only."""
+        if self.of[tag] if tag in BLOCK else self.walled[-1][tag]:
+            while self.pop().tag != tag:
+                pass
+
+    def make_room(self, tag: str) -> None:
+        """Closes what the opening tag closes without an end tag: up to the last paragraph or element of its own name."""
+        here = self.blocked[-1]
+        while any(n and tag in CLOSES[t] for t, n in here.items()):
+            node = self.pop()
+            if tag in CLOSES.get(node.tag, ()) and (node.tag == "p" or node.tag == tag):
+                return
 
 
 def parse(page: str) -> Node:
     """A tree of nodes and strings; strings are decoded, comments and declarations are gone."""
-    root = top = Node("#root", None)
+    root = Node("#root", None)
+    now = _Open(root)
     at, n = 0, len(page)
     while at < n:
         i = page.find("<", at)
@@ -91,6 +147,7 @@ def parse(page: str) -> Node:
             i = page.find("<", i + 1)
             m = _TOKEN.match(page, i) if i >= 0 else None
         end = i if i >= 0 else n
+        top = now.path[-1]
         if end > at:
             top.children.append(html.unescape(page[at:end]))
         if m is None:
@@ -102,25 +159,15 @@ def parse(page: str) -> Node:
             continue
         tag = m["tag"].lower()
         if m["end"]:
-            node = top
-            while node.parent is not None and node.tag != tag and (node.tag not in ("article", "main", "table", "td", "section", "div", "body") or tag in BLOCK):
-                node = node.parent
-            if node.tag == tag and node.parent is not None:
-                top = node.parent
+            now.end(tag)
             continue
-        if tag in BLOCK or tag in CLOSES:  # what this tag closes without an end tag
-            node = top
-            while node.parent is not None:
-                if tag in CLOSES.get(node.tag, ()):
-                    top = node.parent
-                    if node.tag == "p" or node.tag == tag:
-                        break
-                elif node.tag in SCOPE.get(tag, ()) or node.tag in BLOCK and node.tag not in CLOSES:
-                    break
-                node = node.parent
-        new = Node(tag, top, _noise(tag, m["attrs"], top))
+        if tag in BLOCK or tag in CLOSES:
+            now.make_room(tag)
+            top = now.path[-1]
+        in_article = bool(now.of["article"] or now.of["main"])
+        new = Node(tag, top, _noise(tag, m["attrs"], in_article))
         if tag == "header" and not new.noise:
-            new.noise = not _inside(top, "article", "main")
+            new.noise = not in_article
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             if tag != "noscript" and not new.noise:
@@ -129,89 +176,90 @@ def parse(page: str) -> Node:
             continue
         top.children.append(new)
         if tag not in VOID and not m["attrs"].endswith("/") or tag in BLOCK and tag != "hr":
-            top = new
+            now.push(new)
     return root
 
 
+def _nodes(root: Node, named: bool = False) -> list[Node]:
+    """The elements that are no noise in page order, parents first; with ``named`` also those that only their names rule out."""
+    seen, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        seen.append(x)
+        stack.extend(c for c in reversed(x.children) if not isinstance(c, str) and (not c.noise or named and c.named))
+    return seen
+
+
 def _keep_the_bulk(root: Node) -> None:
     """An element that only its names rule out is a container of the article if it holds over half of the page's text
 
     and a title, an article or three paragraphs of it.
     """
-    size: dict[int, int] = {}
-    order, named, stack = [], [], [root]
-    while stack:
-        x = stack.pop()
-        order.append(x)
-        if x.named:
-            named.append(x)
-        stack.extend(c for c in x.children if not isinstance(c, str) and (not c.noise or c.named))
-    if not named:
+    order = _nodes(root, named=True)
+    if not any(x.named for x in order):
         return
+    size: dict[int, int] = {}
     for x in reversed(order):
-        size[id(x)] = sum(len(c.strip()) if isinstance(c, str) else size.get(id(c), 0) for c in x.children)
-    for x in named:
-        if 2 * size[id(x)] > size[id(root)]:
-            tags, stack = [], [x]
-            while stack:
-                y = stack.pop()
-                tags.append(y.tag)
-                stack.extend(c for c in y.children if not isinstance(c, str) and (not c.noise or c.named))
-            if {"h1", "article", "main"} & set(tags) or tags.count("p") >= 3:
-                x.noise = False
-
-
-def _inside(node: Node | None, *tags: str) -> bool:
-    while node is not None:
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
-
-
-def _own_text(node: Node, link: bool = False) -> tuple[int, int, int]:
-    """Characters, characters in links and commas of the text that belongs to this block."""
-    chars = links = commas = 0
-    stack = [(node, link)]
-    while stack:
-        x, in_link = stack.pop()
-        for c in x.children:
-            if isinstance(c, str):
-                k = len(c.strip())
-                chars += k
-                links += k * in_link
-                commas += c.count(",") + c.count("、") + c.count("，")
-            elif not c.noise and c.tag not in BLOCK:
-                stack.append((c, in_link or c.tag == "a"))
-    return chars, links, commas
+        inner = [c for c in x.children if not isinstance(c, str) and id(c) in size]
+        size[id(x)] = sum(len(c.strip()) for c in x.children if isinstance(c, str)) + sum(size[id(c)] for c in inner)
+        x.paragraphs = (x.tag == "p") + sum(c.paragraphs for c in inner)
+        x.titled = x.tag in ("h1", "article", "main") or any(c.titled for c in inner)
+    for x in order:
+        if x.named and 2 * size[id(x)] > size[id(root)] and (x.titled or x.paragraphs >= 3):
+            x.noise = False
+
+
+#: Elements whose own text counts for the element around them.
+_LEAVES = frozenset(["p", "pre", "td", "li", "dd"]) | HEADING
 
 
 def _score(root: Node) -> list[Node]:
-    """Gives points to all candidates; returns them in page order."""
-    seen, stack = [], [root]
+    """Gives points and lengths to all elements; returns the candidates in page order."""
+    order = _nodes(root)
+    own: dict[int, list[int]] = {}  # characters, characters in links and commas of the text that belongs to a block
+    block: dict[int, Node] = {id(root): root}
+    linked = {id(root): False}
+    for x in order:
+        if x is not root:
+            block[id(x)] = x if x.tag in BLOCK else block[id(x.parent)]
+            linked[id(x)] = x.tag == "a" or linked[id(x.parent)]
+            x.links = int(x.tag == "a")
+        mine = own.setdefault(id(block[id(x)]), [0, 0, 0])
+        for c in x.children:
+            if isinstance(c, str):
+                k = len(c.strip())
+                mine[0] += k
+                mine[1] += k * linked[id(x)]
+                mine[2] += c.count(",") + c.count("、") + c.count("，")
+    for x in reversed(order):
+        if block[id(x)] is x:
+            chars, links, commas = own[id(x)]
+            x.chars += chars
+            x.link_chars += links
+            points = (1 + commas + min(chars / 100, 3.0)) * (1 - links / chars) if x.tag in PROSE and chars >= 25 else 0.0
+            if points and x.tag in _LEAVES and x.parent is not None:
+                x.parent.points += points
+            else:
+                x.points += points
+        if x.parent is not None:
+            x.parent.points += x.points / 2
+            x.parent.chars += x.chars
+            x.parent.link_chars += x.link_chars
+            x.parent.links += x.links
+    return [x for x in order if block[id(x)] is x]
+
+
+def _drop_link_lists(article: Node) -> None:
+    """Blocks inside the article with three links or more that are nearly all of their text."""
+    stack = [c for c in article.children if not isinstance(c, str)]
     while stack:
         x = stack.pop()
         if x.noise:
             continue
-        if x.tag in BLOCK or x is root:
-            seen.append(x)
-        stack.extend(c for c in reversed(x.children) if not isinstance(c, str))
-    for x in seen:
-        chars, links, commas = _own_text(x)
-        if not chars:
-            continue
-        points = (1 + commas + min(chars / 100, 3.0)) * (1 - links / chars) if x.tag in PROSE and chars >= 25 else 0.0
-        up, share = x if x.tag not in ("p", "pre", "td", "li", "dd") and x.tag not in HEADING else x.parent, 1.0
-        while up is not None:
-            up.points += points * share
-            share /= 2
-            up = up.parent
-        up = x
-        while up is not None:
-            up.chars += chars
-            up.link_chars += links
-            up = up.parent
-    return seen
+        if x.tag in BLOCK and x.tag not in HEADING and x.links >= 3 and x.link_chars >= 0.8 * x.chars:
+            x.noise = True
+        else:
+            stack.extend(c for c in x.children if not isinstance(c, str))
 
 
 def _value(x: Node) -> float:
@@ -260,6 +308,7 @@ def main_text(page: str | None) -> str:
     while article is not None and article.tag not in ("article", "main"):
         article = article.parent
     best = article or best
+    _drop_link_lists(best)
     bar = max(10.0, value * 0.2)
     for x in best.parent.children if best.parent is not None else [best]:
         if isinstance(x, str) or x.noise:

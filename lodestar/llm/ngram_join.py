@@ -8,9 +8,9 @@ least 0.8. The steps:
 2. ``BANDS`` keys of ``ROWS`` MinHash values each; a key shared by several classes makes a bucket. Each
    bucket compares its members with one of them by their sketches (a star, not all pairs; the choice
    differs between keys). Members that may reach similarity ``LOOSE`` with the centre are linked to it;
-   those that surely reach ``LOOSE`` + 1 - threshold are done with this bucket, and the others go on to a next
-   turn with four times as many centres. No pair gets lost: shingle distance is a metric, so whatever
-   is linked to a member that is done is itself linked to the same centre.
+   a bucket whose members are all linked to one centre is done. In others the members that surely
+   reach ``LOOSE`` + 1 - threshold are done, and the rest go on to a next turn with four times as many centres. No
+   pair gets lost: shingle distance is a metric, so whatever is near a member that is done is itself linked to the same centre.
 3. Connected components of the star edges are the regions inside which links can lie. A region is
    cut into blocks of bounded size; every pair of blocks is one task unit.
 4. A unit gets stored sketches alone. MinHash values are compared a few at a time; a pair is dropped as soon as
@@ -196,11 +196,14 @@ def star_edges(reps: DataFrame, threshold: float = 0.8, loose: float = LOOSE) ->
         two = edges.join(small, "class_id").join(small.select(F.col("class_id").alias("centre"), F.col("sketch").alias("other")), "centre")
         judged = materialize(two.select("class_id", "centre", matches("sketch", "other").alias("m")), "edges")
         found.append(judged.where(F.col("m") >= least).select(F.col("class_id").alias("a"), F.col("centre").alias("b")))
-        done = judged.groupBy("class_id", "centre").agg(F.min("m").alias("m")).where(F.col("m") >= sure).select("class_id", "centre")  # with all texts of an id
-        # A centre is done with its bucket too.
-        gone = stars.join(done, ["class_id", "centre"], "left_semi").unionByName(stars.where("class_id = centre")).select("key", "class_id").distinct()
-        rest = materialize(stars.select("key", "class_id").distinct().join(gone, ["key", "class_id"], "left_anti"), "stars")
+        all_texts = judged.groupBy("class_id", "centre").agg(F.min("m").alias("m"))  # of an id that has several
+        seen = materialize(stars.join(all_texts, ["class_id", "centre"], "left").select("key", "class_id", "centre", F.coalesce("m", F.lit(LOOSE_HASHES)).alias("m")), "seen")
         remove(spark, stars)
+        # A bucket in which one centre is linked to all is one region already.
+        over = seen.groupBy("key", "centre").agg(F.min("m").alias("m")).where(F.col("m") >= least).select("key").distinct()
+        rest = seen.groupBy("key", "class_id").agg(F.max("m").alias("m")).where(F.col("m") < sure).select("key", "class_id").join(over, "key", "left_anti")
+        rest = materialize(rest, "stars")
+        remove(spark, seen)
         if turn:
             remove(spark, rows)
         rows, turn = rest, turn + 1

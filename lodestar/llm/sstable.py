@@ -24,6 +24,7 @@ from bisect import bisect_left
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyarrow import fs as file_systems
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -176,7 +177,10 @@ class Shard:
 
 
 def _put(folder: str, name: str, data: bytes) -> None:
-    """Writes a whole file under another name first, so that a lost or repeated task leaves no half file."""
+    """Writes a whole file under another name first, so that a lost or repeated task leaves no half file.
+
+    Any file system that pyarrow knows by its URI will do (file, hdfs, s3, gs, ...).
+    """
     if folder.startswith("file:") or "://" not in folder:
         path = folder.removeprefix("file://").removeprefix("file:")
         os.makedirs(path, exist_ok=True)
@@ -184,7 +188,7 @@ def _put(folder: str, name: str, data: bytes) -> None:
             f.write(data)
         os.replace(part, f"{path}/{name}")
     else:
-        fs, path = pa.fs.FileSystem.from_uri(folder)
+        fs, path = file_systems.FileSystem.from_uri(folder)
         fs.create_dir(path, recursive=True)
         with fs.open_output_stream(part := f"{path}/_{uuid.uuid4().hex}") as f:
             f.write(data)

@@ -326,6 +326,27 @@ def test_sstable(spark, docs, rows, none, tmp_path):
     assert all(s.get(10**9) == [] for s in shards)
 
 
+def test_shards_on_another_file_system(tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    there = fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem())
+    asked = []
+
+    class Known:
+        @staticmethod
+        def from_uri(uri):
+            asked.append(uri)
+            return there, uri.split("://")[1]
+
+    monkeypatch.setattr(sstable.file_systems, "FileSystem", Known)
+    w = sstable.ShardWriter(2)
+    w.add(sstable.key_of(5), b"\7\0\0\0\2\0\0\0")
+    sstable._put("hdfs://bucket/deep/shards", "shard-000000-00000.sst", w.finish())
+    assert asked == ["hdfs://bucket/deep/shards"] and [p.name for p in (tmp_path / "bucket/deep/shards").iterdir()] == ["shard-000000-00000.sst"]
+    got = sstable.Shard((tmp_path / "bucket/deep/shards/shard-000000-00000.sst").read_bytes()).get(5)
+    assert [x.tolist() for x in got] == [[7, 2]]
+
+
 def test_tokens_cut_exactly():
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         e = encoder(tokenizer_path(name))
@@ -444,6 +465,98 @@ def test_html(spark):
     assert html_text.extract_text(df.limit(0)).count() == 0
 
 
+def test_links_inside_an_article_are_left_out():
+    prose = "".join(f"<p>Paragraph {i} of prose, with commas, long enough to score well.</p>" for i in range(4))
+    menu = "<ul>" + "".join(f"<li><a href=x>Link number {i}</a></li>" for i in range(6)) + "</ul>"
+    for box in ("article", "div", "main"):
+        got = html_text.main_text(f"<body><{box}><div>{prose}</div>{menu}<p>See <a href=y>this</a>, <a href=z>that</a> and <a href=q>more</a> of what was said before.</p></{box}></body>")
+        assert "Link number" not in got and got.startswith("Paragraph 0") and (box == "div" or got.endswith("of what was said before."))
+
+
+def slow_scores(root):
+    """Points and lengths by the definition: every block climbs to the root."""
+    points, chars, links = Counter(), Counter(), Counter()
+
+    def own(x, linked):
+        n = [0, 0, 0]
+        for c in x.children:
+            if isinstance(c, str):
+                k = len(c.strip())
+                n = [n[0] + k, n[1] + k * linked, n[2] + c.count(",")]
+            elif not c.noise and c.tag not in html_text.BLOCK:
+                n = [a + b for a, b in zip(n, own(c, linked or c.tag == "a"), strict=True)]
+        return n
+
+    def visit(x, linked):
+        if x.tag in html_text.BLOCK or x is root:
+            k, in_links, commas = own(x, linked)
+            p = (1 + commas + min(k / 100, 3.0)) * (1 - in_links / k) if k >= 25 and x.tag in html_text.PROSE else 0.0
+            up, share = x.parent if x.tag in ("p", "pre", "td", "li", "dd", *html_text.HEADING) else x, 1.0
+            while up is not None:
+                points[id(up)] += p * share
+                up, share = up.parent, share / 2
+            up = x
+            while up is not None:
+                chars[id(up)] += k
+                links[id(up)] += in_links
+                up = up.parent
+        for c in x.children:
+            if not isinstance(c, str) and not c.noise:
+                visit(c, linked or c.tag == "a")
+
+    visit(root, False)
+    return points, chars, links
+
+
+def random_page(rng, depth=0):
+    if depth > 5 or rng.random() < 0.2:
+        return " ".join(rng.choice(["word", "other,", "text", "&amp;", "<br>", "more."]) for _ in range(rng.randint(1, 30)))
+    tag = rng.choice("div p ul li a b section table tr td h2 article blockquote span nav i".split())
+    close = "" if rng.random() < 0.15 else f"</{rng.choice([tag] * 9 + ['b', 'div', 'p'])}>"
+    return f"<{tag}>" + "".join(random_page(rng, depth + 1) for _ in range(rng.randint(1, 4))) + close
+
+
+def test_html_scores_against_the_definition():
+    for seed in range(60):
+        root = html_text.parse(random_page(random.Random(seed)) * 3)
+        html_text._keep_the_bulk(root)
+        points, chars, links = slow_scores(root)
+        html_text._score(root)
+        for x in html_text._nodes(root):
+            assert (x.chars, x.link_chars) == (chars[id(x)], links[id(x)])
+            assert x.points == pytest.approx(points[id(x)])
+
+
+def test_equal_scores_take_the_first_of_the_page():
+    box = "<div>" + "<p>Same prose, with commas, that is long enough to score.</p>" * 3 + "</div>"
+    first = html_text.main_text(f"<body><section>{box}</section><section>{box}</section></body>")
+    assert first.count("Same prose") in (3, 6) and first == html_text.main_text(f"<body><section>{box}</section><section>{box}</section></body>")
+
+
+@pytest.mark.parametrize("page", [lambda n: "<b>" * n + "</i>" * n, lambda n: "<i><div>" + "<b>" * n + "</i>" * n, lambda n: "<div><p>some text, here that is long enough.</p>" * n, lambda n: "<b>" * n + "<p>x</p>" * n,
+                                  lambda n: "<x " * n + '"', lambda n: "<div class=sidebar><p>words and words, more</p>" * n, lambda n: "<ul>" + "<li><b>" * n])
+def test_html_steps_are_linear(page):
+    """Lines run, not seconds."""
+    import sys
+
+    def steps(text):
+        n = 0
+
+        def trace(frame, event, arg):
+            nonlocal n
+            n += event == "line"
+            return trace if frame.f_code.co_filename == html_text.__file__ else None
+
+        sys.settrace(trace)
+        try:
+            html_text.main_text(text)
+        finally:
+            sys.settrace(None)
+        return n
+
+    assert steps(page(400)) < 2.2 * steps(page(200)) + 500
+
+
 def test_language_id(spark):
     rng = random.Random(9)
     words = {"en": "the and that with from this have", "de": "der und nicht eine mit auch sch", "fr": "les des que une dans pour est", "es": "los que una para con por del"}
