@@ -657,6 +657,129 @@ def test_toxicity_fit_is_the_minimum():
     assert swaps and np.abs(gradient).max() < 1e-4
 
 
+def test_toxicity_against_a_plain_version(spark):
+    """Features, swaps and the fit written out on whole texts and dense matrices; odd rows too."""
+    rng = random.Random(31)
+    calm = "tree river stone cloud meadow bridge garden women men muslim christian old young".split()
+    rows = [(i, " ".join([rng.choice(calm) for _ in range(rng.randint(4, 12))] + (["nastyface"] if i % 3 == 0 and rng.random() < 0.8 else []))) for i in range(400)]
+    rows += [(500, None), (501, ""), (502, "ÜBER 12 _x_"), (7, rows[7][1])]  # a row that repeats
+    labels = [(i, int(i % 3 == 0)) for i in range(400)] + [(9, None), (None, 1)]
+    df = spark.createDataFrame([(i, t, 0.5, 3) for i, t in rows], "doc_id long, text string, score double, y int").repartition(3)
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(df, lab)
+    stems = lambda t: {f for w in re.findall(r"[^\W\d_]+", (t or "").lower()) for f in [w, *(w[:k] + "*" for k in (4, 5, 6, 7) if len(w) > k)]}
+    train = [(t, y) for i, t in rows for j, y in labels if i == j and y is not None and zlib.crc32(str(i).encode()) % 5]
+    n1, n0 = sum(y for _, y in train), sum(1 - y for _, y in train)
+    seen, toxic = Counter(f for t, _ in train for f in stems(t)), Counter(f for t, y in train if y for f in stems(t))
+    terms = {x for g in toxicity.IDENTITY_TERMS for x in g}
+
+    def telling(f):
+        share = seen[f] / (n1 + n0)
+        z = (toxic[f] / n1 - (seen[f] - toxic[f]) / n0) / (share * (1 - share + 1e-9) * (1 / n1 + 1 / n0)) ** 0.5
+        return seen[f] >= 5 and abs(z) >= 3.5 or f in terms
+
+    known = sorted(f for f in seen if telling(f))
+    assert set(model.weights) == set(known)
+    vec = lambda fs: np.array([float(f in fs) for f in known] + [1.0])
+    x, y = np.array([vec(stems(t)) for t, _ in train]), np.array([y for _, y in train])
+    moves = []
+    for t, _ in train:
+        w = set(re.findall(r"[^\W\d_]+", (t or "").lower()))
+        for g in toxicity.IDENTITY_TERMS:
+            for a in set(g) & w:
+                for b in set(g) - {a}:
+                    moves.append((vec(stems(" ".join(w - {a} | {b}))) - vec(stems(" ".join(w)))) * (4.0 / (len(g) - 1)) ** 0.5)
+    ridge = np.diag([1.0] * len(known) + [1e-6]) + np.array(moves).T @ np.array(moves)
+    v = np.zeros(len(known) + 1)
+    for _ in range(60):  # Newton
+        p = 1 / (1 + np.exp(-x @ v))
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (p - y) + ridge @ v)
+        v -= step * min(1.0, 2 / max(1e-9, np.abs(step).max()))
+    got = toxicity.score(df, model).collect()
+    assert sorted((r.doc_id for r in got)) == sorted(i for i, _ in rows)
+    text = dict(rows)
+    for r in got:
+        want = 1 / (1 + np.exp(-vec(stems(text[r.doc_id])) @ v))
+        assert abs(r.score - want) < 1e-3 and r.predicted == int(r.score >= 0.5)
+    assert toxicity.score(df.limit(0), model).count() == 0 and toxicity.train(df.limit(0), lab).weights == {}
+
+
+def test_language_id_against_a_plain_version(spark):
+    """Sequences counted one by one, machines fitted by plain descent in double precision; votes and families written out."""
+    rng = random.Random(41)
+    words = {"en": "the and that with from this have", "de": "der und nicht eine mit auch sch", "nl": "het een niet van zijn ook dat", "fr": "les des que une dans pour est"}
+    rows = [(i, " ".join(rng.choice(words[k].split()) for _ in range(rng.randint(2, 20))) + rng.choice(["", " 12, x!"]), k) for i, k in enumerate(rng.choice(list(words)) for _ in range(240))]
+    rows += [(1000, None, "en"), (1001, "123 !!", "de"), (3, rows[3][1], rows[3][2]), (None, "der und", "de")]
+    df = spark.createDataFrame([(*r, 1.0, "z") for r in rows], "doc_id long, text string, lang string, score double, lang_pred string")
+    model = language_id.train(df, per_lang=1000)
+    u = lambda v: v & 0xFFFFFFFF
+
+    def plain(text):
+        run, last = [], False
+        for ch in (text or "").lower():
+            if ch.isalpha():
+                run.append(ord(ch))
+            elif last:
+                run.append(32)
+            last = ch.isalpha()
+        if not any(c != 32 for c in run):
+            return None
+        run = [32, *run, 32]
+        hashes = [u(c * 0x9E3779B1) for c in run if c != 32]
+        pairs = []
+        for a, b in zip(run, run[1:], strict=False):
+            two = u(b * 0x85EBCA77)
+            pairs.append(u(a * 0x9E3779B1) ^ u(two << 5 | two >> 27))
+        hashes += pairs + [u(p * 0xC2B2AE3D) ^ u(c * 0x9E3779B1) for p, c in zip(pairs, run[2:], strict=False)]
+        n = np.zeros(language_id.DIM)
+        for h in hashes:
+            n[u((h ^ h >> 15) * 0x2C1B3C6D) >> 19] += 1
+        return np.sqrt(n) / np.sqrt(n.sum())
+
+    def machine(x, y):
+        x = np.hstack((x, np.ones((len(x), 1))))
+        c = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum()) * len(y)
+        step = 1 / (1 + 2 * np.linalg.eigvalsh(x @ x.T * np.sqrt(np.outer(c, c)))[-1])
+        w = np.zeros(x.shape[1])
+        for _ in range(4000):
+            w -= step * (w - 2 * x.T @ (c * y * np.maximum(0, 1 - y * (x @ w))))
+        return w
+
+    train = [(plain(t), k) for i, t, k in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 5 and plain(t) is not None]
+    x, y = np.array([t for t, _ in train]), np.array([k for _, k in train])
+    family = machine(x, np.where(y == "fr", -1, 1))  # of the two families
+    pairs = {(a, b): machine(x[(y == a) | (y == b)], np.where(y[(y == a) | (y == b)] == a, 1, -1)) for a, b in (("de", "en"), ("de", "nl"), ("en", "nl"))}
+
+    def predict(t):
+        f = plain(t)
+        if f is None:
+            return "und"
+        f = np.append(f, 1)
+        if f @ family < 0:
+            return "fr"
+        margin = {p: f @ w for p, w in pairs.items()}
+        votes = {g: (sum((v >= 0) == (p[0] == g) for p, v in margin.items() if g in p), sum(v if p[0] == g else -v for p, v in margin.items() if g in p), g) for g in ("de", "en", "nl")}
+        return max(votes, key=votes.get)
+
+    text = {i: t for i, t, _ in rows}
+    got = language_id.identify(df, model).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    assert sum(r.lang_pred != predict(text[r.doc_id]) for r in got) <= 2  # margins next to nought
+    assert language_id.identify(df.limit(0), model).count() == 0
+
+
+def test_language_id_votes_that_tie():
+    """Three languages that beat each other in a circle: the sum of margins decides, then the name."""
+    m = object.__new__(language_id.Model)
+    m.langs = ["de", "en", "nl"]
+    m.groups, m.families, m.pairs = {"germanic": m.langs}, ["germanic"], {("de", "en"): 0, ("de", "nl"): 1, ("en", "nl"): 2}
+    m.weights = np.zeros((2, 3), np.float32)
+    m.weights[0] = [1.0, -2.0, 0.5]  # de over en, nl over de, en over nl
+    assert m.predict(np.ones(1, np.float32))[0] == "nl"
+    m.weights[0] = [1.0, -1.0, 1.0]
+    assert m.predict(np.ones(1, np.float32))[0] == "nl"
+
+
 def test_held_out(spark):
     df = spark.createDataFrame([(i,) for i in range(50)], "doc_id long").select("doc_id", common.held_out().alias("h"))
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in df.collect())
@@ -670,9 +793,70 @@ def test_word_hashes_in_segments():
     assert len({int(x) for x in a}) == 6
 
 
-def test_pipeline(spark, tmp_path, rows):
+def brute_cut(rows, length, min_words):
+    """Texts without the repeated stretches of ``length`` bytes and more that hold ``min_words`` words."""
+    data = [t.encode() for _, t in rows]
+    n = Counter(b[p : p + length] for b in data for p in range(len(b) - length + 1))
+    out = []
+    for (i, _), b in zip(rows, data, strict=True):
+        gone = np.zeros(len(b) + 1, bool)
+        for p in range(len(b) - length + 1):
+            if n[b[p : p + length]] > 1:
+                gone[p : p + length] = True
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], gone[:-1], [False])).astype(int)))
+        spans = [(lo, hi) for lo, hi in zip(edge[::2], edge[1::2], strict=True) if len(WORD.findall(b[lo:hi].decode("utf-8", "replace"))) >= min_words]
+        out.append((i, suffix_dedup._cut(b, spans).decode("utf-8", "ignore")))
+    return out
+
+
+def pipeline_rows(rng, n=50):
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    prose = lambda k: [word() for _ in range(k)]
+    passages = [prose(k) for k in (51, 52, 60, 70)]
+    short = prose(40)  # a common passage that is not long enough
+    rows = []
+    for i in range(n):
+        w = prose(rng.randint(70, 120))
+        if i % 3 == 0:
+            w[20:20] = rng.choice(passages)
+        if i % 5 == 0:
+            w[60:60] = short
+        rows.append((i, " ".join(w)))
+        if i % 6 == 0:
+            rows.append((100 + i, rows[-1][1]))
+        if i % 7 == 0:
+            near = list(w)
+            near[3] = word()
+            rows.append((200 + i, " ".join(near)))
+        if i % 8 == 0:
+            rows.append((300 + i, " ".join(w[:20]) + " # # # # # # # # # # # # # # # # # #"))
+    return passages, short, [*rows, (400, None), (401, ""), (402, "too short"), (5, rows[-1][1])]
+
+
+def brute_pipeline(rows):
+    good = [(i, t) for i, t in rows for m in [measures(t)] if m[0] >= 50 and 100 * m[4] <= 50 * m[0] and 10 * m[2] <= m[0]]
+    best = {}
+    for i, t in good:
+        best[t] = max(best.get(t, i), i)
+    one = [(i, t) for t, i in best.items()]
+    groups = brute_groups(one)
+    left = brute_cut([(i, t) for i, t in one if groups[i][0] == i], 200, 51)
+    tok = encoder(tokenizer_path("byte_bpe_50k.json"))
+    pieces = []
+    for i, t in left:
+        ids = tok.whole(t) + b"\0" * 4
+        n, p, k = len(ids) // 4, 0, 0
+        while p < n:
+            size = (n % 2048 or 2048) if p == 0 else 2048
+            pieces.append((i, k, p, size, zlib.crc32(ids[4 * p : 4 * (p + size)])))
+            p, k = p + size, k + 1
+    return left, sorted(pieces)
+
+
+def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    df = spark.createDataFrame([(i, t, "en", "s", len(t) if t is not None else None) for i, t in rows if i is not None], "doc_id long, text string, lang string, source string, n_chars long")
+    passages, short, rows = pipeline_rows(random.Random(21))
+    df = spark.createDataFrame([(i, t, "en", "s", len(t) if t is not None else None, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row string")
     df.write.parquet(str(tmp_path / "documents.parquet"))
     docs = df
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
@@ -683,7 +867,20 @@ def test_pipeline(spark, tmp_path, rows):
             docs.write.parquet(str(tmp_path / f"s{k}"))
             docs = spark.read.parquet(str(tmp_path / f"s{k}"))
             assert 0 < docs.count() <= before.count()
-    assert docs.select("doc_id").distinct().count() == before.count()
-    whole = corpus_pipeline.run(spark, str(tmp_path))
-    key = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    assert sorted(map(tuple, whole.select(*key).collect())) == sorted(map(tuple, docs.select(*key).collect()))
+    left, pieces = brute_pipeline(rows)
+    texts = {r.doc_id: (r.text, r.n_chars) for r in before.collect()}
+    assert texts == {i: (t, len(t)) for i, t in left}
+    assert not any(" ".join(p) in t for p in passages for t, _ in texts.values()) and sum(" ".join(short) in t for t, _ in texts.values()) > 3
+    whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in whole) == pieces
+    used = defaultdict(list)
+    for r in whole:
+        used[r.sequence_id].append((r.offset, r.length))
+    for b in used.values():
+        assert [o for o, _ in sorted(b)] == [sum(n for _, n in sorted(b)[:k]) for k in range(len(b))] and sum(n for _, n in b) <= 2048
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
