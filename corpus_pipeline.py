@@ -4,8 +4,8 @@ Every stage takes the whole output of the one before. All but the last return th
 ``documents``; the last returns the packed pieces.
 
 Every stage defines its result for nulls, empty tables, repeated rows and columns of any names: a
-null text fails the quality rules, as one without words does; rows with a null id stay apart in all
-stages that compare documents; an empty table goes through as an empty table.
+null text fails the quality rules, as one without words does; a null id never wins over an id among
+equal texts and has no near copies; an empty table goes through as an empty table.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of documents linked by similarity, the one with the least doc_id."""
+    small_batches(spark)
     return ngram_join.keep_one(docs)
 
 
@@ -41,11 +42,13 @@ def suffix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with its space, 51 * 4 = 204), and go where the whole repeated stretch holds that many words: shorter
     common phrases and lines stay. Null and empty texts stay as they are, ties do not arise.
     """
+    small_batches(spark)
     return suffix_dedup.drop_repeats(docs, length=REPEAT_BYTES, gram=64, min_words=REPEAT_WORDS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces and their places in the sequences."""
+    small_batches(spark)
     return packing.pack_documents(docs)
 
 
@@ -57,7 +60,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage; what a stage has read is deleted once its own result is stored."""
-    small_batches(spark)
     docs, last = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
