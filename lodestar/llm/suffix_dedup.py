@@ -51,7 +51,7 @@ RANGE_BYTES = 24 << 20  # of segments in a range of the sort
 SAMPLE = 32  # segments a range from which splitters are taken
 SPLITTER_BYTES = 128 << 20  # of splitters, which are broadcast; beyond it ranges are larger
 MOST_TASKS = 20_000  # of the merge; a task merges several ranges one after the other
-MOST_VARIANTS = 512
+MOST_VARIANTS = 4096  # of a gram that one task compares
 _PERIODIC = np.uint64(1 << 63)
 _NO_ID = -(1 << 63)
 
