@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .dictionaries import DISTRICTS, EDUCATION_LEVELS, SCHEMES, SCHOOL_TYPES, SOCIAL_CATEGORIES, any_of
+
 # Patterns by kind. Whole matches are kept, white space collapsed, repeats dropped.
 SIMPLE = {
     "legal_refs": (
@@ -17,10 +19,11 @@ SIMPLE = {
         r"(?i)\b(?:gross enrollment ratio|GER)\b", r"(?i)\b(?:net enrollment ratio|NER)\b", r"(?i)\b(?:pupil[- ]teacher ratio|PTR|student[- ]teacher ratio)\b", r"(?i)\b(?:dropout rate|drop[- ]out)\b", r"(?i)\b(?:retention rate)\b",
         r"(?i)\b(?:transition rate)\b", r"(?i)\b(?:pass percentage|pass rate)\b", r"(?i)\b(?:learning outcome|learning outcomes)\b", r"(?i)\b(?:enrollment|enrolment)\b",
     ),
-    "schemes": (r"(?i)\b(?:Nadu-Nedu|Nadu Nedu|Amma Vodi|Mid Day Meal|Jagananna Gorumudda|Vidya Deevena|Vidya Kanuka|Samagra Shiksha|Sarva Shiksha Abhiyan|Kasturba Gandhi Balika Vidyalaya)\b",),
-    "districts": (r"(?i)\b(?:Anantapur|Chittoor|East Godavari|Guntur|Krishna|Kurnool|Nellore|Prakasam|Srikakulam|Visakhapatnam|Vizianagaram|West Godavari|YSR Kadapa|Kadapa)\b",),
-    "social_categories": (r"(?i)\b(?:Scheduled Castes?|Scheduled Tribes?|SC|ST|OBC|BC|EWS|Girl Child|Minority Students)\b",),
-    "education_levels": (r"(?i)\b(?:Pre-Primary|Upper Primary|Primary|Higher Secondary|Secondary|High School|Intermediate|Junior College)\b",),
+    "schemes": (any_of(SCHEMES),),
+    "districts": (any_of(DISTRICTS),),
+    "social_categories": (any_of(SOCIAL_CATEGORIES),),
+    "school_types": (any_of(SCHOOL_TYPES),),
+    "education_levels": (any_of(EDUCATION_LEVELS),),
     "acronyms": (r"\b[A-Z]{3,5}\b",),
     "amounts": (r"(?i)(?:Rs|INR)\.?\s*\d+(?:,\d+)*(?:\.\d+)?\s*(?:crore|lakh|thousand)s?",),
     "definitions": (r'(?i)"[^"]+"\s+means\s+[^.]+',),

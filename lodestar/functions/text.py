@@ -151,10 +151,15 @@ def spelling(c: Column, table: dict[str, str]) -> Column:
 def expand_acronyms(c: Column, table: dict[str, str]) -> Column:
     """``X`` becomes ``X (expansion)``, the longest acronym first; what an expansion adds is scanned again."""
     for k in sorted(table, key=lambda k: (-len(k), k)):
-        c = F.regexp_replace(c, F.lit(rf"(?i)\b({k})\b"), F.lit(f"$1 ({table[k]})"))
+        c = F.regexp_replace(c, F.lit(acronym_pattern(k)), F.lit(f"$1 ({table[k]})"))
     return c
 
 
+def acronym_pattern(acronym: str) -> str:
+    """The acronym as a whole word; one that ends in a sign ends there."""
+    return r"(?i)\b(" + "".join(x if x.isalnum() else "\\" + x for x in acronym) + ")" + (r"\b" if acronym[-1].isalnum() else "")
+
+
 def canonical_names(c: Column, aliases: dict[str, str]) -> Column:
     for k, v in aliases.items():
         c = F.regexp_replace(c, F.lit(rf"(?i)\b{k}\b"), F.lit(v))

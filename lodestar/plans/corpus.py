@@ -17,7 +17,7 @@ def _s(x: str) -> str:
 
 _BASE = """
 SELECT o_orderkey AS chunk_id, CAST(floor(o_orderkey / 4) AS BIGINT) AS doc_id, CAST(o_orderkey % 4 AS INT) AS pos,
-       CAST(o_orderkey % 8 AS INT) AS kind, CAST(o_orderkey % 89 + 1 AS INT) AS n1, CAST(o_custkey % 89 + 1 AS INT) AS n2,
+       CAST(o_orderkey % 8 AS INT) AS kind, CAST(o_orderkey % 997 + 1 AS INT) AS n1, CAST(o_custkey % 89 + 1 AS INT) AS n2,
        CAST(year(o_orderdate) + 20 AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, CAST(day(o_orderdate) AS INT) AS d,
        CAST(o_custkey % 900 AS INT) AS v, o_orderpriority AS prio
 FROM orders

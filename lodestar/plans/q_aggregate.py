@@ -90,32 +90,20 @@ def _(spark, sf):
 
 
 _OWN = f"nullif(regexp_extract(text, {lit(G.OWN_NUMBER)}, 1), '')"
-_TG = " UNION ALL ".join(f"SELECT CAST(unnest(regexp_extract_all(text, {lit(p)}, 1)) AS INT) AS target FROM chunks WHERE {_OWN} IS NOT NULL AND doc_id % 20 = 0" for _, _, p in G.SUPERSESSION)
-_TG_ALL = " UNION ALL ".join(f"SELECT CAST(unnest(regexp_extract_all(text, {lit(p)}, 1)) AS INT) AS target FROM chunks WHERE {_OWN} IS NOT NULL" for _, _, p in G.SUPERSESSION)
+_TG = " UNION ALL ".join(f"SELECT CAST(unnest(regexp_extract_all(text, {lit(p)}, 1)) AS INT) AS target FROM chunks WHERE {_OWN} IS NOT NULL" for _, _, p in G.SUPERSESSION)
 
 
-def _status(c, superseding="true"):
-    """Orders by status; ``superseding``: the chunks whose supersessions count."""
-    own = F.regexp_extract("text", G.OWN_NUMBER, 1)
-    o = c.select("kind", "y", F.when(own != "", own).cast("int").alias("number")).where("number is not null")
-    gone = G.supersessions(c.where(superseding))
-    return A.order_status(o, gone, "number", "y", 2026, F.col("kind") == 7).groupBy("status").agg(F.count("*").alias("n"))
-
-
-# a11 counts only the supersessions by a twentieth of the documents, as its SQL does; a11b counts all.
 @query("a11_order_status", f"{W}, t AS (SELECT DISTINCT target FROM ({_TG}) x), o AS (SELECT chunk_id, CAST({_OWN} AS INT) AS number, y, kind FROM chunks WHERE {_OWN} IS NOT NULL) SELECT CASE WHEN target IS NOT NULL THEN 'superseded' WHEN kind = 7 THEN 'active' WHEN 2026 - y > 10 THEN 'likely_superseded' ELSE 'active' END AS status, count(*) AS n FROM o LEFT JOIN t ON number = target GROUP BY 1")
 def _(spark, sf):
-    return _status(corpus.chunks(spark, sf), "doc_id % 20 = 0")
-
-
-@query("a11b_order_status_whole", f"{W}, t AS (SELECT DISTINCT target FROM ({_TG_ALL}) x), o AS (SELECT chunk_id, CAST({_OWN} AS INT) AS number, y, kind FROM chunks WHERE {_OWN} IS NOT NULL) SELECT CASE WHEN target IS NOT NULL THEN 'superseded' WHEN kind = 7 THEN 'active' WHEN 2026 - y > 10 THEN 'likely_superseded' ELSE 'active' END AS status, count(*) AS n FROM o LEFT JOIN t ON number = target GROUP BY 1")
-def _(spark, sf):
-    return _status(corpus.chunks(spark, sf))
+    c = corpus.chunks(spark, sf)
+    own = F.regexp_extract("text", G.OWN_NUMBER, 1)
+    o = c.select("kind", "y", F.when(own != "", own).cast("int").alias("number")).where("number is not null")
+    return A.order_status(o, G.supersessions(c), "number", "y", 2026, F.col("kind") == 7).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("a12_orders_timeline", f"{W} SELECT y, doc_type, count(*) AS n, count(DISTINCT n1) AS n_numbers, min(chunk_id) AS first_chunk FROM chunks WHERE kind IN (0, 7) GROUP BY 1, 2")
+@query("a12_orders_timeline", f"{W} SELECT y, doc_type, count(*) AS n, count(DISTINCT n1) AS n_numbers, min(chunk_id) AS first_chunk FROM chunks GROUP BY 1, 2")
 def _(spark, sf):
-    return corpus.chunks(spark, sf).where("kind in (0, 7)").groupBy("y", "doc_type").agg(F.count("*").alias("n"), F.countDistinct("n1").alias("n_numbers"), F.min("chunk_id").alias("first_chunk"))
+    return corpus.chunks(spark, sf).groupBy("y", "doc_type").agg(F.count("*").alias("n"), F.countDistinct("n1").alias("n_numbers"), F.min("chunk_id").alias("first_chunk"))
 
 
 _SEC = r"(?i)\bSection\s+(\d+)"
@@ -143,10 +131,10 @@ def _(spark, sf):
     return A.top_sections(corpus.chunks(spark, sf), _SEC)
 
 
-@query("a18_case_entries", f"{W} SELECT chunk_id, trim(regexp_extract(text, 'petitioner, ([^.]+?) vs\\. ([A-Z][A-Za-z ]+)', 1)) AS petitioner, trim(regexp_extract(text, 'petitioner, ([^.]+?) vs\\. ([A-Z][A-Za-z ]+)', 2)) AS respondent, CASE WHEN {has('text', A.CASE_STATUS[0][1])} THEN 'decided' WHEN {has('text', A.CASE_STATUS[1][1])} THEN 'pending' WHEN {has('text', A.CASE_STATUS[2][1])} THEN 'interim' ELSE 'unknown' END AS status FROM chunks WHERE kind = 4")
+@query("a18_case_entries", f"{W} SELECT chunk_id, trim(regexp_extract(text, 'petitioner, ([^.]+?) vs\\. ([A-Z][A-Za-z ]+)', 1)) AS petitioner, trim(regexp_extract(text, 'petitioner, ([^.]+?) vs\\. ([A-Z][A-Za-z ]+)', 2)) AS respondent, CASE WHEN {has('text', A.CASE_STATUS[0][1])} THEN 'decided' WHEN {has('text', A.CASE_STATUS[1][1])} THEN 'pending' WHEN {has('text', A.CASE_STATUS[2][1])} THEN 'interim' ELSE 'unknown' END AS status FROM chunks")
 def _(spark, sf):
     p = r"petitioner, ([^.]+?) vs\. ([A-Z][A-Za-z ]+)"
-    c = corpus.chunks(spark, sf).where("kind = 4")
+    c = corpus.chunks(spark, sf)
     return c.select("chunk_id", F.trim(F.regexp_extract("text", p, 1)).alias("petitioner"), F.trim(F.regexp_extract("text", p, 2)).alias("respondent"), A.case_status(F.col("text")).alias("status"))
 
 
@@ -154,14 +142,14 @@ _BUD = r"(?i)(\d+(?:,\d+)*(?:\.\d+)?)\s*(crore|lakh|thousand)"
 _CR = f"TRY_CAST(replace(regexp_extract(text, {lit(_BUD)}, 1), ',', '') AS DOUBLE) / CASE lower(regexp_extract(text, {lit(_BUD)}, 2)) WHEN 'crore' THEN 1 WHEN 'lakh' THEN 100 WHEN 'thousand' THEN 10000 END"
 
 
-@query("a20_scheme_budgets", f"{W} SELECT chunk_id, round({_CR}, 6) AS crore FROM chunks WHERE kind = 3")
+@query("a20_scheme_budgets", f"{W} SELECT chunk_id, round({_CR}, 6) AS crore FROM chunks")
 def _(spark, sf):
-    return corpus.chunks(spark, sf).where("kind = 3").select("chunk_id", F.round(A.budget_crore(F.col("text")), 6).alias("crore"))
+    return corpus.chunks(spark, sf).select("chunk_id", F.round(A.budget_crore(F.col("text")), 6).alias("crore"))
 
 
-@query("a21_budget_summary", f"{W} SELECT {_DIST} AS district, y, round(sum({_CR}), 4) AS crore, count(*) AS n FROM chunks WHERE kind = 3 GROUP BY CUBE (1, 2)".replace("CUBE (1, 2)", f"CUBE ({_DIST}, y)"))
+@query("a21_budget_summary", f"{W} SELECT {_DIST} AS district, y, round(sum({_CR}), 4) AS crore, count(*) AS n FROM chunks GROUP BY CUBE (1, 2)".replace("CUBE (1, 2)", f"CUBE ({_DIST}, y)"))
 def _(spark, sf):
-    c = corpus.chunks(spark, sf).where("kind = 3").select(A.first_district(F.col("text")).alias("district"), "y", A.budget_crore(F.col("text")).alias("crore"))
+    c = corpus.chunks(spark, sf).select(A.first_district(F.col("text")).alias("district"), "y", A.budget_crore(F.col("text")).alias("crore"))
     return c.cube("district", "y").agg(F.round(F.sum("crore"), 4).alias("crore"), F.count("*").alias("n"))
 
 

@@ -132,22 +132,11 @@ def _(spark, sf):
     return G.supersessions(corpus.chunks(spark, sf))
 
 
-def _current(c, superseding="true"):
-    """Numbers that no other replaces, by topic; ``superseding``: the edges that count."""
-    e = G.supersessions(c).select("source", "target")
-    gone = e.where(superseding).select(F.col("target").alias("source")).distinct()
-    return e.join(gone, "source", "left_anti").groupBy((F.col("source") % 5).alias("topic")).agg(F.max("source").alias("current"), F.countDistinct("source").alias("n"))
-
-
-# g12 lets only every third target count as replaced, as its SQL does; g12b all of them.
-@query("g12_current_by_topic", f"{corpus.WITH}, s AS ({_SUP}), e AS (SELECT CAST(own AS INT) AS source, target FROM s WHERE own <> '') SELECT source % 5 AS topic, max(source) AS current, count(DISTINCT source) AS n FROM e WHERE source NOT IN (SELECT target FROM e WHERE target % 3 = 0) GROUP BY 1")
+@query("g12_current_by_topic", f"{corpus.WITH}, s AS ({_SUP}), e AS (SELECT CAST(own AS INT) AS source, target FROM s WHERE own <> '') SELECT source % 5 AS topic, max(source) AS current, count(DISTINCT source) AS n FROM e WHERE source NOT IN (SELECT target FROM e) GROUP BY 1")
 def _(spark, sf):
-    return _current(corpus.chunks(spark, sf), "target % 3 = 0")
-
-
-@query("g12b_current_by_topic_whole", f"{corpus.WITH}, s AS ({_SUP}), e AS (SELECT CAST(own AS INT) AS source, target FROM s WHERE own <> '') SELECT source % 5 AS topic, max(source) AS current, count(DISTINCT source) AS n FROM e WHERE source NOT IN (SELECT target FROM e) GROUP BY 1")
-def _(spark, sf):
-    return _current(corpus.chunks(spark, sf))
+    e = G.supersessions(corpus.chunks(spark, sf)).select("source", "target")
+    gone = e.select(F.col("target").alias("source")).distinct()
+    return e.join(gone, "source", "left_anti").groupBy((F.col("source") % 5).alias("topic")).agg(F.max("source").alias("current"), F.countDistinct("source").alias("n"))
 
 
 @query("g14_chain_validation", f"{_W}, d AS (SELECT DISTINCT source, target FROM edges WHERE relation_type = 'supersedes' AND source <> target) SELECT (SELECT count(*) FROM d a JOIN d b ON a.source = b.target AND a.target = b.source AND a.source < a.target) AS n_cycles, (SELECT count(*) FROM edges WHERE relation_type = 'supersedes' AND confidence < 0.8) AS n_low_confidence")

@@ -25,11 +25,11 @@ W = corpus.WITH
 
 @query(
     "k01_act_sections",
-    f"{W}, m AS (SELECT chunk_id, text, regexp_extract_all(text, {lit(K.ACT_HEADING)}) AS h FROM chunks WHERE kind = 1), p AS (SELECT chunk_id, h, regexp_replace(text, {lit('(' + K.ACT_HEADING + ')')}, '<<|>>', 'g') AS t FROM m), s AS (SELECT chunk_id, h, string_split(t, '<<|>>')[2:] AS b FROM p), "
-    "r AS (SELECT chunk_id, unnest(h) AS title, unnest(b) AS body, generate_subscripts(h, 1) - 1 AS position FROM s) SELECT chunk_id, position, 'sec_' || regexp_extract(title, '(?i)Section\\s+(\\d+[A-Z]?)', 1) AS section_id, trim(title) AS section_title, regexp_replace(regexp_replace(body, '^\\s+', ''), '\\s+$', '') AS text, length(regexp_replace(regexp_replace(body, '^\\s+', ''), '\\s+$', '')) AS char_count FROM r",
+    f"{W}, m AS (SELECT chunk_id, text, regexp_extract_all(text, {lit(K.ACT_HEADING)}) AS h FROM chunks), p AS (SELECT chunk_id, h, regexp_replace(text, {lit('(' + K.ACT_HEADING + ')')}, '<<|>>', 'g') AS t FROM m), s AS (SELECT chunk_id, h, string_split(t, '<<|>>')[2:] AS b FROM p), "
+    "r AS (SELECT chunk_id, unnest(h) AS title, unnest(b) AS body, generate_subscripts(h, 1) - 1 AS position FROM s) SELECT chunk_id, position, 'sec_' || regexp_extract(title, '(?i)Section\\s+(\\d+[A-Z]?)', 1) AS section_id, trim(title) AS section_title, regexp_replace(regexp_replace(body, '^\\s+', ''), '\\s+$', '') AS text, length(regexp_replace(regexp_replace(body, '^\\s+', ''), '\\s+$', '')) AS char_count FROM r UNION ALL SELECT chunk_id, 0, 'full_text', 'Full Document', text, length(text) FROM m WHERE len(h) = 0",
 )
 def _(spark, sf):
-    return K.act_sections(corpus.chunks(spark, sf).where("kind = 1"), "chunk_id", "text")
+    return K.act_sections(corpus.chunks(spark, sf), "chunk_id", "text")
 
 
 _NUM = "'Preamble' || chr(10) || '1. First point ' || CAST(n1 AS STRING) || chr(10) || 'body one' || chr(10) || '2. Second point' || chr(10) || 'body two'"
@@ -177,22 +177,12 @@ def _(spark, sf):
 _CARRY = "t AS (SELECT conv_id, turn, text, CASE WHEN turn % 3 = 0 THEN role || CAST(turn AS VARCHAR) END AS v FROM conversations WHERE text IS NOT NULL), c AS (SELECT *, last_value(v IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS b FROM t)"
 
 
-def _resolved(turns):
-    t = turns.select("conv_id", "turn", "text", F.when(F.col("turn") % 3 == 0, F.concat("role", F.col("turn").cast("string"))).alias("v"))
-    c = N.carry_forward(t, "conv_id", "turn", "v")
-    return c.select("conv_id", "turn", "text", N.resolve_reference(F.col("text"), F.col("carried")).alias("resolved"))
-
-
-# n08b gives the turns in ASCII, as its SQL does; n08d all of them, which DuckDB's word boundaries would cut elsewhere.
-@query("n08b_resolve_references", f"WITH {_CARRY} SELECT conv_id, turn, CASE WHEN coalesce(v, b) IS NULL THEN text ELSE regexp_replace(text, '(?is)^(.*?)\\b(?:it|its|that|this)\\b', '\\1' || coalesce(v, b)) END AS resolved FROM c WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+# RE2 has no lookaround, so its rule takes the neighbours of the word along; they are letters, numbers or _ of any script.
+@query("n08b_resolve_references", f"WITH {_CARRY} SELECT conv_id, turn, CASE WHEN coalesce(v, b) IS NULL THEN text ELSE regexp_replace(text, '(?is)^(|.*?[^\\p{{L}}\\p{{N}}_])(?:it|its|that|this)($|[^\\p{{L}}\\p{{N}}_])', '\\1' || coalesce(v, b) || '\\2') END AS resolved FROM c")
 def _(spark, sf):
-    c = _resolved(corpus.table(spark, sf, "conversations").where("text is not null"))
-    return c.where(~F.col("text").rlike(r"[^\x00-\x7F]")).drop("text")
-
-
-@query("n08d_resolve_references_whole")
-def _(spark, sf):
-    return _resolved(corpus.table(spark, sf, "conversations")).drop("text")
+    t = corpus.table(spark, sf, "conversations").where("text is not null").select("conv_id", "turn", "text", F.when(F.col("turn") % 3 == 0, F.concat("role", F.col("turn").cast("string"))).alias("v"))
+    c = N.carry_forward(t, "conv_id", "turn", "v")
+    return c.select("conv_id", "turn", N.resolve_reference(F.col("text"), F.col("carried")).alias("resolved"))
 
 
 @query("n08c_topic_thread", "SELECT conv_id, turn, count(DISTINCT role) OVER w AS n_topics FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")

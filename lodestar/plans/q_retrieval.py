@@ -66,13 +66,7 @@ _BM = (
 )
 
 
-# r05 gives the terms of 20 documents and more, as its SQL does; r05b all of them.
-@query("r05_idf", f"WITH w AS (SELECT doc_id, unnest(list_distinct({_TOK})) AS term FROM documents), d AS (SELECT term, count(*) AS df FROM w GROUP BY 1) SELECT term, df, round(ln(((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM d WHERE df >= 20")
-def _(spark, sf):
-    return R.idf(_docs(spark, sf), "doc_id", "text").where("df >= 20").select("term", "df", F.round("idf", 6).alias("idf"))
-
-
-@query("r05b_idf_whole", f"WITH w AS (SELECT doc_id, unnest(list_distinct({_TOK})) AS term FROM documents), d AS (SELECT term, count(*) AS df FROM w GROUP BY 1) SELECT term, df, round(ln(((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM d")
+@query("r05_idf", f"WITH w AS (SELECT doc_id, unnest(list_distinct({_TOK})) AS term FROM documents), d AS (SELECT term, count(*) AS df FROM w GROUP BY 1) SELECT term, df, round(ln(((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM d")
 def _(spark, sf):
     return R.idf(_docs(spark, sf), "doc_id", "text").select("term", "df", F.round("idf", 6).alias("idf"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
+from ..functions import dictionaries as D
 from ..functions import extract as E
 from ..functions import quality as Q
 from ..functions import text as T
@@ -56,12 +57,6 @@ def _(spark, sf):
     return corpus.table(spark, sf, "documents").select("doc_id", T.for_comparison(F.col("text")).alias("out"))
 
 
-SPELLING = {
-    "enrolment": "enrollment", "enrolement": "enrollment", "sceme": "scheme", "scheem": "scheme", "guvernment": "government", "goverment": "government", "teachr": "teacher", "techer": "teacher",
-    "studnt": "student", "stuent": "student", "educaton": "education", "eduction": "education", "ammavodi": "amma vodi", "nadunedu": "nadu-nedu",
-}
-_ACRONYMS = {"RTE": "Right to Education", "SMC": "School Management Committee", "PTR": "Pupil-Teacher Ratio"}
-_ALIASES = {"vizag": "Visakhapatnam", "cuddapah": "Kadapa", "bezawada": "Vijayawada", "ananthpur": "Anantapur", "tirupathi": "Tirupati"}
 _WRONG = "'The ' || CASE WHEN c_custkey % 3 = 0 THEN 'goverment' WHEN c_custkey % 3 = 1 THEN 'Sceme' ELSE 'TEACHR' END || ' enrolment in vizag ' || c_mktsegment"
 
 
@@ -69,28 +64,22 @@ _WRONG = "'The ' || CASE WHEN c_custkey % 3 = 0 THEN 'goverment' WHEN c_custkey
     "t15_query_spelling",
     f"SELECT c_custkey, array_to_string(list_transform(string_split({_WRONG}, ' '), lambda w: CASE "
     + " ".join(
-        f"WHEN lower(w) = {lit(k)} THEN CASE WHEN w = upper(w) THEN {lit(v.upper())} WHEN substr(w, 1, 1) = upper(substr(w, 1, 1)) THEN {lit(v[0].upper() + v[1:])} ELSE {lit(v)} END" for k, v in SPELLING.items()
+        f"WHEN lower(w) = {lit(k)} THEN CASE WHEN w = upper(w) THEN {lit(v.upper())} WHEN substr(w, 1, 1) = upper(substr(w, 1, 1)) THEN {lit(v[0].upper() + v[1:])} ELSE {lit(v)} END" for k, v in D.SPELLING.items()
     )
     + " ELSE w END), ' ') AS out FROM customer",
 )
 def _(spark, sf):
-    return corpus.table(spark, sf, "customer").select("c_custkey", T.spelling(F.expr(_WRONG), SPELLING).alias("out"))
+    return corpus.table(spark, sf, "customer").select("c_custkey", T.spelling(F.expr(_WRONG), D.SPELLING).alias("out"))
 
 
-# t16 takes the chunks of one kind, as its SQL does; t16b all of them.
-@query("t16_expand_acronyms", f"{corpus.WITH} SELECT chunk_id, {rewrite('text', [(rf'(?i)\b({k})\b', rf'\1 ({_ACRONYMS[k]})') for k in sorted(_ACRONYMS, key=lambda k: (-len(k), k))])} AS out FROM chunks WHERE kind = 5")
+@query("t16_expand_acronyms", f"{corpus.WITH} SELECT chunk_id, {rewrite('text', [(T.acronym_pattern(k), rf'\1 ({D.ACRONYMS[k]})') for k in sorted(D.ACRONYMS, key=lambda k: (-len(k), k))])} AS out FROM chunks")
 def _(spark, sf):
-    return corpus.chunks(spark, sf).where("kind = 5").select("chunk_id", T.expand_acronyms(F.col("text"), _ACRONYMS).alias("out"))
+    return corpus.chunks(spark, sf).select("chunk_id", T.expand_acronyms(F.col("text"), D.ACRONYMS).alias("out"))
 
 
-@query("t16b_expand_acronyms_whole", f"{corpus.WITH} SELECT chunk_id, {rewrite('text', [(rf'(?i)\b({k})\b', rf'\1 ({_ACRONYMS[k]})') for k in sorted(_ACRONYMS, key=lambda k: (-len(k), k))])} AS out FROM chunks")
+@query("t17_canonical_districts", f"SELECT c_custkey, {rewrite(_WRONG, [(rf'(?i)\b{k}\b', v) for k, v in D.DISTRICT_ALIASES.items()])} AS out FROM customer")
 def _(spark, sf):
-    return corpus.chunks(spark, sf).select("chunk_id", T.expand_acronyms(F.col("text"), _ACRONYMS).alias("out"))
-
-
-@query("t17_canonical_districts", f"SELECT c_custkey, {rewrite(_WRONG, [(rf'(?i)\b{k}\b', v) for k, v in _ALIASES.items()])} AS out FROM customer")
-def _(spark, sf):
-    return corpus.table(spark, sf, "customer").select("c_custkey", T.canonical_names(F.expr(_WRONG), _ALIASES).alias("out"))
+    return corpus.table(spark, sf, "customer").select("c_custkey", T.canonical_names(F.expr(_WRONG), D.DISTRICT_ALIASES).alias("out"))
 
 
 @query("t19_substantially_different", f"{corpus.WITH} SELECT chunk_id, lower(trim(text)) <> lower(trim(title)) AS out FROM chunks")
@@ -267,10 +256,11 @@ def _(spark, sf):
 
 @query(
     "e22_parse_month_dates",
-    f"{corpus.WITH} SELECT chunk_id, CAST(y AS STRING) || '-03-' || lpad(CAST(d AS STRING), 2, '0') AS normalized FROM chunks WHERE kind = 4",
+    # Only orders and judgments say "dated", in two ways; the other texts give no date here.
+    f"{corpus.WITH} SELECT chunk_id, CASE kind WHEN 4 THEN CAST(y AS STRING) || '-03-' || lpad(CAST(d AS STRING), 2, '0') END AS normalized FROM chunks",
 )
 def _(spark, sf):
-    c = corpus.chunks(spark, sf).where("kind = 4")
+    c = corpus.chunks(spark, sf)
     return c.select("chunk_id", E.parse_date(F.regexp_extract("text", r"dated ([^.]+)\.", 1)).alias("normalized"))
 
 
