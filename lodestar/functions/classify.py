@@ -178,3 +178,22 @@ def path_metadata(path: Column) -> dict[str, Column]:
         "folder_type": folder_type(folders),
         "parent_folders": folders,
     }
+
+
+#: vertical -> words that name it in a file name (2 points) or a folder (3).
+VERTICALS = {"legal": ("act",), "orders": ("order", "g.o"), "data": ("data",)}
+
+
+def vertical_of(name: Column, folder: Column) -> Column:
+    """The vertical with most points, the first of the table on a tie; ``other`` without any."""
+    f, d = F.lower(name), F.lower(folder)
+    some = lambda c, words: reduce(lambda a, b: a | b, [c.contains(w) for w in words])
+    points = {k: F.when(some(f, w), 2).otherwise(0) + F.when(some(d, w), 3).otherwise(0) for k, w in VERTICALS.items()}
+    best = F.greatest(*points.values())
+    return F.when(best == 0, "other").otherwise(F.coalesce(*[F.when(p == best, F.lit(k)) for k, p in points.items()]))
+
+
+def type_of_document_id(doc_id: Column) -> Column:
+    """The document type that an id names; the first that fits."""
+    low = F.lower(doc_id)
+    return F.when(low.rlike("act|rule"), "acts").when(low.rlike("go|order"), "government_orders").when(low.rlike("case|court|judgment"), "judicial_documents").when(low.rlike("budget|data|report"), "data_reports").otherwise("external_sources")

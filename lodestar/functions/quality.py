@@ -85,3 +85,8 @@ def overall(text: Column, entity: Column, relation: Column, metadata: Column) ->
 def level(score: Column) -> Column:
     """The bands have closed integer ends, so a score between two of them is unknown."""
     return F.coalesce(*[F.when(score.between(lo, hi), F.lit(k)) for k, (lo, hi) in LEVELS.items()], F.lit("unknown"))
+
+
+def passes_gate(score: Column, least: float = 20) -> Column:
+    """Whether an extraction is good enough to go on; no score is not."""
+    return F.coalesce(score, F.lit(0.0)) >= least

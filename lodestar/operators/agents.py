@@ -101,7 +101,7 @@ def scheme_expansions(asked: DataFrame, edges: DataFrame, entities: DataFrame, i
 def topic_scores(df: DataFrame, id_col: str, text_col: str, topics: DataFrame, weights=(1.0, 1.2, 1.3)) -> DataFrame:
     """(id, topic, keyword, entity, pattern, score) of every text and topic that score above nought.
 
-    Texts meet the topic table by a broadcast that is checked: above MOST_TOPICS topics this refuses.
+    The topic table becomes one row, so a text meets it inside its own row; above MOST_TOPICS topics this refuses.
     """
     n = topics.limit(MOST_TOPICS + 1).count()
     if n > MOST_TOPICS:
@@ -115,11 +115,14 @@ def topic_scores(df: DataFrame, id_col: str, text_col: str, topics: DataFrame, w
 
     add = lambda column, f: F.aggregate(column, F.lit(0.0), lambda a, x: a + f(x))
     named = lambda w: lambda x: F.when(F.contains(low, x), float(w)).otherwise(0.0)
-    pairs = df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_low")).crossJoin(F.broadcast(t))  # every topic scores every text: at most MOST_TOPICS rows
-    s = pairs.select(
-        id_col, "topic", add(F.col("keywords"), keyword).alias("keyword"), (add(F.col("schemes"), named(3)) + add(F.col("metrics"), named(2)) + add(F.col("districts"), named(1.5))).alias("entity"),
-        add(F.col("patterns"), lambda p: F.regexp_count(text, p) * 1.5).alias("pattern"),
-    )
+    one = t.agg(F.collect_list(F.struct(*t.columns)).alias("_topics"))  # at most MOST_TOPICS
+    rows = df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_low")).crossJoin(F.broadcast(one))  # with one row
+
+    def scored(x):
+        entity = add(x["schemes"], named(3)) + add(x["metrics"], named(2)) + add(x["districts"], named(1.5))
+        return F.struct(x["topic"].alias("topic"), add(x["keywords"], keyword).alias("keyword"), entity.alias("entity"), add(x["patterns"], lambda p: F.regexp_count(text, p) * 1.5).alias("pattern"))
+
+    s = rows.select(id_col, F.explode(F.transform("_topics", scored)).alias("s")).select(id_col, "s.*")
     a, b, c = weights
     return s.withColumn("score", F.round(F.col("keyword") * a + F.col("entity") * b + F.col("pattern") * c, 6)).where("score > 0")
 
@@ -130,12 +133,10 @@ def best_topics(scores: DataFrame, id_col: str, least: float = 1.5, high: float
 
 
 def legal_reference_score(topic: Column, kind: Column, number: Column, act: Column) -> Column:
-    """Of one reference: 3 for section 12 of the RTE act under its own topic, 2 under other RTE topics, 2.5 for section 21 under the committee ones, and 1 for the act itself."""
+    """Of one reference: 3 for section 12 of the RTE act under its own topic, 2 under other RTE topics, 2.5 for section 21 under school management committees, and 1 for the act itself."""
     rte = F.contains(F.lower(F.coalesce(act, F.lit(""))), F.lit("rte"))
     section = (kind == "section") & number.isNotNull()
-    own = F.when(topic == "rte_section_12_1_c", F.when(section & (number == "12") & rte, 3.0)).when(topic.isin("school_management_committees", "rte_compliance"), F.when(section & (number == "21"), 2.5)).when(topic.startswith("rte_"), F.when(rte, 2.0))
-    # rte_compliance starts with rte_ as well, and that rule comes first.
-    own = F.when((topic == "rte_compliance") & rte, 2.0).when(topic == "rte_compliance", 0.0).otherwise(own)
+    own = F.when(topic == "rte_section_12_1_c", F.when(section & (number == "12") & rte, 3.0)).when(topic.startswith("rte_"), F.when(rte, 2.0)).when(topic == "school_management_committees", F.when(section & (number == "21"), 2.5))
     return F.coalesce(own, F.lit(0.0)) + F.when(rte, 1.0).otherwise(0.0)
 
 

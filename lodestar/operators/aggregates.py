@@ -116,3 +116,24 @@ def co_occurrence(entities: DataFrame, group: str, value: str, least: int, k: in
     a, b = e.alias("a"), e.alias("b")
     pairs = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col(f"a.{value}") < F.col(f"b.{value}"))).groupBy(F.col(f"a.{value}").alias("left_value"), F.col(f"b.{value}").alias("right_value")).agg(F.count("*").alias("n"))
     return pairs.where(F.col("n") >= least).withColumn("confidence", F.least(F.col("n") / 10, F.lit(0.9))).orderBy(F.desc("n"), "left_value", "right_value").limit(k)
+
+
+def rule_hierarchy(df: DataFrame, group: str, text_col: str, pattern: str = r"(?i)Rule\s+(\d+)") -> DataFrame:
+    """(group, n_rules, first_rule, last_rule) over the distinct rules that its texts name."""
+    r = df.select(group, F.explode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(1))).alias("rule")).distinct()
+    return r.groupBy(group).agg(F.count("*").alias("n_rules"), F.min(F.col("rule").cast("int")).alias("first_rule"), F.max(F.col("rule").cast("int")).alias("last_rule"))
+
+
+def subject_index(df: DataFrame, id_col: str, text_col: str, subjects) -> DataFrame:
+    """(subject, n, first_chunk): texts that name each subject."""
+    low = F.lower(F.col(text_col))
+    s = df.select(id_col, F.explode(F.filter(F.array(*[F.lit(k) for k in subjects]), lambda k: F.contains(low, k))).alias("subject"))
+    return s.groupBy("subject").agg(F.count("*").alias("n"), F.min(id_col).alias("first_chunk"))
+
+
+def topic_chunks(df: DataFrame, topic: str, id_col: str, score_col: str, k: int = 20) -> DataFrame:
+    """(topic, chunk_ids): of each topic the ids of its ``k`` best chunks, best first, joined by commas."""
+    rank = F.row_number().over(Window.partitionBy(topic).orderBy(F.desc(score_col), id_col))
+    best = df.withColumn("_rank", rank).where(F.col("_rank") <= k)
+    g = best.groupBy(topic).agg(F.sort_array(F.collect_list(F.struct("_rank", F.col(id_col).cast("string").alias("id")))).alias("c"))
+    return g.select(topic, F.array_join(F.transform("c", lambda x: x["id"]), ",").alias("chunk_ids"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sections import pack_parts, split_at
+from .sections import order_part, pack_parts, split_at
 
 # Fixed values.
 JUDICIAL_HEADINGS = r"(?i)\b(?:facts of the case|facts|issues|arguments|held|judgment|order|conclusion|ratio)\s*:"
@@ -45,19 +45,103 @@ def facts(text: Column, n: int = 3) -> Column:
     return F.slice(F.filter(F.split(text, "\n\n"), lambda p: F.trim(p) != ""), 1, n)
 
 
-def table_runs(df: DataFrame, id_col: str, text_col: str, pattern: str = r"\d.*\s.*\d") -> DataFrame:
-    """(id, first_line, n_lines) of each run of lines that look like table rows (gaps and islands inside one text)."""
-    from pyspark.sql import Window
-
+def table_runs(df: DataFrame, id_col: str, text_col: str, pattern: str = r"\d.*\s.*\d", keep_lines: bool = False) -> DataFrame:
+    """(id, first_line, n_lines[, lines]) of each run of lines that look like table rows (gaps and islands inside one text)."""
     lines = df.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("line_no", "line")).where(F.col("line").rlike(pattern))
     island = F.col("line_no") - F.row_number().over(Window.partitionBy(id_col).orderBy("line_no"))
-    return lines.withColumn("i", island).groupBy(id_col, "i").agg(F.min("line_no").alias("first_line"), F.count("*").cast("int").alias("n_lines")).drop("i")
+    more = [F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("lines")] if keep_lines else []
+    return lines.withColumn("i", island).groupBy(id_col, "i").agg(F.min("line_no").alias("first_line"), F.count("*").cast("int").alias("n_lines"), *more).drop("i")
 
 
 def cross_references(text: Column) -> Column:
     return F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in REFERENCES]))
 
 
+def _numbered(parts: Column, kind: str, lead: str) -> Column:
+    """``lead`` with its number before each part."""
+    return F.transform(parts, lambda x, i: F.struct(F.lit(kind).alias("chunk_type"), (i + 1).cast("string").alias("number"), F.concat(F.lit(lead + " "), (i + 1).cast("string"), F.lit(":\n"), x).alias("text")))
+
+
+def _rows(df: DataFrame, id_col: str, chunks: Column) -> DataFrame:
+    return df.select(id_col, F.posexplode(chunks).alias("chunk_no", "c")).select(id_col, "chunk_no", "c.*")
+
+
+def legal_chunks(df: DataFrame, id_col: str, text_col: str, most: int = 1000) -> DataFrame:
+    """(id, chunk_no, chunk_type, number, text): what precedes the first section, then each section under its number and title.
+
+    A section longer than ``most`` gives its sub-sections instead, where it has any.
+    """
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    head = r"(?i)(?:Section|Article)\s+(\d+(?:\([a-z]\))?)"
+    none = F.array().cast("array<struct<chunk_type:string,number:string,text:string>>")
+    before = F.regexp_replace(F.get(F.split(t, LEGAL_HEADING, -1), F.lit(0)), r"^\s+|\s+$", "")
+
+    def section(x):
+        number = F.regexp_extract(x["title"], head, 1)
+        lead = F.concat(F.lit("Section "), number, F.lit(": "), F.trim(F.regexp_replace(x["title"], head.replace("(?i)", "(?i)^"), "")), F.lit("\n\n"))
+        inner = subsections(x["body"])
+        parts = F.transform(inner, lambda y, i: F.struct(F.lit("legal_subsection").alias("chunk_type"), F.concat(number, F.lit("_"), (i + 1).cast("string")).alias("number"), F.concat(lead, y).alias("text")))
+        whole = F.array(F.struct(F.lit("legal_section").alias("chunk_type"), number.alias("number"), F.concat(lead, x["body"]).alias("text")))
+        return F.when((F.length(x["body"]) > most) & (F.size(inner) > 0), parts).otherwise(whole)
+
+    first = F.when(before != "", F.array(F.struct(F.lit("legal_preamble").alias("chunk_type"), F.lit("0").alias("number"), before.alias("text")))).otherwise(none)
+    return _rows(df, id_col, F.concat(first, F.flatten(F.transform(split_at(t, LEGAL_HEADING), section))))
+
+
+def order_chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, chunk_no, chunk_type, number, text): header with preamble, each line of the orders with 200 characters of preamble, the annexures.
+
+    Parts follow each other as in sections.order_parts; blank lines are left out.
+    """
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    shape = "struct<s:int,header:array<string>,pre:array<string>,orders:array<string>,ann:array<string>>"
+
+    def step(a, line):
+        now = F.greatest(a["s"], order_part(line))
+        put = lambda k, n: F.when(now == n, F.array_append(a[k], line)).otherwise(a[k])
+        return F.struct(now.alias("s"), put("header", 0).alias("header"), put("pre", 1).alias("pre"), put("orders", 2).alias("orders"), put("ann", 3).alias("ann"))
+
+    empty = F.array().cast("array<string>")
+    parts = F.aggregate(F.filter(F.split(t, "\n"), lambda x: F.trim(x) != ""), F.struct(F.lit(0).alias("s"), empty.alias("header"), empty.alias("pre"), empty.alias("orders"), empty.alias("ann")).cast(shape), step)
+    p = df.select(id_col, parts.alias("_p"))
+    pre = F.array_join("_p.pre", "\n")
+    shown = F.when(pre != "", F.concat(F.substring(pre, 1, 200), F.lit("..."))).otherwise("")
+    none = F.array().cast("array<struct<chunk_type:string,number:string,text:string>>")
+    first = F.when(pre != "", F.array(F.struct(F.lit("go_preamble").alias("chunk_type"), F.lit("0").alias("number"), F.concat(F.array_join("_p.header", "\n"), F.lit("\n\nPreamble:\n"), pre).alias("text")))).otherwise(none)
+    orders = F.transform("_p.orders", lambda x, i: F.struct(F.lit("go_order").alias("chunk_type"), (i + 1).cast("string").alias("number"), F.concat(F.lit("Context: "), shown, F.lit("\n\nOrder "), (i + 1).cast("string"), F.lit(": "), x).alias("text")))
+    annex = _numbered(F.when(F.size("_p.ann") > 0, F.array(F.array_join("_p.ann", "\n"))).otherwise(F.array().cast("array<string>")), "go_annexure", "Annexure")
+    return _rows(p, id_col, F.concat(first, orders, annex))
+
+
+def judicial_chunks(df: DataFrame, id_col: str, text_col: str, least: int = 50) -> DataFrame:
+    """(id, chunk_no, chunk_type, number, text): the facts as one chunk, then every holding."""
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    said = F.array_join(facts(t), "\n\n")
+    none = F.array().cast("array<struct<chunk_type:string,number:string,text:string>>")
+    first = F.when(said != "", F.array(F.struct(F.lit("judicial_fact").alias("chunk_type"), F.lit("0").alias("number"), F.concat(F.lit("Facts:\n"), said).alias("text")))).otherwise(none)
+    return _rows(df, id_col, F.concat(first, _numbered(holdings(t, least), "judicial_holding", "Holding")))
+
+
+def data_chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, chunk_type, number, text): the sentences that sum up, and every run of table lines."""
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    found = F.transform(F.regexp_extract_all(t, F.lit(SUMMARY), F.lit(0)), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    sums = df.select(id_col, F.posexplode(found).alias("number", "text")).select(id_col, F.lit("data_summary").alias("chunk_type"), (F.col("number") + 1).alias("number"), "text")
+    runs = table_runs(df.select(id_col, t.alias("_t")), id_col, "_t", keep_lines=True)
+    k = F.row_number().over(Window.partitionBy(id_col).orderBy("first_line"))
+    tables = runs.select(id_col, F.lit("data_table").alias("chunk_type"), k.alias("number"), F.concat(F.lit("Table "), k.cast("string"), F.lit(":\n"), F.array_join("lines", "\n")).alias("text"))
+    return sums.unionByName(tables)
+
+
+def enrich(text: Column, title: Column | None = None, prefix: int = 100) -> dict[str, Column]:
+    """Words, sentences, and the first place of the chunk's first ``prefix`` characters in its document (``title``: the document's text)."""
+    return {
+        "word_count": F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")),
+        "sentence_count": F.size(F.filter(F.split(text, r"[.!?]+"), lambda s: s.rlike(r"\S"))),
+        "start": F.instr(text if title is None else title, F.substring(text, 1, prefix)) - 1,
+    }
+
+
 def chunk_type(doc_type: Column) -> Column:
     """Which chunker a type takes; the first that its name contains."""
     t = F.lower(F.coalesce(doc_type, F.lit("")))

@@ -87,7 +87,11 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
 def found(df: DataFrame, id_col: str, text_col: str, rules, window: int = 50) -> DataFrame:
     """(id, kind, value, confidence, start, end, context) of every match of rules (kind, confidence, pattern, group)."""
     t = F.coalesce(F.col(text_col), F.lit(""))
-    each = [F.transform(spans(t, p, g), lambda x, k=k, c=c: F.struct(F.lit(k).alias("kind"), F.trim(x["value"]).alias("value"), F.lit(c).alias("confidence"), x["start"].alias("start"), x["end"].alias("end"))) for k, c, p, g in rules]
+
+    def named(kind: str, confidence: float):
+        return lambda x: F.struct(F.lit(kind).alias("kind"), F.trim(x["value"]).alias("value"), F.lit(confidence).alias("confidence"), x["start"].alias("start"), x["end"].alias("end"))
+
+    each = [F.transform(spans(t, p, g), named(k, c)) for k, c, p, g in rules]
     rows = df.select(F.col(id_col), t.alias("_t"), F.explode(F.concat(*each)).alias("m"))
     return rows.select(id_col, "m.*", context(F.col("_t"), F.col("m.start"), F.col("m.end"), window).alias("context"))
 
@@ -133,7 +137,11 @@ def extraction_statistics(analysed: DataFrame) -> DataFrame:
 def date_ranges(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, raw, start_date, end_date, start, context, confidence) where both ends are dates."""
     t = F.coalesce(F.col(text_col), F.lit(""))
-    each = [F.transform(spans(t, p), lambda x, p=p: F.struct(x["whole"].alias("raw"), F.regexp_extract(x["whole"], p, 1).alias("a"), F.regexp_extract(x["whole"], p, 2).alias("b"), x["start"].alias("start"), x["end"].alias("end"))) for p in RANGES]
+
+    def ends(p: str):
+        return lambda x: F.struct(x["whole"].alias("raw"), F.regexp_extract(x["whole"], p, 1).alias("a"), F.regexp_extract(x["whole"], p, 2).alias("b"), x["start"].alias("start"), x["end"].alias("end"))
+
+    each = [F.transform(spans(t, p), ends(p)) for p in RANGES]
     r = df.select(id_col, t.alias("_t"), F.explode(F.concat(*each)).alias("r")).select(id_col, "_t", "r.*")
     r = r.select(id_col, "raw", E.parse_date(F.trim("a")).alias("start_date"), E.parse_date(F.trim("b")).alias("end_date"), "start", context(F.col("_t"), F.col("start"), F.col("start")).alias("context"), F.lit(0.85).alias("confidence"))
     return r.where("start_date is not null and end_date is not null")
@@ -197,7 +205,10 @@ def metric_pairs(text: Column, most: int = 20) -> Column:
 def all_entities(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, kind, value): every kind of the first extractor at once, distinct."""
     t = F.coalesce(F.col(text_col), F.lit(""))
-    each = [F.transform(E.matches(t, p), lambda v, k=k: F.struct(F.lit(k).alias("kind"), v.alias("value"))) for k, p in E.SIMPLE.items()]
-    each.append(F.transform(E.order_references(t), lambda v: F.struct(F.lit("go_refs").alias("kind"), v.alias("value"))))
+
+    def named(kind: str):
+        return lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
+
+    each = [F.transform(E.matches(t, p), named(k)) for k, p in E.SIMPLE.items()] + [F.transform(E.order_references(t), named("go_refs"))]
     return df.select(id_col, F.explode(reduce(F.concat, each)).alias("e")).select(id_col, "e.*")
 

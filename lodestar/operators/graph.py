@@ -5,13 +5,13 @@ Edges have source, target (any type), relation_type, confidence.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_folder
+
 INVERSE = {"supersedes": "superseded_by", "amends": "amended_by", "implements": "implemented_by", "references": "referenced_by"}
 INVERSE_DECAY, CLOSURE_DECAY, CLOSURE_FLOOR = 0.9, 0.8, 0.3
 
@@ -37,6 +37,33 @@ def lookup(entities: DataFrame, wanted: DataFrame) -> DataFrame:
     return w.join(last, ["entity_type", "_v"]).drop("_v")
 
 
+def build(chunks: DataFrame, id_col: str, text_col: str) -> dict[str, DataFrame]:
+    """The graph of a collection: ``entities`` (each once, by type and value), ``edges`` found in the texts with their inverse ones."""
+    from ..functions import extract as E
+    from . import evidence as V
+
+    e = E.graph_entities(chunks, id_col, text_col)
+    entities = e.groupBy("entity_type", F.lower("value").alias("value")).agg(F.max("confidence").alias("confidence"), F.min(id_col).alias("first_chunk"))
+    own = V.relationships(chunks, id_col, text_col).select("source", "target", "relation_type", "confidence")
+    return {"entities": entities.withColumn("entity_id", F.concat_ws("_", "entity_type", "value")), "edges": own.unionByName(inverse_edges(own))}
+
+
+def relations_of_document(rows: DataFrame, documents: DataFrame, id_col: str, doc_col: str) -> DataFrame:
+    """Rows whose id is ``doc_<document>_...``, joined to the documents by that number, not by a common beginning."""
+    own = F.regexp_extract(id_col, r"^doc_(\d+)_", 1).try_cast("long")
+    return rows.withColumn(doc_col, own).join(documents.select(doc_col).distinct(), doc_col)
+
+
+def neighbours(pairs: DataFrame) -> DataFrame:
+    """(node, other): every pair (a, b) in both directions."""
+    return pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
+
+
+def order_id(number: Column, year: Column) -> Column:
+    """``GO_number_year``, ``GO_number`` without a year; null without a number."""
+    return F.when(number.isNotNull(), F.concat_ws("_", F.lit("GO"), number.cast("string"), year.cast("string")))
+
+
 def inverse_edges(edges: DataFrame) -> DataFrame:
     """The inverse of every edge of the four invertible types, with a tenth less confidence."""
     m = F.create_map(*[F.lit(x) for kv in INVERSE.items() for x in kv])
@@ -56,12 +83,7 @@ def _rounds(spark: SparkSession, first: DataFrame, following, max_depth: int) ->
 
     Unlike recursive SQL, which Spark stops at a million rows, this holds any number.
     """
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        place = f"file://{tempfile.gettempdir()}/lodestar-scratch"
-    folder = f"{place.rstrip('/')}/lodestar-rounds-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "rounds")
     rows = [_kept(first, folder, "1")]
     for depth in range(2, max_depth + 1):
         if rows[-1].isEmpty():

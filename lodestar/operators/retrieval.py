@@ -63,6 +63,77 @@ def bm25(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "t
     return tf.join(F.broadcast(stats), "term").groupBy(id_col).agg(F.sum(part).alias("score")).where("score > 0")  # stats: a row per query term
 
 
+class Bm25Index:
+    """Postings (bucket, term, id, tf, length) by a hash of the term, sorted by term, and one row of statistics, in a folder.
+
+    Built once for a collection; a query reads the buckets of its terms alone, and of those the row groups that hold them.
+    """
+
+    BUCKETS = 64
+
+    def __init__(self, spark, folder: str, id_col: str):
+        self.id_col = id_col
+        self.postings = spark.read.parquet(f"{folder}/postings")
+        self.stats = spark.read.parquet(f"{folder}/stats")
+
+    @classmethod
+    def build(cls, docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> Bm25Index:
+        """Texts are read twice and never moved: once for their words, once for the mean length."""
+        w = docs.select(F.col(id_col), words(F.col(text_col)).alias("w"))
+        w.agg(F.count("*").alias("n_docs"), F.avg(F.size("w")).alias("avg_length")).write.parquet(f"{folder}/stats")
+        tf = w.select(id_col, F.size("w").alias("length"), F.explode("w").alias("term")).groupBy(id_col, "length", "term").agg(F.count("*").cast("int").alias("tf"))
+        keyed = tf.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(cls.BUCKETS)).cast("int"))
+        # Frequent terms spread over tasks by their documents; a task writes a sorted file to each bucket that it holds.
+        dealt = keyed.repartition("bucket", F.pmod(F.xxhash64(id_col), F.lit(4))).sortWithinPartitions("bucket", "term", id_col)
+        dealt.write.partitionBy("bucket").parquet(f"{folder}/postings")
+        return cls(docs.sparkSession, folder, id_col)
+
+    def search(self, query: str) -> DataFrame:
+        """(id, score) of the documents with a positive score; a repeated query term counts again."""
+        import regex
+
+        asked = regex.findall(r"[\p{L}\p{N}_]+", query.lower())
+        terms = sorted(set(asked))
+        spark = self.postings.sparkSession
+        if not terms:
+            return self.postings.select(self.id_col).withColumn("score", F.lit(0.0)).limit(0)
+        buckets = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(F.pmod(F.xxhash64("t"), F.lit(self.BUCKETS)).cast("int")).collect()]  # a row per query term
+        own = self.postings.where(F.col("bucket").isin(*buckets) & F.col("term").isin(*terms)).select(self.id_col, "term", "tf", "length")
+        n = own.groupBy("term").agg(F.count("*").alias("df"))
+        known = n.crossJoin(F.broadcast(self.stats)).withColumn("idf", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))  # with one row
+        times = F.create_map(*[F.lit(x) for t in terms for x in (t, asked.count(t))])
+        part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length"))) * F.element_at(times, F.col("term"))
+        return own.join(F.broadcast(known), "term").groupBy(self.id_col).agg(F.sum(part).alias("score")).where("score > 0")  # known: a row per query term
+
+
+def order_rank(text: Column, similarity: Column, year: Column, as_of: int, terms=(("government order", 0.2), ("g.o.", 0.2), ("circular", 0.1), ("supersession", 0.1), ("supersedes", 0.1))) -> Column:
+    """0.7 of the similarity and 0.3 of what speaks of an order: its terms and how recent it is; at most 1."""
+    low, age = F.lower(text), as_of - year
+    own = sum((F.when(low.contains(k), w).otherwise(0.0) for k, w in terms), F.lit(0.0)) + F.when(age <= 1, 0.15).when(age <= 3, 0.1).when(age <= 5, 0.05).otherwise(0.0)
+    return 0.7 * similarity + 0.3 * F.least(F.lit(1.0), own)
+
+
+AUTHORITY = {"act": 1.0, "rule": 0.9, "government_order": 0.8, "judicial": 0.7}
+
+
+def cross_validation(df: DataFrame, group: str, text_col: str, type_col: str, relevance: Column) -> DataFrame:
+    """(group, calibrated): relevance and authority of its rows, less where some say shall or must and others may or should."""
+    t = F.col(text_col)
+    authority = F.coalesce(*[F.when(F.col(type_col) == k, F.lit(v)) for k, v in AUTHORITY.items()], F.lit(0.5))
+    c = df.groupBy(group).agg(F.avg(authority).alias("authority"), F.avg(relevance).alias("relevance"), F.max(t.rlike("(?i)shall|must").cast("int")).alias("strict"), F.max(t.rlike("(?i)may|should").cast("int")).alias("loose"))
+    agree = F.when((F.col("strict") == 1) & (F.col("loose") == 1), 0.5).otherwise(1.0)
+    return c.select(group, F.round(0.4 * F.col("relevance") + 0.4 * F.col("authority") + 0.2 * agree, 6).alias("calibrated"))
+
+
+def merge_results(lists: list[DataFrame], id_col: str) -> DataFrame:
+    """Rows of several result lists, of each id the first list's, with ``src`` from 1 on; rows without an id are dropped."""
+    both = None
+    for i, df in enumerate(lists, 1):
+        df = df.where(F.col(id_col).isNotNull()).withColumn("src", F.lit(i))
+        both = df if both is None else both.unionByName(df)
+    return both.withColumn("_rn", F.row_number().over(Window.partitionBy(id_col).orderBy("src"))).where("_rn = 1").drop("_rn")
+
+
 def _same(t: str):
     return lambda x: x == F.lit(t)
 

@@ -88,11 +88,16 @@ def importance(text: Column, chunk_type: Column, n_references: Column | None = N
     return F.least(score, F.lit(1.0))
 
 
+def order_part(line: Column) -> Column:
+    """0 to 3 for what a line announces: header, preamble, orders, annexures."""
+    low = F.lower(line)
+    return F.when(low.rlike(r"annexure"), 3).when(low.rlike(r"it is hereby ordered|now therefore|orders?\b"), 2).when(low.rlike(r"whereas|in exercise of|having considered"), 1).otherwise(0)
+
+
 def order_parts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Lines of an order with the part that they are in: header, preamble, orders, annexures; the state only moves on."""
     lines = df.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
-    low = F.lower("line")
-    state = F.when(low.rlike(r"annexure"), 3).when(low.rlike(r"it is hereby ordered|now therefore|orders?\b"), 2).when(low.rlike(r"whereas|in exercise of|having considered"), 1).otherwise(0)
+    state = order_part(F.col("line"))
     w = Window.partitionBy(id_col).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     part = F.element_at(F.array(*[F.lit(x) for x in ("header", "preamble", "orders", "annexures")]), F.max(state).over(w) + 1)
     return lines.withColumn("part", part)

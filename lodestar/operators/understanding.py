@@ -170,3 +170,26 @@ def topic_thread(turns: DataFrame, session: str, order: str, topic: str, most: i
     w = Window.partitionBy(session).orderBy(order).rowsBetween(1 - most, Window.currentRow)
     seen = F.filter(F.collect_list(F.col(topic)).over(w), lambda x: x.isNotNull())
     return turns.withColumn("thread", F.reverse(F.array_distinct(F.reverse(seen))))
+
+
+def keyword_score(text: Column, words, phrases=()) -> Column:
+    """2 for every occurrence of a phrase, 1 for each word that occurs."""
+    low = F.lower(text)
+    return sum((F.regexp_count(low, F.lit(p)) * 2.0 for p in phrases), F.lit(0.0)) + sum((F.when(low.contains(w), 1.0).otherwise(0.0) for w in words), F.lit(0.0))
+
+
+def year_verdict(text: Column, first: int = 2010, last: int = 2025) -> Column:
+    """valid, out_of_range or missing, by the academic year that a query names."""
+    year = F.regexp_extract(text, r"\b(20\d{2}|19\d{2})-\d{1,2}\b", 1).try_cast("int")
+    return F.when(year.isNull(), "missing").when(year.between(first, last), "valid").otherwise("out_of_range")
+
+
+def normalize_query(query: Column) -> dict[str, Column]:
+    """White space, spelling, acronyms, district names, in this order; and the orders and references that the result names."""
+    from ..functions import dictionaries as D
+    from ..functions import extract as E
+    from ..functions import text as T
+
+    clean = F.trim(F.regexp_replace(query, r"\s+", " "))
+    out = T.canonical_names(T.expand_acronyms(T.spelling(clean, D.SPELLING), D.ACRONYMS), D.DISTRICT_ALIASES)
+    return {"normalized": out, "order_refs": E.order_references(out), "legal_refs": E.matches(out, E.SIMPLE["legal_refs"]), "changed": F.lower(F.trim(query)) != F.lower(F.trim(out))}

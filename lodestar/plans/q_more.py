@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import classify as C
 from ..functions import extract as E
 from ..functions import quality as Q
 from ..operators import aggregates as A
 from ..operators import chunking as H
+from ..operators import evidence as V
+from ..operators import graph as G
 from ..operators import retrieval as R
+from ..operators import understanding as N
 from ..sources import io
 from . import corpus
 from .duck import count, has, lit
@@ -26,14 +29,14 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("k04_report_chapters", f"{W}, m AS (SELECT chunk_id, text, regexp_extract_all(text, {lit(H.CHAPTER_HEADING)}) AS h FROM chunks WHERE kind = 1) SELECT chunk_id, 0 AS position, h[1] AS title, trim(substr(text, length(h[1]) + 2)) AS text FROM m")
+@query("k04_report_chapters", f"{W}, m AS (SELECT chunk_id, text, regexp_extract_all(text, {lit(H.CHAPTER_HEADING)}) AS h FROM chunks) SELECT chunk_id, 0 AS position, coalesce(h[1], 'Full Document') AS title, CASE WHEN len(h) > 0 THEN trim(substr(text, length(h[1]) + 2)) ELSE text END AS text FROM m")
 def _(spark, sf):
-    return H.report_chapters(corpus.chunks(spark, sf).where("kind = 1"), "chunk_id", "text")
+    return H.report_chapters(corpus.chunks(spark, sf), "chunk_id", "text")
 
 
-@query("k13_legal_sections", f"{W}, m AS (SELECT chunk_id, unnest(regexp_extract_all(text, {lit(H.LEGAL_HEADING)})) AS title FROM chunks WHERE kind = 1) SELECT chunk_id, trim(title) AS title, count(*) AS n FROM m GROUP BY 1, 2")
+@query("k13_legal_sections", f"{W}, m AS (SELECT chunk_id, unnest(CASE WHEN regexp_matches(text, {lit(H.LEGAL_HEADING)}) THEN regexp_extract_all(text, {lit(H.LEGAL_HEADING)}) ELSE ['Full Document'] END) AS title FROM chunks) SELECT chunk_id, trim(title) AS title, count(*) AS n FROM m GROUP BY 1, 2")
 def _(spark, sf):
-    s = H.titled_sections(corpus.chunks(spark, sf).where("kind = 1"), "chunk_id", "text", H.LEGAL_HEADING)
+    s = H.titled_sections(corpus.chunks(spark, sf), "chunk_id", "text", H.LEGAL_HEADING)
     return s.groupBy("chunk_id", "title").agg(F.count("*").alias("n"))
 
 
@@ -46,9 +49,9 @@ def _(spark, sf):
     return c.select("chunk_id", F.regexp_replace("s", r"^\s+|\s+$", "").alias("subsection"))
 
 
-@query("k16_holdings", f"{W} SELECT chunk_id, unnest(list_filter(list_transform(regexp_extract_all(text, {lit(H.HOLDING)}), lambda x: trim(x)), lambda x: length(x) > 30)) AS holding FROM chunks WHERE kind = 4")
+@query("k16_holdings", f"{W} SELECT chunk_id, unnest(list_filter(list_transform(regexp_extract_all(text, {lit(H.HOLDING)}), lambda x: trim(x)), lambda x: length(x) > 30)) AS holding FROM chunks")
 def _(spark, sf):
-    return corpus.chunks(spark, sf).where("kind = 4").select("chunk_id", F.explode(H.holdings(F.col("text"), 30)).alias("holding"))
+    return corpus.chunks(spark, sf).select("chunk_id", F.explode(H.holdings(F.col("text"), 30)).alias("holding"))
 
 
 @query("k17_table_runs", f"{W}, l AS (SELECT chunk_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM chunks), m AS (SELECT *, line_no - row_number() OVER (PARTITION BY chunk_id ORDER BY line_no) AS i FROM l WHERE regexp_matches(line, '\\d.*\\s.*\\d')) SELECT chunk_id, min(line_no) AS first_line, count(*)::INT AS n_lines FROM m GROUP BY chunk_id, i")
@@ -66,21 +69,17 @@ def _(spark, sf):
     return H.chunk_documents(corpus.chunks(spark, sf), "chunk_id", "text", "doc_type", 200, 20)
 
 
-@query("k18_enriched_chunks", f"{W} SELECT chunk_id, instr(text, substr(text, 21, 40)) - 1 AS start, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS word_count, len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda s: regexp_matches(s, '\\S'))) AS sentence_count FROM chunks")
+@query("k18_enriched_chunks", f"{W} SELECT chunk_id, instr(text, substr(text, 1, 40)) - 1 AS start, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS word_count, len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda s: regexp_matches(s, '\\S'))) AS sentence_count FROM chunks")
 def _(spark, sf):
-    t = F.col("text")
-    return corpus.chunks(spark, sf).select(
-        "chunk_id", (F.expr("instr(text, substring(text, 21, 40))") - 1).alias("start"), F.size(F.filter(F.split(t, r"\s+"), lambda w: w != "")).alias("word_count"), F.size(F.filter(F.split(t, r"[.!?]+"), lambda s: s.rlike(r"\S"))).alias("sentence_count")
-    )
+    of = H.enrich(F.col("text"), prefix=40)
+    return corpus.chunks(spark, sf).select("chunk_id", *[v.alias(k) for k, v in of.items()])
 
 
-_CTX = "substr(text, greatest(1, strpos(text, 'Section') - 20), 60)"
-
-
-@query("e28_context_window", f"{W} SELECT chunk_id, {_CTX} AS context FROM chunks WHERE contains(text, 'Section')")
+@query("e28_context_window", f"{W} SELECT chunk_id, trim(substr(text, greatest(strpos(text, 'Section') - 20, 1), strpos(text, 'Section') + 6 + 20 - greatest(strpos(text, 'Section') - 20, 1) + 1), ' ' || chr(10)) AS context FROM chunks WHERE contains(text, 'Section')")
 def _(spark, sf):
     c = corpus.chunks(spark, sf).where(F.col("text").contains("Section"))
-    return c.select("chunk_id", F.expr("substring(text, greatest(1, instr(text, 'Section') - 20), 60)").alias("context"))
+    at = F.instr("text", "Section") - 1
+    return c.select("chunk_id", V.context(F.col("text"), at, at + 7, 20).alias("context"))
 
 
 @query("e26_date_dedup", f"{W}, r AS (SELECT chunk_id, unnest(regexp_extract_all(text, {lit(E.DATE_DMY)})) AS raw, text FROM chunks), p AS (SELECT chunk_id, raw, floor((strpos(text, raw) - 1) / 10) AS bucket FROM r) SELECT DISTINCT chunk_id, raw, bucket::BIGINT AS bucket FROM p")
@@ -91,7 +90,7 @@ def _(spark, sf):
 
 @query("e29_metric_pairs", f"{W} SELECT chunk_id, unnest(list_slice(regexp_extract_all(text, '([A-Za-z ]+ (?:rate|ratio|percentage)) (?:was|is|rose)', 1), 1, 20)) AS name FROM chunks")
 def _(spark, sf):
-    return corpus.chunks(spark, sf).select("chunk_id", F.explode(F.slice(F.regexp_extract_all("text", F.lit(r"([A-Za-z ]+ (?:rate|ratio|percentage)) (?:was|is|rose)"), F.lit(1)), 1, 20)).alias("name"))
+    return corpus.chunks(spark, sf).select("chunk_id", F.explode(V.metric_pairs(F.col("text"))).alias("name"))
 
 
 @query("e20_query_entities", f"WITH q AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'PTR in Guntur for 2023-24' WHEN 1 THEN 'Amma Vodi in Krishna and Section 12' ELSE 'dropout rate in Kurnool' END AS text FROM customer) SELECT c_custkey, kind, lower(v) AS value FROM (SELECT c_custkey, 'district' AS kind, unnest(regexp_extract_all(text, {lit(E.SIMPLE['districts'][0])})) AS v FROM q UNION ALL SELECT c_custkey, 'scheme', unnest(regexp_extract_all(text, {lit(E.SIMPLE['schemes'][0])})) FROM q UNION ALL SELECT c_custkey, 'legal', unnest(regexp_extract_all(text, {lit(E.SIMPLE['legal_refs'][0])})) FROM q UNION ALL SELECT c_custkey, 'year', unnest(regexp_extract_all(text, '\\b\\d{{4}}-\\d{{2}}\\b')) FROM q) x")
@@ -105,28 +104,26 @@ def _(spark, sf):
     return q.select("c_custkey", F.explode(rows).alias("e")).select("c_custkey", "e.*")
 
 
-@query("f12_ingestion_gate", "SELECT source, count(*) FILTER (length(text) >= 100) AS good, count(*) FILTER (length(text) < 100) AS short FROM documents WHERE text IS NOT NULL GROUP BY 1")
+# The score of these texts by the rules that apply to plain lines: short ones lose 30.
+@query("f12_ingestion_gate", "SELECT c_custkey, 100 - CASE WHEN length(t) < 100 THEN 30 ELSE 0 END >= 80 AS passes FROM (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'too short' ELSE 'A plain paragraph of ordinary words that is long enough to count as a text, without any odd signs at all, for customer number ' || CAST(c_custkey AS STRING) END AS t FROM customer) x")
 def _(spark, sf):
-    d = corpus.table(spark, sf, "documents").where("text is not null").select("source", F.length("text").alias("n"))
-    return d.groupBy("source").agg(F.count_if(F.col("n") >= 100).alias("good"), F.count_if(F.col("n") < 100).alias("short"))
+    t = F.expr("CASE WHEN c_custkey % 2 = 0 THEN 'too short' ELSE 'A plain paragraph of ordinary words that is long enough to count as a text, without any odd signs at all, for customer number ' || CAST(c_custkey AS STRING) END")
+    return corpus.table(spark, sf, "customer").select("c_custkey", Q.passes_gate(Q.extraction_score(t), 80).alias("passes"))
 
 
 @query("f06_relations_of_document", f"{W}, r AS (SELECT 'doc_' || CAST(doc_id AS STRING) || '_chunk_' || CAST(pos AS STRING) AS rid FROM chunks) SELECT o_orderkey AS doc_id, count(*) AS n FROM orders JOIN r ON regexp_extract(rid, '^doc_(\\d+)_', 1) = CAST(o_orderkey AS STRING) GROUP BY 1")
 def _(spark, sf):
     r = corpus.chunks(spark, sf).select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit("_chunk_"), F.col("pos").cast("string")).alias("rid"))
     d = corpus.table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"))
-    return r.select(F.regexp_extract("rid", r"^doc_(\d+)_", 1).cast("long").alias("doc_id")).join(d, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    return G.relations_of_document(r, d, "rid", "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 _GO = (("government order", 0.2), ("g.o.", 0.2), ("circular", 0.1), ("supersession", 0.1), ("supersedes", 0.1))
 
 
-@query("r21_order_rank", f"{W}, s AS (SELECT chunk_id, 0.7 * v / 900.0 + 0.3 * least(1.0, {' + '.join(f'CASE WHEN contains(lower(text), {lit(k)}) THEN {w} ELSE 0 END' for k, w in _GO)} + CASE WHEN 2018 - y <= 1 THEN 0.15 WHEN 2018 - y <= 3 THEN 0.1 WHEN 2018 - y <= 5 THEN 0.05 ELSE 0 END) AS c FROM chunks) SELECT chunk_id, round(c, 6) AS combined FROM s ORDER BY round(s.c, 9) DESC, chunk_id LIMIT 40")
+@query("r21_order_rank", f"{W}, s AS (SELECT chunk_id, 0.7 * v / 900.0 + 0.3 * least(1.0, {' + '.join(f'CASE WHEN contains(lower(text), {lit(k)}) THEN {w} ELSE 0 END' for k, w in _GO)} + CASE WHEN 2018 - y <= 1 THEN 0.15 WHEN 2018 - y <= 3 THEN 0.1 WHEN 2018 - y <= 5 THEN 0.05 ELSE 0 END) AS c FROM chunks) SELECT chunk_id, round(c, 6) AS combined FROM s")
 def _(spark, sf):
-    low, age = F.lower("text"), 2018 - F.col("y")
-    own = sum((F.when(low.contains(k), w).otherwise(0.0) for k, w in _GO), F.lit(0.0)) + F.when(age <= 1, 0.15).when(age <= 3, 0.1).when(age <= 5, 0.05).otherwise(0.0)
-    c = corpus.chunks(spark, sf).select("chunk_id", (0.7 * F.col("v") / 900 + 0.3 * F.least(F.lit(1.0), own)).alias("c"))
-    return c.orderBy(F.desc(F.round("c", 9)), "chunk_id").limit(40).select("chunk_id", F.round("c", 6).alias("combined"))
+    return corpus.chunks(spark, sf).select("chunk_id", F.round(R.order_rank(F.col("text"), F.col("v") / 900, F.col("y"), 2018), 6).alias("combined"))
 
 
 @query("r25_retrieval_confidence", f"{W}, r AS (SELECT n1, v / 900.0 AS s, row_number() OVER (PARTITION BY n1 ORDER BY v DESC, chunk_id) AS rn FROM chunks) SELECT n1, round(0.7 * avg(s) + 0.3 * 0.5, 6) AS confidence FROM r WHERE rn <= 3 GROUP BY 1")
@@ -140,18 +137,12 @@ _AUTH = "CASE doc_type WHEN 'act' THEN 1.0 WHEN 'rule' THEN 0.9 WHEN 'government
 
 @query("r31_cross_validation", f"{W}, c AS (SELECT doc_id, avg({_AUTH}) AS authority, avg(v / 900.0) AS relevance, max(CASE WHEN {has('text', '(?i)shall|must')} THEN 1 ELSE 0 END) AS strict, max(CASE WHEN {has('text', '(?i)may|should')} THEN 1 ELSE 0 END) AS loose FROM chunks GROUP BY 1) SELECT doc_id, round(0.4 * relevance + 0.4 * authority + 0.2 * CASE WHEN strict = 1 AND loose = 1 THEN 0.5 ELSE 1.0 END, 6) AS calibrated FROM c")
 def _(spark, sf):
-    t = F.col("text")
-    c = corpus.chunks(spark, sf).groupBy("doc_id").agg(
-        F.avg(F.expr(_AUTH).cast("double")).alias("authority"), F.avg(F.col("v") / 900).alias("relevance"), F.max(t.rlike("(?i)shall|must").cast("int")).alias("strict"), F.max(t.rlike("(?i)may|should").cast("int")).alias("loose")
-    )
-    agree = F.when((F.col("strict") == 1) & (F.col("loose") == 1), 0.5).otherwise(1.0)
-    return c.select("doc_id", F.round(0.4 * F.col("relevance") + 0.4 * F.col("authority") + 0.2 * agree, 6).alias("calibrated"))
+    return R.cross_validation(corpus.chunks(spark, sf), "doc_id", "text", "doc_type", F.col("v") / 900)
 
 
 @query("q01_keyword_score", f"{W} SELECT chunk_id, {count('lower(text)', 'section')} * 2.0 + CASE WHEN contains(lower(text), 'order') THEN 1.0 ELSE 0 END AS score FROM chunks")
 def _(spark, sf):
-    low = F.lower("text")
-    return corpus.chunks(spark, sf).select("chunk_id", (F.regexp_count(low, F.lit("section")) * 2.0 + F.when(low.contains("order"), 1.0).otherwise(0.0)).alias("score"))
+    return corpus.chunks(spark, sf).select("chunk_id", N.keyword_score(F.col("text"), ["order"], ["section"]).alias("score"))
 
 
 @query("q10_relation_quality", f"{W}, r AS (SELECT chunk_id, doc_type, {count('text', E.RELATIONS[0][2])} + {count('text', E.RELATIONS[5][2])} AS n, CASE WHEN {count('text', E.RELATIONS[0][2])} > 0 THEN 1 ELSE 0 END + CASE WHEN {count('text', E.RELATIONS[5][2])} > 0 THEN 1 ELSE 0 END AS k FROM chunks) SELECT chunk_id, CASE WHEN doc_type IN ('data_report', 'framework') THEN CASE WHEN n = 0 THEN 70 ELSE 100 END ELSE CASE WHEN doc_type IN ('act', 'rule', 'government_order', 'case_law') THEN CASE WHEN n = 0 THEN 50 WHEN n < 3 THEN 70 ELSE 100 END ELSE 100 END - CASE WHEN n > 0 AND k < 2 THEN 10 ELSE 0 END END AS score FROM r")
@@ -166,23 +157,22 @@ def _(spark, sf):
     return corpus.chunks(spark, sf).select("chunk_id", m.alias("score"))
 
 
-@query("a17_rule_hierarchy", f"{W}, r AS (SELECT DISTINCT title, unnest(regexp_extract_all(text, '(?i)Rule\\s+(\\d+)', 1)) AS rule FROM chunks WHERE kind = 1) SELECT title, count(*) AS n_rules, min(CAST(rule AS INT)) AS first_rule, max(CAST(rule AS INT)) AS last_rule FROM r GROUP BY 1")
+@query("a17_rule_hierarchy", f"{W}, r AS (SELECT DISTINCT title, unnest(regexp_extract_all(text, '(?i)Rule\\s+(\\d+)', 1)) AS rule FROM chunks) SELECT title, count(*) AS n_rules, min(CAST(rule AS INT)) AS first_rule, max(CAST(rule AS INT)) AS last_rule FROM r GROUP BY 1")
 def _(spark, sf):
-    r = corpus.chunks(spark, sf).where("kind = 1").select("title", F.explode(F.regexp_extract_all("text", F.lit(r"(?i)Rule\s+(\d+)"), F.lit(1))).alias("rule")).distinct()
-    return r.groupBy("title").agg(F.count("*").alias("n_rules"), F.min(F.col("rule").cast("int")).alias("first_rule"), F.max(F.col("rule").cast("int")).alias("last_rule"))
+    return A.rule_hierarchy(corpus.chunks(spark, sf), "title", "text")
+
+
+_SUBJECTS = ("court", "school", "budget", "enrollment", "scheme")
 
 
-@query("a19_subject_index", f"{W}, s AS (SELECT chunk_id, unnest(list_filter(['court', 'school', 'budget', 'enrollment', 'scheme'], lambda k: contains(lower(text), k))) AS subject FROM chunks) SELECT subject, count(*) AS n, min(chunk_id) AS first_chunk FROM s GROUP BY 1")
+@query("a19_subject_index", f"{W}, s AS (SELECT chunk_id, unnest(list_filter({list(_SUBJECTS)!r}, lambda k: contains(lower(text), k))) AS subject FROM chunks) SELECT subject, count(*) AS n, min(chunk_id) AS first_chunk FROM s GROUP BY 1")
 def _(spark, sf):
-    subjects = F.array(*[F.lit(k) for k in ("court", "school", "budget", "enrollment", "scheme")])
-    s = corpus.chunks(spark, sf).select("chunk_id", F.explode(F.filter(subjects, lambda k: F.contains(F.lower("text"), k))).alias("subject"))
-    return s.groupBy("subject").agg(F.count("*").alias("n"), F.min("chunk_id").alias("first_chunk"))
+    return A.subject_index(corpus.chunks(spark, sf), "chunk_id", "text", _SUBJECTS)
 
 
-@query("a24_topic_chunks", f"{W} SELECT doc_type, string_agg(CAST(chunk_id AS STRING), ',' ORDER BY chunk_id) AS chunk_ids FROM chunks WHERE v >= 890 GROUP BY 1")
+@query("a24_topic_chunks", f"{W}, r AS (SELECT doc_type, chunk_id, row_number() OVER (PARTITION BY doc_type ORDER BY v DESC, chunk_id) AS rank FROM chunks) SELECT doc_type, string_agg(CAST(chunk_id AS STRING), ',' ORDER BY rank) AS chunk_ids FROM r WHERE rank <= 20 GROUP BY 1")
 def _(spark, sf):
-    c = corpus.chunks(spark, sf).where("v >= 890").groupBy("doc_type").agg(F.array_sort(F.collect_list("chunk_id")).alias("c"))
-    return c.select("doc_type", F.array_join(F.transform("c", lambda x: x.cast("string")), ",").alias("chunk_ids"))
+    return A.topic_chunks(corpus.chunks(spark, sf), "doc_type", "chunk_id", "v")
 
 
 @query("x01_scheme_database", f"{W}, s AS (SELECT chunk_id, y, unnest(list_distinct(list_transform(regexp_extract_all(text, {lit(E.SIMPLE['schemes'][0])}), lambda x: lower(x)))) AS scheme FROM chunks) SELECT scheme, count(*) AS n, min(y) AS first_year, arg_min(y, chunk_id) AS entry_year FROM s GROUP BY 1")
@@ -194,13 +184,12 @@ def _(spark, sf):
 @query("x14_order_chain_from_pairs", "WITH p AS (SELECT o_orderkey AS a, CAST(floor(o_orderkey / 3) AS BIGINT) AS b FROM orders), e AS (SELECT a AS node, b AS other FROM p UNION ALL SELECT b, a FROM p) SELECT node, count(*) AS n, min(other) AS least, max(other) AS most FROM e GROUP BY 1")
 def _(spark, sf):
     p = corpus.table(spark, sf, "orders").select(F.col("o_orderkey").alias("a"), F.floor(F.col("o_orderkey") / 3).alias("b"))
-    e = p.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(p.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    return e.groupBy("node").agg(F.count("*").alias("n"), F.min("other").alias("least"), F.max("other").alias("most"))
+    return G.neighbours(p).groupBy("node").agg(F.count("*").alias("n"), F.min("other").alias("least"), F.max("other").alias("most"))
 
 
-@query("x29_order_ids", f"{W} SELECT chunk_id, 'GO_' || CAST(n1 AS STRING) || '_' || CAST(y AS STRING) AS order_id FROM chunks WHERE kind IN (0, 7)")
+@query("x29_order_ids", f"{W} SELECT chunk_id, 'GO_' || CAST(n1 AS STRING) || '_' || CAST(y AS STRING) AS order_id FROM chunks")
 def _(spark, sf):
-    return corpus.chunks(spark, sf).where("kind in (0, 7)").select("chunk_id", F.concat_ws("_", F.lit("GO"), F.col("n1").cast("string"), F.col("y").cast("string")).alias("order_id"))
+    return corpus.chunks(spark, sf).select("chunk_id", G.order_id(F.col("n1"), F.col("y")).alias("order_id"))
 
 
 @query("s17_json_export", f"{W} SELECT chunk_id, '{{\"chunk_id\":' || CAST(chunk_id AS STRING) || ',\"doc_type\":\"' || doc_type || '\"}}' AS value FROM chunks")
@@ -211,14 +200,7 @@ def _(spark, sf):
 
 @query("s22_vertical_of_path", f"{W}, p AS (SELECT chunk_id, lower(title) AS f, lower(doc_type) AS d FROM chunks), s AS (SELECT chunk_id, CASE WHEN contains(f, 'act') THEN 2 ELSE 0 END + CASE WHEN contains(d, 'act') THEN 3 ELSE 0 END AS legal, CASE WHEN contains(f, 'order') OR contains(f, 'g.o') THEN 2 ELSE 0 END + CASE WHEN contains(d, 'order') THEN 3 ELSE 0 END AS orders, CASE WHEN contains(f, 'data') THEN 2 ELSE 0 END + CASE WHEN contains(d, 'data') THEN 3 ELSE 0 END AS data FROM p) SELECT chunk_id, CASE WHEN greatest(legal, orders, data) = 0 THEN 'other' WHEN legal = greatest(legal, orders, data) THEN 'legal' WHEN orders = greatest(legal, orders, data) THEN 'orders' ELSE 'data' END AS vertical FROM s")
 def _(spark, sf):
-    f, d = F.lower("title"), F.lower("doc_type")
-    points = {
-        "legal": F.when(f.contains("act"), 2).otherwise(0) + F.when(d.contains("act"), 3).otherwise(0),
-        "orders": F.when(f.contains("order") | f.contains("g.o"), 2).otherwise(0) + F.when(d.contains("order"), 3).otherwise(0),
-        "data": F.when(f.contains("data"), 2).otherwise(0) + F.when(d.contains("data"), 3).otherwise(0),
-    }
-    best = F.greatest(*points.values())
-    return corpus.chunks(spark, sf).select("chunk_id", F.when(best == 0, "other").otherwise(F.coalesce(*[F.when(p == best, F.lit(k)) for k, p in points.items()])).alias("vertical"))
+    return corpus.chunks(spark, sf).select("chunk_id", C.vertical_of(F.col("title"), F.col("doc_type")).alias("vertical"))
 
 
 @query("n06_context_expansion", f"{W} SELECT chunk_id, title || ' in ' || district AS text, 0.85::DOUBLE AS weight FROM (SELECT chunk_id, title, CASE WHEN contains(text, 'Guntur') THEN 'Guntur' WHEN contains(text, 'Krishna') THEN 'Krishna' WHEN contains(text, 'Kurnool') THEN 'Kurnool' END AS district FROM chunks) d WHERE district IS NOT NULL")
@@ -227,17 +209,15 @@ def _(spark, sf):
     return c.select("chunk_id", F.concat_ws(" in ", "title", "district").alias("text"), F.lit(0.85).alias("weight"))
 
 
-@query("n07_validator", f"{W}, q AS (SELECT chunk_id, y FROM chunks WHERE kind = 2) SELECT chunk_id, CASE WHEN y BETWEEN 2010 AND 2016 THEN 'valid' ELSE 'out_of_range' END AS verdict FROM q")
+@query("n07_validator", f"{W} SELECT chunk_id, CASE WHEN kind NOT IN (2, 3) THEN 'missing' WHEN y BETWEEN 2010 AND 2016 THEN 'valid' ELSE 'out_of_range' END AS verdict FROM chunks")
 def _(spark, sf):
-    year = F.regexp_extract("text", r"\b(20\d{2}|19\d{2})-\d{1,2}\b", 1).try_cast("int")
-    return corpus.chunks(spark, sf).where("kind = 2").select("chunk_id", F.when(year.between(2010, 2016), "valid").otherwise("out_of_range").alias("verdict"))
+    return corpus.chunks(spark, sf).select("chunk_id", N.year_verdict(F.col("text"), 2010, 2016).alias("verdict"))
 
 
 @query("u15_merge_results", "WITH a AS (SELECT doc_id, 1 AS src FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 2 FROM documents WHERE doc_id % 3 = 0) SELECT doc_id, min(src) AS src FROM a GROUP BY 1")
 def _(spark, sf):
     d = corpus.table(spark, sf, "documents").select("doc_id")
-    a = d.where("doc_id % 2 = 0").withColumn("src", F.lit(1)).unionByName(d.where("doc_id % 3 = 0").withColumn("src", F.lit(2)))
-    return a.withColumn("rn", F.row_number().over(Window.partitionBy("doc_id").orderBy("src"))).where("rn = 1").drop("rn")
+    return R.merge_results([d.where("doc_id % 2 = 0"), d.where("doc_id % 3 = 0")], "doc_id")
 
 
 @query("s16_corpus_index", "SELECT doc_id, lang, source, n_chars FROM documents WHERE n_chars IS NOT NULL")
