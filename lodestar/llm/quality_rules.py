@@ -56,13 +56,13 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
     )
     w = lambda i: F.get(F.col("__w"), i)
-    # Three-word windows in sorted order: equal ones are neighbours. The hash leads the order so
-    # that words are compared on a tie alone; they are compared, so a collision changes nothing.
-    window = lambda i: F.struct(F.xxhash64(w(i), w(i + 1), w(i + 2)).alias("h"), w(i).alias("a"), w(i + 1).alias("b"), w(i + 2).alias("c"), i.alias("i"))
+    # Three-word windows in the order of two hashes: equal ones are neighbours. Words are compared where the hashes agree.
+    window = lambda i: F.struct(F.xxhash64(w(i), w(i + 1), w(i + 2)).alias("h"), F.hash(w(i + 2), w(i), w(i + 1)).alias("g"), i.alias("i"))
     d = d.withColumn("n_words", F.size("__w").cast("long"))
     d = d.withColumn("__s", F.when(F.col("n_words") >= 4, F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(F.col("n_words").cast("int") - 3, F.lit(0))), window))))
     s = lambda k: F.get(F.col("__s"), k)
-    same = lambda x, y: (x["h"] == y["h"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
+    word = lambda x, k: w(x["i"] + k)
+    same = lambda x, y: (x["h"] == y["h"]) & (word(x, 0) == word(y, 0)) & (word(x, 1) == word(y, 1)) & (word(x, 2) == word(y, 2))
     twice = lambda x, k: F.coalesce(same(x, s(k - 1)), F.lit(False)) | F.coalesce(same(x, s(k + 1)), F.lit(False))
     d = d.withColumn("__p", F.sort_array(F.transform(F.filter("__s", twice), lambda x: x["i"])))
     p = lambda k: F.get(F.col("__p"), k)

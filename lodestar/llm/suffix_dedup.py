@@ -538,12 +538,13 @@ def _splitters(keyed: DataFrame, alive: DataFrame, length: int, range_bytes: int
     ranges = n * (length + 100) // range_bytes
     if not ranges:
         return []
-    # Documents by a hash, so that both sides are cut before they move.
-    mine = F.pmod(F.xxhash64("tie", "did"), F.lit(n)) < SAMPLE * ranges
-    some = keyed.where(mine).join(alive.where(mine).select("did", "tie", "lo", "hi"), ["did", "tie"])
+    # Eight times the documents by a hash, so that both sides are cut before they move, and an eighth of their segments.
+    mine = F.pmod(F.xxhash64("tie", "did"), F.lit(n)) < 8 * SAMPLE * ranges
+    some = keyed.where(mine).join(alive.where(mine & (F.pmod(F.xxhash64("lo", "did"), F.lit(8)) == 0)).select("did", "tie", "lo", "hi"), ["did", "tie"])
     cut = some.select("did", "tie", "lo", F.expr(f"substring(cast(text as binary), cast(lo + 1 as int), cast(hi - lo + {length} as int))").alias("seg")).distinct()
     cut = materialize(cut, "sample")
-    every = max(1, cut.count() // ranges)
+    taken = cut.count()
+    every = max(1, taken // ranges)
     room = SPLITTER_BYTES // 16  # of a splitter, at 16 bytes each beside a few hot ones
 
     def run(batches):
@@ -552,7 +553,7 @@ def _splitters(keyed: DataFrame, alive: DataFrame, length: int, range_bytes: int
         yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.binary()) for i in range(2)], names=["seg", "payload"])
 
     spark = keyed.sparkSession
-    tasks = max(1, min(MOST_TASKS, ranges // 1000))
+    tasks = max(1, min(MOST_TASKS, taken // 20_000))
     got = cut.repartitionByRange(tasks, "seg", "did", "tie", "lo").mapInArrow(run, "seg binary, payload binary").collect()
     remove(spark, cut)
     return sorted({(bytes(r["seg"]), bytes(r["payload"])) for r in got})
