@@ -169,7 +169,7 @@ def star_edges(reps: DataFrame, threshold: float = 0.8, loose: float = LOOSE) ->
     y and c is ``loose`` or more, and both are linked to c. Until then both stay in the bucket.
     """
     spark = reps.sparkSession
-    rows = reps.select(F.explode("keys").alias("key"), "class_id").distinct()
+    rows = reps.select(F.explode("keys").alias("key"), "class_id")
     small = reps.select("class_id", F.substring("sketch", 1, LOOSE_HASHES).alias("sketch"))
     least, sure = bar(LOOSE_HASHES, loose), bar(LOOSE_HASHES, loose + 1 - threshold, 1 - TOLERANCE)
 
@@ -197,8 +197,15 @@ def star_edges(reps: DataFrame, threshold: float = 0.8, loose: float = LOOSE) ->
         judged = materialize(two.select("class_id", "centre", matches("sketch", "other").alias("m")), "edges")
         found.append(judged.where(F.col("m") >= least).select(F.col("class_id").alias("a"), F.col("centre").alias("b")))
         all_texts = judged.groupBy("class_id", "centre").agg(F.min("m").alias("m"))  # of an id that has several
-        seen = materialize(stars.join(all_texts, ["class_id", "centre"], "left").select("key", "class_id", "centre", F.coalesce("m", F.lit(LOOSE_HASHES)).alias("m")), "seen")
+        # Buckets with a member that is not linked to a centre; mostly there are few.
+        unlinked = all_texts.where(F.col("m") < least).select("class_id", "centre")
+        keys = materialize(stars.join(unlinked, ["class_id", "centre"], "left_semi").select("key").distinct(), "open-keys")
+        if keys.isEmpty():
+            break
+        still = stars.join(keys, "key", "left_semi").distinct()
+        seen = materialize(still.join(all_texts, ["class_id", "centre"], "left").select("key", "class_id", "centre", F.coalesce("m", F.lit(LOOSE_HASHES)).alias("m")), "seen")
         remove(spark, stars)
+        remove(spark, keys)
         # A bucket in which one centre is linked to all is one region already.
         over = seen.groupBy("key", "centre").agg(F.min("m").alias("m")).where(F.col("m") >= least).select("key").distinct()
         rest = seen.groupBy("key", "class_id").agg(F.max("m").alias("m")).where(F.col("m") < sure).select("key", "class_id").join(over, "key", "left_anti")
