@@ -50,6 +50,7 @@ PERIOD = 64
 RANGE_BYTES = 24 << 20  # of segments in a range of the sort
 SAMPLE = 32  # segments a range from which splitters are taken
 SPLITTER_BYTES = 128 << 20  # of splitters, which are broadcast; beyond it ranges are larger
+RUN_BYTES = 16 << 20  # of segments that a task sorts at a time
 MOST_TASKS = 20_000  # of the merge; a task merges several ranges one after the other
 MOST_VARIANTS = 4096  # of a gram that one task compares
 _PERIODIC = np.uint64(1 << 63)
@@ -418,9 +419,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
                     if a["meets"]:
                         for c, v in zip(rows, (1, a["g"], did, tie, a["lo"], a["k"], not a["item"], seg), strict=True):
                             c.append(v)
-                if size >= 64 << 20:
+                if size >= RUN_BYTES:
                     yield runs()
                     size = 0
+                if len(rows[0]) >= 5000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=names)
+                    rows = [[] for _ in names]
             if rows[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=names)
         if items:
