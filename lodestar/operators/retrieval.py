@@ -73,14 +73,15 @@ class Bm25Index:
 
     def __init__(self, spark, folder: str, id_col: str):
         self.id_col = id_col
-        self.postings = spark.read.parquet(f"{folder}/postings")
         self.stats = spark.read.parquet(f"{folder}/stats")
+        kind = self.stats.select("id_type").head()[0]  # one row; a collection without words has no file of postings
+        self.postings = spark.read.schema(f"{id_col} {kind}, length int, term string, tf int, bucket int").parquet(f"{folder}/postings")
 
     @classmethod
     def build(cls, docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> Bm25Index:
         """Texts are read twice and never moved: once for their words, once for the mean length."""
         w = docs.select(F.col(id_col), words(F.col(text_col)).alias("w"))
-        w.agg(F.count("*").alias("n_docs"), F.avg(F.size("w")).alias("avg_length")).write.parquet(f"{folder}/stats")
+        w.agg(F.count("*").alias("n_docs"), F.avg(F.size("w")).alias("avg_length"), F.lit(docs.schema[id_col].dataType.simpleString()).alias("id_type")).write.parquet(f"{folder}/stats")
         tf = w.select(id_col, F.size("w").alias("length"), F.explode("w").alias("term")).groupBy(id_col, "length", "term").agg(F.count("*").cast("int").alias("tf"))
         keyed = tf.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(cls.BUCKETS)).cast("int"))
         # Frequent terms spread over tasks by their documents; a task writes a sorted file to each bucket that it holds.
@@ -100,7 +101,7 @@ class Bm25Index:
         buckets = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(F.pmod(F.xxhash64("t"), F.lit(self.BUCKETS)).cast("int")).collect()]  # a row per query term
         own = self.postings.where(F.col("bucket").isin(*buckets) & F.col("term").isin(*terms)).select(self.id_col, "term", "tf", "length")
         n = own.groupBy("term").agg(F.count("*").alias("df"))
-        known = n.crossJoin(F.broadcast(self.stats)).withColumn("idf", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))  # with one row
+        known = n.crossJoin(F.broadcast(self.stats.select("n_docs", "avg_length"))).withColumn("idf", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))  # with one row
         times = F.create_map(*[F.lit(x) for t in terms for x in (t, asked.count(t))])
         part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length"))) * F.element_at(times, F.col("term"))
         return own.join(F.broadcast(known), "term").groupBy(self.id_col).agg(F.sum(part).alias("score")).where("score > 0")  # known: a row per query term

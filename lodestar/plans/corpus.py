@@ -59,5 +59,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-    spread(orders).createOrReplaceTempView("_lodestar_orders")
-    return spark.sql(SQL.replace("FROM orders", "FROM _lodestar_orders"))
+    return spark.sql(SQL.replace("FROM orders", "FROM {orders}"), orders=spread(orders))

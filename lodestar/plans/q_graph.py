@@ -27,18 +27,15 @@ _NODES = "SELECT CAST(n1 AS BIGINT) AS entity_id, CASE WHEN n1 % 2 = 0 THEN 'gov
 
 
 def _edges(spark, sf):
-    corpus.chunks(spark, sf).createOrReplaceTempView("chunks_")
-    return spark.sql(_EDGES.replace("FROM chunks", "FROM chunks_"))
+    return spark.sql(_EDGES.replace("FROM chunks", "FROM {chunks}"), chunks=corpus.chunks(spark, sf))
 
 
 def _nodes(spark, sf):
-    corpus.chunks(spark, sf).createOrReplaceTempView("chunks_")
-    return spark.sql(_NODES.replace("FROM chunks", "FROM chunks_"))
+    return spark.sql(_NODES.replace("FROM chunks", "FROM {chunks}"), chunks=corpus.chunks(spark, sf))
 
 
 def _chain(spark, sf):
-    corpus.table(spark, sf, "orders").createOrReplaceTempView("orders_")
-    return spark.sql(_CHAIN.replace("FROM orders", "FROM orders_"))
+    return spark.sql(_CHAIN.replace("FROM orders", "FROM {orders}"), orders=corpus.table(spark, sf, "orders"))
 
 
 _W = f"{corpus.WITH}, edges AS ({_EDGES}), nodes AS ({_NODES})"

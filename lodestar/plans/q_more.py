@@ -64,7 +64,22 @@ def _(spark, sf):
     return corpus.chunks(spark, sf).select("chunk_id", F.explode(H.cross_references(F.col("text"))).alias("ref"))
 
 
-@query("k07_chunk_documents")
+_T = "regexp_replace(regexp_replace({}, '^\\s+', ''), '\\s+$', '')"
+_TYPE7 = "CASE WHEN regexp_matches(doc_type, 'act|rule|legal') THEN 'legal' WHEN regexp_matches(doc_type, 'order|go') THEN 'order' WHEN regexp_matches(doc_type, 'judicial|case') THEN 'judicial' WHEN regexp_matches(doc_type, 'data|report') THEN 'data' ELSE 'general' END"
+
+
+@query(
+    "k07_chunk_documents",
+    f"{W.replace('WITH', 'WITH RECURSIVE', 1)}, t AS (SELECT chunk_id, text, {_TYPE7} AS type FROM chunks), "
+    "p AS (SELECT chunk_id, type, CASE WHEN type = 'order' THEN list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') ELSE list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: trim(x)), lambda x: x <> '') END AS parts, CASE type WHEN 'order' THEN chr(10) ELSE chr(10) || chr(10) END AS glue FROM t), "
+    "f(chunk_id, type, parts, glue, i, now, k) AS (SELECT chunk_id, type, parts, glue, 2, parts[1], 0 FROM p WHERE len(parts) > 0 UNION ALL SELECT chunk_id, type, parts, glue, i + 1, CASE WHEN length(now) + length(parts[i]) <= 200 THEN now || glue || parts[i] WHEN type = 'order' THEN parts[i] ELSE right(now, 20) || glue || parts[i] END, k + CASE WHEN length(now) + length(parts[i]) > 200 THEN 1 ELSE 0 END FROM f WHERE i <= len(parts)), "
+    "g AS (SELECT chunk_id, type, k, arg_max(now, i) AS text FROM f GROUP BY 1, 2, 3), "
+    f"o AS (SELECT chunk_id, type, CASE type WHEN 'legal' THEN list_transform(range(1, len(regexp_extract_all(text, {lit(H.LEGAL_HEADING)})) + 1), lambda j: trim(regexp_extract_all(text, {lit(H.LEGAL_HEADING)})[j]) || chr(10) || {_T.format(f'string_split_regex(text, {lit(H.LEGAL_HEADING)})[j + 1]')}) "
+    f"WHEN 'judicial' THEN list_concat(list_slice(list_filter(string_split(text, chr(10) || chr(10)), lambda x: trim(x) <> ''), 1, 3), list_filter(list_transform(regexp_extract_all(text, {lit(H.HOLDING)}), lambda x: trim(x)), lambda x: length(x) > 50)) "
+    f"WHEN 'data' THEN list_transform(regexp_extract_all(text, {lit(H.SUMMARY)}), lambda x: trim(x)) ELSE [] END AS own, len(list_slice(list_filter(string_split(text, chr(10) || chr(10)), lambda x: trim(x) <> ''), 1, 3)) AS n_facts FROM t) "
+    "SELECT chunk_id, generate_subscripts(own, 1)::INT - 1 AS chunk_no, CASE type WHEN 'legal' THEN 'legal_section' WHEN 'data' THEN 'data_summary' ELSE CASE WHEN generate_subscripts(own, 1) <= n_facts THEN 'judicial_fact' ELSE 'judicial_holding' END END AS chunk_type, unnest(own) AS text FROM o WHERE len(own) > 0 "
+    "UNION ALL SELECT chunk_id, k::INT, CASE type WHEN 'order' THEN 'go_order' ELSE 'general_paragraph' END, text FROM g WHERE chunk_id IN (SELECT chunk_id FROM o WHERE len(own) = 0)",
+)
 def _(spark, sf):
     return H.chunk_documents(corpus.chunks(spark, sf), "chunk_id", "text", "doc_type", 200, 20)
 

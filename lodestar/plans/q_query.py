@@ -47,12 +47,12 @@ def _(spark, sf):
     return K.generic_sections(c, "id", "text").select("id.conv_id", "id.turn", "position", "text")
 
 
-@query("k12_general_chunks")
+@query("k12_general_chunks", "WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS parts FROM documents), f(doc_id, parts, i, now, k) AS (SELECT doc_id, parts, 2, parts[1], 0 FROM p WHERE len(parts) > 0 UNION ALL SELECT doc_id, parts, i + 1, CASE WHEN length(now) + length(parts[i]) > 1000 THEN right(now, 100) || chr(10) || chr(10) || parts[i] ELSE now || chr(10) || chr(10) || parts[i] END, k + CASE WHEN length(now) + length(parts[i]) > 1000 THEN 1 ELSE 0 END FROM f WHERE i <= len(parts)) SELECT doc_id, k AS position, arg_max(now, i) AS text FROM f GROUP BY 1, 2")
 def _(spark, sf):
     return K.general_chunks(corpus.table(spark, sf, "documents"), "doc_id", "text", separator="\n")
 
 
-@query("k21_sentence_chunks")
+@query("k21_sentence_chunks", "WITH RECURSIVE p AS (SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS parts FROM documents), f(doc_id, parts, i, now, k) AS (SELECT doc_id, parts, 2, parts[1], 0 FROM p WHERE len(parts) > 0 UNION ALL SELECT doc_id, parts, i + 1, CASE WHEN length(now) + length(parts[i]) > 1000 THEN right(now, 100) || ' ' || parts[i] ELSE now || ' ' || parts[i] END, k + CASE WHEN length(now) + length(parts[i]) > 1000 THEN 1 ELSE 0 END FROM f WHERE i <= len(parts)) SELECT doc_id, k AS position, arg_max(now, i) AS text FROM f GROUP BY 1, 2")
 def _(spark, sf):
     return K.sentence_chunks(corpus.table(spark, sf, "documents"), "doc_id", "text")
 

@@ -80,8 +80,9 @@ def _index(spark, sf) -> R.Bm25Index:
 
 @query("r06_bm25_index", f"WITH w AS (SELECT doc_id, {_TOK} AS w FROM documents) SELECT doc_id, len(list_distinct(w))::BIGINT AS n_terms, len(w)::BIGINT AS length FROM w WHERE len(w) > 0")
 def _(spark, sf):
-    """Builds the index anew."""
-    i = R.Bm25Index.build(_docs(spark, sf), shared_folder(spark, "postings"))
+    """Builds the index anew; later queries of the application use this one."""
+    _INDEXES.pop((spark.sparkContext.applicationId, sf), None)
+    i = _index(spark, sf)
     return i.postings.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.sum("tf").cast("long").alias("length"))
 
 

@@ -143,8 +143,9 @@ def _(spark, sf):
     "SELECT predicted_type, confidence_level, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM p GROUP BY GROUPING SETS ((predicted_type), (confidence_level), ())",
 )
 def _(spark, sf):
-    C.classify(corpus.chunks(spark, sf)).select("predicted_type", "confidence_level", "confidence").createOrReplaceTempView("_lodestar_classified")
-    return spark.sql("SELECT predicted_type, confidence_level, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM _lodestar_classified GROUP BY GROUPING SETS ((predicted_type), (confidence_level), ())")
+    c = C.classify(corpus.chunks(spark, sf)).select("predicted_type", "confidence_level", "confidence")
+    g = c.groupingSets([["predicted_type"], ["confidence_level"], []], "predicted_type", "confidence_level")
+    return g.agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
 
 
 _PATH = "'/data/My Acts/GO_MS_No_' || CAST(n1 AS STRING) || '-' || CAST(y AS STRING) || ' final.pdf'"
