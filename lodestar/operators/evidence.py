@@ -81,7 +81,9 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
         # The last part has no match after it.
         return F.when(x["whole"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.array_append(acc["out"], row).alias("out")))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(shape).alias("out")), add, lambda acc: acc["out"])
+    none = F.array().cast(shape)
+    # One search settles the texts without a match, which are most.
+    return F.when(text.rlike(pattern), F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])).otherwise(none)
 
 
 def found(df: DataFrame, id_col: str, text_col: str, rules, window: int = 50) -> DataFrame:
