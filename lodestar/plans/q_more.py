@@ -229,10 +229,10 @@ def _(spark, sf):
     return corpus.chunks(spark, sf).select("chunk_id", N.year_verdict(F.col("text"), 2010, 2016).alias("verdict"))
 
 
-@query("u15_merge_results", "WITH a AS (SELECT doc_id, 1 AS src FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 2 FROM documents WHERE doc_id % 3 = 0) SELECT doc_id, min(src) AS src FROM a GROUP BY 1")
+@query("u15_merge_results", "WITH a AS (SELECT vec_id AS doc_id, 1 AS src FROM embeddings UNION ALL SELECT doc_id, 2 FROM documents) SELECT doc_id, min(src) AS src FROM a WHERE doc_id IS NOT NULL GROUP BY 1")
 def _(spark, sf):
-    d = corpus.table(spark, sf, "documents").select("doc_id")
-    return R.merge_results([d.where("doc_id % 2 = 0"), d.where("doc_id % 3 = 0")], "doc_id")
+    v = corpus.table(spark, sf, "embeddings").select(F.col("vec_id").cast("long").alias("doc_id"))
+    return R.merge_results([v, corpus.table(spark, sf, "documents").select("doc_id")], "doc_id")
 
 
 @query("s16_corpus_index", "SELECT doc_id, lang, source, n_chars FROM documents WHERE n_chars IS NOT NULL")

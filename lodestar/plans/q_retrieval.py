@@ -212,10 +212,10 @@ def _(spark, sf):
     return corpus.chunks(spark, sf).select("chunk_id", F.format_string("[Source %d] %s, %s (%d)", F.col("pos") + 1, "title", "doc_type", "y").alias("out"))
 
 
-@query("r38_precision_recall", "WITH f AS (SELECT DISTINCT lang, doc_id FROM documents WHERE doc_id % 3 = 0), r AS (SELECT DISTINCT lang, doc_id FROM documents WHERE doc_id % 2 = 0), h AS (SELECT lang, count(*) AS h FROM f JOIN r USING (lang, doc_id) GROUP BY 1) SELECT lang, round(h / (SELECT count(*) FROM f WHERE f.lang = h.lang), 6) AS precision, round(h / (SELECT count(*) FROM r WHERE r.lang = h.lang), 6) AS recall FROM h")
+@query("r38_precision_recall", "WITH f AS (SELECT DISTINCT lang, doc_id FROM documents WHERE n_chars >= 1500), r AS (SELECT DISTINCT lang, doc_id FROM documents WHERE length(text) >= 1000 AND n_chars < 4000), h AS (SELECT lang, count(*) AS h FROM f JOIN r USING (lang, doc_id) GROUP BY 1) SELECT lang, round(h / (SELECT count(*) FROM f WHERE f.lang = h.lang), 6) AS precision, round(h / (SELECT count(*) FROM r WHERE r.lang = h.lang), 6) AS recall FROM h")
 def _(spark, sf):
     d = _docs(spark, sf).select("lang", "doc_id")
-    return R.precision_recall(d.where("doc_id % 3 = 0"), d.where("doc_id % 2 = 0"), "lang", "doc_id").select("lang", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+    return R.precision_recall(d.where("n_chars >= 1500"), d.where("length(text) >= 1000 AND n_chars < 4000"), "lang", "doc_id").select("lang", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
 @query("f09_domain_allow_list", "SELECT page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host FROM pages WHERE regexp_matches(regexp_extract(url, '^https?://([^/:?#]+)', 1), '(^|\\.)example\\.(com|org)$')")
