@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, language_id, ngram_join, packing, quality_rules, sentencepiece_scan, sstable, suffix_dedup, toxicity
+from . import ctw_scoring, exact_dedup, hard_negatives, html_text, language_id, ngram_join, packing, periodic_runs, quality_rules, sentencepiece_scan, sstable, suffix_dedup, toxicity
 from .common import held_out, small_batches
 from .common import table as stored
 
@@ -62,6 +62,18 @@ def op10_language_id(spark, sf_dir):
     return language_id.identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_lm_scoring(spark, sf_dir):
+    return ctw_scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark, sf_dir):
+    return periodic_runs.run_digests(table(spark, sf_dir, "documents"), plant=True)
+
+
+def op13_hard_negatives(spark, sf_dir):
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), relabel=True)
+
+
 def queries():
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -74,6 +86,9 @@ def queries():
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_html_extraction": op9_html_extraction,
         "op10_language_id": op10_language_id,
+        "op11_lm_scoring": op11_lm_scoring,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
@@ -117,5 +132,17 @@ n AS (SELECT a, count(*) AS n_links, sum(sb) AS n_docs FROM l GROUP BY a)
 SELECT doc_id, CASE WHEN k = 0 THEN doc_id ELSE coalesce(g.class_id, copy_id) END AS class_id, CASE WHEN k = 0 THEN doc_id ELSE copy_id END AS copy_id,
        coalesce(n_links, 0) AS n_links, CASE WHEN k = 0 THEN 0 ELSE (coalesce(n_docs, 0) + size - 1)::BIGINT END AS n_linked_docs
 FROM s JOIN c USING (sh) LEFT JOIN g ON g.a = copy_id LEFT JOIN n ON n.a = copy_id
+""",
+    "op13_hard_negatives": """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, a.label = b.label AS same, b.vec_id AS b, list_dot_product(a.v, b.v)::BIGINT AS score
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+n AS (SELECT p.a, p.b AS p, p.score AS ps, s.b AS n, s.score AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS rank
+      FROM p JOIN s ON p.a = s.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT a AS anchor_id, p AS positive_id, rank::INTEGER AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE rank <= 3
 """,
 }
