@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 from .common import Rolling, materialize, mix64, remove
 
 DEPTH, UNIT, TOP = 5, 3, 2
-CHUNK_BYTES, SLAB_BYTES, MOST_SLABS = 32 << 20, 16 << 20, 4096
+CHUNK_BYTES, SLAB_BYTES, MOST_SLABS = 16 << 20, 16 << 20, 4096
 #: Bytes of a chunk that are worked on at a time.
-PART = 4 << 20
+PART = 1 << 20
 GRAMS, WORDS = 0, 1
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
