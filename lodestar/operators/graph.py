@@ -72,7 +72,7 @@ def inverse_edges(edges: DataFrame) -> DataFrame:
     )
 
 
-def _kept(df: DataFrame, folder: str, name: str) -> DataFrame:
+def kept(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Written once to the shared folder (spark.checkpoint.dir) and read back, so a round does not repeat those before it."""
     df.write.parquet(f"{folder}/{name}")
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
@@ -84,11 +84,11 @@ def _rounds(spark: SparkSession, first: DataFrame, following, max_depth: int) ->
     Unlike recursive SQL, which Spark stops at a million rows, this holds any number.
     """
     folder = shared_folder(spark, "rounds")
-    rows = [_kept(first, folder, "1")]
+    rows = [kept(first, folder, "1")]
     for depth in range(2, max_depth + 1):
         if rows[-1].isEmpty():
             break
-        rows.append(_kept(following(rows[-1], depth), folder, str(depth)))
+        rows.append(kept(following(rows[-1], depth), folder, str(depth)))
     return reduce(DataFrame.unionByName, rows)
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import math
-import zlib
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,50 +63,6 @@ def bm25(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "t
     return tf.join(F.broadcast(stats), "term").groupBy(id_col).agg(F.sum(part).alias("score")).where("score > 0")  # stats: a row per query term
 
 
-class Bm25Index:
-    """Postings (bucket, term, id, tf, length) by the crc32 of the term, sorted by term, and one row of statistics, in a folder.
-
-    Built once for a collection; a query reads the buckets of its terms alone, and of those the row groups that hold them.
-    """
-
-    BUCKETS = 32
-
-    def __init__(self, spark, folder: str, id_col: str):
-        self.id_col = id_col
-        self.stats = spark.read.parquet(f"{folder}/stats")
-        self.n_docs, self.avg_length, kind = self.stats.select("n_docs", "avg_length", "id_type").head()  # one row; a collection without words has no file of postings
-        self.postings = spark.read.schema(f"{id_col} {kind}, length int, term string, tf int, bucket int").parquet(f"{folder}/postings")
-
-    @classmethod
-    def build(cls, docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> Bm25Index:
-        """Texts are read twice and never moved: once for their words, once for the mean length."""
-        w = docs.select(F.col(id_col), words(F.col(text_col)).alias("w"))
-        w.agg(F.count("*").alias("n_docs"), F.avg(F.size("w")).alias("avg_length"), F.lit(docs.schema[id_col].dataType.simpleString()).alias("id_type")).write.parquet(f"{folder}/stats")
-        tf = w.select(id_col, F.size("w").alias("length"), F.explode("w").alias("term")).groupBy(id_col, "length", "term").agg(F.count("*").cast("int").alias("tf"))
-        keyed = tf.withColumn("bucket", (F.crc32(F.col("term").cast("binary")) % cls.BUCKETS).cast("int"))
-        # Frequent terms spread over tasks by their documents; a task writes a sorted file to each bucket that it holds.
-        dealt = keyed.repartition("bucket", F.pmod(F.xxhash64(id_col), F.lit(4))).sortWithinPartitions("bucket", "term", id_col)
-        dealt.write.partitionBy("bucket").parquet(f"{folder}/postings")
-        return cls(docs.sparkSession, folder, id_col)
-
-    def search(self, query: str) -> DataFrame:
-        """(id, score) of the documents with a positive score; a repeated query term counts again."""
-        import regex
-
-        asked = regex.findall(r"[\p{L}\p{N}_]+", query.lower())
-        terms = sorted(set(asked))
-        if not terms:
-            return self.postings.select(self.id_col).withColumn("score", F.lit(0.0)).limit(0)
-        buckets = sorted({zlib.crc32(t.encode()) % self.BUCKETS for t in terms})
-        own = self.postings.where(F.col("bucket").isin(*buckets) & F.col("term").isin(*terms)).select(self.id_col, "term", "tf", "length")
-        df = {r["term"]: r["n"] for r in own.groupBy("term").agg(F.count("*").alias("n")).collect()}  # a row per query term
-        if not df:
-            return own.select(self.id_col).withColumn("score", F.lit(0.0)).limit(0)
-        weight = F.create_map(*[F.lit(x) for t, n in sorted(df.items()) for x in (t, math.log((self.n_docs - n + 0.5) / (n + 0.5) + 1) * asked.count(t))])
-        part = F.element_at(weight, F.col("term")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(self.avg_length)))
-        return own.groupBy(self.id_col).agg(F.sum(part).alias("score")).where("score > 0")
-
-
 def order_rank(text: Column, similarity: Column, year: Column, as_of: int, terms=(("government order", 0.2), ("g.o.", 0.2), ("circular", 0.1), ("supersession", 0.1), ("supersedes", 0.1))) -> Column:
     """0.7 of the similarity and 0.3 of what speaks of an order: its terms and how recent it is; at most 1."""
     low, age = F.lower(text), as_of - year

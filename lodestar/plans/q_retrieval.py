@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
+from ..operators.postings import BlockMaxIndex, file_state
 from ..sources.scratch import shared_folder
 from . import corpus
 from .duck import lit
@@ -70,20 +71,20 @@ _BM = (
 _INDEXES: dict = {}
 
 
-def _index(spark, sf) -> R.Bm25Index:
-    """The postings of a table, built at the first query of an application and used by the others."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _INDEXES:
-        _INDEXES[key] = R.Bm25Index.build(_docs(spark, sf), shared_folder(spark, "postings"))
+def _index(spark, sf, anew: bool = False) -> BlockMaxIndex:
+    """The postings of a table as its files are now, built at the first query of an application and used by the others."""
+    docs = _docs(spark, sf)
+    key = (spark.sparkContext.applicationId, file_state(docs))
+    if anew or key not in _INDEXES:
+        _INDEXES[key] = BlockMaxIndex.build(docs, shared_folder(spark, "postings"))
     return _INDEXES[key]
 
 
 @query("r06_bm25_index", f"WITH w AS (SELECT doc_id, {_TOK} AS w FROM documents) SELECT doc_id, len(list_distinct(w))::BIGINT AS n_terms, len(w)::BIGINT AS length FROM w WHERE len(w) > 0")
 def _(spark, sf):
     """Builds the index anew; later queries of the application use this one."""
-    _INDEXES.pop((spark.sparkContext.applicationId, sf), None)
-    i = _index(spark, sf)
-    return i.postings.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.sum("tf").cast("long").alias("length"))
+    i = _index(spark, sf, anew=True)
+    return i.entries().groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.sum("tf").cast("long").alias("length"))
 
 
 @query("r05_idf", f"WITH w AS (SELECT doc_id, unnest(list_distinct({_TOK})) AS term FROM documents), d AS (SELECT term, count(*) AS df FROM w GROUP BY 1) SELECT term, df, round(ln(((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM d")
@@ -98,7 +99,7 @@ def _(spark, sf):
 
 @query("r08_bm25_top_k", f"WITH {_BM} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY round(bm.score, 9) DESC, doc_id LIMIT 25")
 def _(spark, sf):
-    return _index(spark, sf).search(QUERY_TEXT).orderBy(F.desc(F.round("score", 9)), "doc_id").limit(25).select("doc_id", F.round("score", 6).alias("score"))
+    return _index(spark, sf).top(QUERY_TEXT, 25).select("doc_id", F.round("score", 6).alias("score"))
 
 
 _V = f"v AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY {_COS} DESC, vec_id) AS rank FROM embeddings), v20 AS (SELECT * FROM v WHERE rank <= 40)"
@@ -108,7 +109,7 @@ _FUSED = "f AS (SELECT doc_id, coalesce(0.7 / (60 + v20.rank), 0) + coalesce(0.3
 
 def _lists(spark, sf):
     v = R.vector_search(_vectors(spark, sf), QUERY_VECTOR, 40).select(F.col("vec_id").alias("doc_id"), "score")
-    k = _index(spark, sf).search(QUERY_TEXT).withColumn("score", F.round("score", 9))
+    k = _index(spark, sf).top(QUERY_TEXT, 40)
     return R.ranked(v, "score", "doc_id", 40), R.ranked(k, "score", "doc_id", 40)
 
 

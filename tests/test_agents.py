@@ -45,18 +45,6 @@ def test_rerank_is_greedy_and_diverse(spark):
     assert got == want
 
 
-def test_postings_give_the_scores_of_the_texts(spark, tmp_path):
-    texts = ["one two two", "Two three été", "", None, "three three one", "ÉTÉ two"] + [f"filler{i % 5} word" for i in range(30)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    index = retrieval.Bm25Index.build(docs, f"file://{tmp_path}/index")
-    for q in ("two", "two two ONE", "été filler3", "absent", ""):
-        a = {r.doc_id: round(r.score, 9) for r in index.search(q).collect()}
-        assert a == {r.doc_id: round(r.score, 9) for r in retrieval.bm25(docs, q).collect()}
-    plan = index.search("two")._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ (IN|=)", plan) and re.search(r"PushedFilters: \[[^\]]*term", plan)
-    assert retrieval.Bm25Index.build(docs.limit(0), f"file://{tmp_path}/none").search("two").count() == 0
-
-
 def test_topic_table_scores_inside_the_row(spark):
     a = "array<string>"
     topics = spark.createDataFrame([("x", "X", ["two words", "three"], ["amma vodi"], [], ["guntur"], [r"\\b\\d+:\\d+\\b".replace("\\\\", "\\")], ["y"]), ("y", "Y", ["none"], [], ["ptr"], [], [], [])], f"topic string, name string, keywords {a}, schemes {a}, metrics {a}, districts {a}, patterns {a}, related {a}")
