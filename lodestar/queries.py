@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("q_text", "q_graph", "q_retrieval", "q_aggregate", "q_query", "q_more", "q_evidence", "q_stream", "q_batch")
+_MODULES = ("q_text", "q_graph", "q_retrieval", "q_aggregate", "q_query", "q_more", "q_evidence", "q_stream", "q_batch", "q_validate", "q_gazetteer")
 
 
 def _all() -> dict:
