@@ -81,9 +81,8 @@ def implementing_documents(edges: DataFrame, entities: DataFrame, scheme: Column
     return to.join(entities.select("entity_id", "value"), "entity_id").select("source", "entity_id", "value")
 
 
-def order_warnings(asked: DataFrame, chains: DataFrame, id_col: str, order_col: str) -> DataFrame:
-    """For queries that name a replaced order: (id, order, current, warning, n_chain); ``chains`` is that of graph.chains."""
-    ends = G.chain_ends(chains)
+def order_warnings(asked: DataFrame, ends: DataFrame, id_col: str, order_col: str) -> DataFrame:
+    """For queries that name a replaced order: (id, order, current, warning, n_chain); ``ends`` is that of graph.chain_ends."""
     j = asked.join(ends, asked[order_col] == ends["start"])
     return j.select(id_col, order_col, "current", F.concat(F.col(order_col).cast("string"), F.lit(" was superseded by "), F.col("current").cast("string")).alias("warning"), (F.col("length") + 1).alias("n_chain"))
 

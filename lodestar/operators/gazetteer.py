@@ -38,8 +38,8 @@ def _sequence(h: np.ndarray, n: int) -> np.ndarray:
     return x
 
 
-def _bits(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return x % np.uint64(FILTER_BITS), (x >> np.uint64(32)) % np.uint64(FILTER_BITS)
+def _bits(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    return x % np.uint64(size), (x >> np.uint64(32)) % np.uint64(size)
 
 
 def entries(names: DataFrame) -> DataFrame:
@@ -52,6 +52,7 @@ def entries(names: DataFrame) -> DataFrame:
 
 def _filter(named: DataFrame) -> np.ndarray:
     """The filter as 64-bit words, put together in the cluster."""
+    size = FILTER_BITS
 
     def run(batches):
         for b in batches:
@@ -59,11 +60,11 @@ def _filter(named: DataFrame) -> np.ndarray:
             if not keys:
                 continue
             x = np.array([_sequence(np.array([_hash(w) for w in k.split(" ")], np.uint64), k.count(" ") + 1)[0] for k in keys], np.uint64)
-            at = np.unique(np.concatenate(_bits(x)))
+            at = np.unique(np.concatenate(_bits(x, size)))
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["at", "bits"])
 
     parts = named.select("key").distinct().mapInArrow(run, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()  # FILTER_BITS / 64 rows at most
-    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out = np.zeros(size // 64, np.int64)
     out[parts.column("at").to_numpy()] = parts.column("bits").to_numpy()
     return out.view(np.uint64)
 
@@ -94,7 +95,7 @@ def occurrences(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -
                 h = np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws))
                 for n in lengths:
                     if n <= len(h):
-                        one, two = _bits(_sequence(h, n))
+                        one, two = _bits(_sequence(h, n), 64 * len(bits))
                         for i in np.flatnonzero(has(one) & has(two)).tolist():
                             s, e = spans[i][0], spans[i + n - 1][1]
                             out.append((key, " ".join(ws[i : i + n]), i, n, s, e, text[max(0, s - CONTEXT) : e + CONTEXT].strip()))

@@ -92,44 +92,148 @@ def _rounds(spark: SparkSession, first: DataFrame, following, max_depth: int) ->
     return reduce(DataFrame.unionByName, rows)
 
 
-def closure(spark: SparkSession, edges: DataFrame, max_depth: int = 10) -> DataFrame:
-    """(source, target, depth, confidence): what each node reaches over the edges.
+def walks(spark: SparkSession, edges: DataFrame, max_depth: int = 10) -> DataFrame:
+    """(source, target, depth, confidence): of the walks of each length between two nodes the most confident, above the floor.
 
-    Confidence is the product over the path of edge confidence and decay; of several paths the
-    shortest counts, of equally short ones the most confident. Pairs at or below the floor are left
-    out, as their continuations only fall. Distinct pairs are kept at each depth, so a
-    round never holds more than one row for each pair.
+    Confidence is the product over the walk of edge confidence and decay. Loops are no edges. Walks at or below the floor are left out, as
+    their continuations only fall; a pair has a row for each depth, so a round never holds more than one.
     """
     best = F.max("confidence").alias("confidence")
-    e = edges.groupBy("source", "target").agg(best)
-    first = e.where("source <> target").select("source", "target", F.lit(1).alias("depth"), (F.col("confidence") * CLOSURE_DECAY).alias("confidence")).where(F.col("confidence") > CLOSURE_FLOOR)
-    hop = e.select(F.col("source").alias("target"), F.col("target").alias("_next"), F.col("confidence").alias("_confidence"))
+    e = edges.where("source <> target").groupBy("source", "target").agg(best)
+    first = e.select("source", "target", F.lit(1).alias("depth"), (F.col("confidence") * CLOSURE_DECAY).alias("confidence")).where(F.col("confidence") > CLOSURE_FLOOR)
+    # A walk's confidence falls at least by the decay each hop, so a bounded number of hops is enough.
+    return _rounds(spark, first, lambda walk, depth: _longer(walk, e).groupBy("source", "target", "depth").agg(best), max_depth)
+
+
+def _longer(walk: DataFrame, edges: DataFrame) -> DataFrame:
+    """Walks with an edge more, but for those that come back to where they began."""
+    hop = edges.select(F.col("source").alias("target"), F.col("target").alias("_next"), F.col("confidence").alias("_confidence"))
+    w = walk.join(hop, "target").where("_next <> source").select("source", F.col("_next").alias("target"), (F.col("depth") + 1).alias("depth"), (F.col("confidence") * F.col("_confidence") * CLOSURE_DECAY).alias("confidence"))
+    return w.where(F.col("confidence") > CLOSURE_FLOOR)
+
+
+def shortest(walked: DataFrame) -> DataFrame:
+    """(source, target, depth, confidence): of each pair the shortest walk."""
+    return walked.groupBy("source", "target").agg(F.min_by(F.struct("depth", "confidence"), "depth").alias("b")).select("source", "target", "b.depth", "b.confidence")
+
+
+def closure(spark: SparkSession, edges: DataFrame, max_depth: int = 10) -> DataFrame:
+    """What each node reaches over the edges, by the shortest walk, of equally short ones the most confident."""
+    return shortest(walks(spark, edges, max_depth))
 
-    def following(walk: DataFrame, depth: int) -> DataFrame:
-        w = walk.join(hop, "target").where("_next <> source").select("source", F.col("_next").alias("target"), (F.col("confidence") * F.col("_confidence") * CLOSURE_DECAY).alias("confidence"))
-        return w.where(F.col("confidence") > CLOSURE_FLOOR).groupBy("source", "target").agg(best).select("source", "target", F.lit(depth).alias("depth"), "confidence")
 
-    # A pair's confidence falls at least by the decay each hop, so a bounded number of hops is enough.
-    shortest = F.min_by(F.struct("depth", "confidence"), "depth").alias("b")
-    return _rounds(spark, first, following, max_depth).groupBy("source", "target").agg(shortest).select("source", "target", "b.depth", "b.confidence")
+def extend_walks(spark: SparkSession, stored: DataFrame, edges: DataFrame, new: DataFrame, max_depth: int = 10) -> DataFrame:
+    """The walks of ``edges`` and ``new`` together, from the stored ones of ``edges``: only walks over a new edge are made.
 
+    Such a walk is a stored one (or none), a new edge, and what follows; each round adds an edge of either kind to
+    what the round before found. An edge that was known and is not surer now makes no walk.
+    """
+    best = F.max("confidence").alias("confidence")
+    old = edges.where("source <> target").groupBy("source", "target").agg(best)
+    added = new.groupBy("source", "target").agg(F.max("confidence").alias("_new"))
+    folder = shared_folder(spark, "extended")
+    delta = added.join(old, ["source", "target"], "left").where(F.col("confidence").isNull() | (F.col("_new") > F.col("confidence")))
+    delta = kept(delta.where("source <> target").select("source", "target", F.col("_new").alias("confidence")), folder, "delta")
+    every = kept(old.unionByName(delta).groupBy("source", "target").agg(best), folder, "edges")
+    start = delta.select("source", "target", F.lit(1).alias("depth"), (F.col("confidence") * CLOSURE_DECAY).alias("confidence")).where(F.col("confidence") > CLOSURE_FLOOR)
+    first = start.unionByName(_longer(stored.where(F.col("depth") < max_depth), delta)).groupBy("source", "target", "depth").agg(best)
+    rows = [kept(first, folder, "1")]
+    for i in range(2, max_depth + 1):
+        if rows[-1].isEmpty():
+            break
+        rows.append(kept(_longer(rows[-1].where(F.col("depth") < max_depth), every).groupBy("source", "target", "depth").agg(best), folder, str(i)))
+    return reduce(DataFrame.unionByName, rows, stored.select("source", "target", "depth", "confidence")).groupBy("source", "target", "depth").agg(best)
 
-def chains(spark: SparkSession, edges: DataFrame, max_depth: int = 10) -> DataFrame:
-    """(start, node, depth): from each node along its first edge (the least target), until the end, a cycle or the depth."""
-    f = edges.groupBy("source").agg(F.min("target").alias("target"))
-    first = f.where("source <> target").select(F.col("source").alias("start"), F.col("target").alias("node"), F.lit(1).alias("depth"), F.array("source", "target").alias("path"))
-    hop = f.select(F.col("source").alias("node"), F.col("target").alias("_next"))
 
-    def following(chain: DataFrame, depth: int) -> DataFrame:
-        c = chain.join(hop, "node").where(~F.array_contains("path", F.col("_next")))
-        return c.select("start", F.col("_next").alias("node"), F.lit(depth).alias("depth"), F.array_append("path", F.col("_next")).alias("path"))
+def first_edges(edges: DataFrame) -> DataFrame:
+    """(node, next): of each node its first edge (the least target); loops are no edges."""
+    return edges.where(F.col("source") != F.col("target")).groupBy(F.col("source").alias("node")).agg(F.min("target").alias("next"))
 
-    return _rounds(spark, first, following, max_depth).select("start", "node", "depth")
 
+def walk_ends(spark: SparkSession, first: DataFrame) -> DataFrame:
+    """(start, current, length): where the walk along (node, next) from each node ends, by pointer doubling.
 
-def chain_ends(walked: DataFrame) -> DataFrame:
-    """The last node of every chain: what is current from each start."""
-    return walked.groupBy("start").agg(F.max_by("node", "depth").alias("current"), F.max("depth").alias("length"))
+    Every round joins the pointers with themselves, which doubles their reach, so the rounds are the logarithm of the
+    longest walk. A walk ends before it would come to a node for a second time. While a walk that ends is under way,
+    every round finishes one of the length just beyond its reach; when none finishes, all that are left lead to a cycle,
+    and these are settled by their cycle: they go once around it.
+    """
+    folder = shared_folder(spark, "ends")
+    n = iter(range(10_000))
+    keep = lambda df: kept(df, folder, str(next(n)))
+    first = keep(first.select("node", "next"))
+
+    def doubled(at: DataFrame) -> DataFrame:
+        on = at.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("steps").alias("_steps"))
+        j = at.join(on, "to", "left")
+        return j.select("node", F.coalesce("_to", "to").alias("to"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.col("_to").isNull().alias("done"))
+
+    at = keep(first.select("node", F.col("next").alias("to"), F.lit(1).cast("long").alias("steps"), F.lit(False).alias("done")))
+    left, reach = at.count(), 1
+    while left:
+        at, reach = keep(doubled(at)), 2 * reach
+        now = at.where(~F.col("done")).count()
+        if now == left and now:
+            break
+        left = now
+    ended = at.where("done").select(F.col("node").alias("start"), F.col("to").alias("current"), F.col("steps").alias("length"))
+    if not left:
+        return ended
+    # Each of the rest reaches a cycle in fewer steps than there are of them; then the pointers' ends are the nodes of the cycles.
+    while reach < left:
+        at, reach = keep(doubled(at.where(~F.col("done")))), 2 * reach
+    rest = at.where(~F.col("done"))
+    on_cycle = keep(rest.select(F.col("to").alias("node")).distinct())
+    cycle = keep(first.join(on_cycle, "node", "left_semi").select("node", F.col("next").alias("to"), F.col("node").alias("least")))
+    size, reach = cycle.count(), 1
+    while reach < size:  # the least node of a cycle names it
+        on = cycle.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("least").alias("_least"))
+        cycle, reach = keep(cycle.join(on, "to").select("node", F.col("_to").alias("to"), F.least("least", "_least").alias("least"))), 2 * reach
+    around = cycle.groupBy("least").agg(F.count("*").alias("size"))
+    before = first.join(on_cycle, "node", "left_semi").select(F.col("next").alias("node"), F.col("node").alias("last"))
+    once = keep(cycle.select("node", "least").join(around, "least").join(before, "node").select("node", "last", "size"))
+    # To the first node of the cycle, by doubling again with the cycles' nodes as ends.
+    tail = first.join(rest.select("node"), "node", "left_semi").join(on_cycle, "node", "left_anti")
+    enter = walk_ends(spark, tail).select("start", F.col("current").alias("node"), "length") if not tail.isEmpty() else None
+    own = once.select(F.col("node").alias("start"), F.col("last").alias("current"), (F.col("size") - 1).alias("length"))
+    out = ended.unionByName(own)
+    if enter is not None:
+        out = out.unionByName(enter.join(once, "node").select("start", F.col("last").alias("current"), (F.col("length") + F.col("size") - 1).alias("length")))
+    return out
+
+
+def chain_ends(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """(start, current, length): the last node of the chain of first edges from each node: what is current from there."""
+    return walk_ends(spark, first_edges(edges))
+
+
+def chain_sides(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """(node, oldest, n_older, newest, n_newer): both ends of the chain through each node, along the edges and against them."""
+    back = edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
+    older = chain_ends(spark, edges).select(F.col("start").alias("node"), F.col("current").alias("oldest"), F.col("length").alias("n_older"))
+    newer = chain_ends(spark, back).select(F.col("start").alias("node"), F.col("current").alias("newest"), F.col("length").alias("n_newer"))
+    j = older.join(newer, "node", "full_outer")
+    zero = F.lit(0).cast("long")
+    return j.select("node", F.coalesce("oldest", "node").alias("oldest"), F.coalesce("n_older", zero).alias("n_older"), F.coalesce("newest", "node").alias("newest"), F.coalesce("n_newer", zero).alias("n_newer"))
+
+
+def chains(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """(start, node, depth): every node of the chain of first edges from each node, until its end or a cycle.
+
+    Known parts of chains are joined at the ends of the pointers, so both double each round; no path is carried along.
+    """
+    folder = shared_folder(spark, "chains")
+    first = kept(first_edges(edges), folder, "first")
+    ends = kept(walk_ends(spark, first).select("start", "length"), folder, "ends")
+    longest = ends.agg(F.max("length")).first()[0] or 0
+    known = first.select(F.col("node").alias("start"), F.col("next").alias("node"), F.lit(1).cast("long").alias("depth"))
+    jump, reach = first.select("node", F.col("next").alias("to")), 1
+    while reach < longest:
+        further = jump.select(F.col("node").alias("_start"), F.col("to").alias("start")).join(known, "start").select(F.col("_start").alias("start"), "node", (F.col("depth") + reach).alias("depth"))
+        known = kept(known.unionByName(further), folder, f"known{reach}")
+        on = jump.select(F.col("node").alias("to"), F.col("to").alias("_to"))
+        jump, reach = kept(jump.join(on, "to").select("node", F.col("_to").alias("to")), folder, f"jump{reach}"), 2 * reach
+    return known.join(ends, "start").where(F.col("depth") <= F.col("length")).select("start", "node", F.col("depth").cast("int").alias("depth"))
 
 
 def top_related(edges: DataFrame, k: int = 5, floor: float = 0.7) -> DataFrame:

@@ -230,10 +230,10 @@ def _(spark, sf):
     return X.implementing_documents(_edges(spark, sf), _schemes(spark, sf), F.lit("NO 3"))
 
 
-@query("g09_query_warnings", f"{_CW}, c AS (SELECT start, arg_max(node, depth) AS current, max(depth) AS n FROM chain GROUP BY 1) SELECT o_orderkey, start AS asked, current, {_s('start')} || ' was superseded by ' || {_s('current')} AS warning, n + 1 AS n_chain FROM orders JOIN c ON o_orderkey = start")
+@query("g09_query_warnings", f"{_CW}, c AS (SELECT start, arg_max(node, depth) AS current, max(depth) AS n FROM chain GROUP BY 1) SELECT o_orderkey, start AS asked, current, {_s('start')} || ' was superseded by ' || {_s('current')} AS warning, (n + 1)::BIGINT AS n_chain FROM orders JOIN c ON o_orderkey = start")
 def _(spark, sf):
     asked = corpus.table(spark, sf, "orders").select("o_orderkey", F.col("o_orderkey").alias("asked"))
-    return X.order_warnings(asked, G.chains(spark, _chain(spark, sf)), "o_orderkey", "asked")
+    return X.order_warnings(asked, G.chain_ends(spark, _chain(spark, sf)), "o_orderkey", "asked")
 
 
 @query("g09b_scheme_expansions", f"{_W}, n AS ({_ENTITIES}), i AS (SELECT DISTINCT source, target FROM edges WHERE relation_type = 'implements') SELECT c_custkey, 'NO ' || {_s('c_custkey % 60')} AS scheme, t.value AS expansion FROM customer JOIN n s ON s.entity_type = 'scheme' AND lower(s.value) = 'no ' || {_s('c_custkey % 60')} JOIN i ON i.source = s.entity_id JOIN n t ON t.entity_id = i.target")

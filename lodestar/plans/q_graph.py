@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..sources.scratch import shared_folder
 from . import corpus
 from .duck import lit
 
@@ -22,8 +23,8 @@ def query(name: str, sql: str | None = None):
 # A graph of order numbers from orders and customers: 90 nodes at any scale of edges.
 _EDGES = "SELECT CAST(n1 AS BIGINT) AS source, CAST(n2 AS BIGINT) AS target, CASE kind WHEN 0 THEN 'supersedes' WHEN 1 THEN 'amends' WHEN 2 THEN 'implements' WHEN 3 THEN 'references' ELSE 'mentions' END AS relation_type, CAST(0.5 + (chunk_id % 10) / 20.0 AS DOUBLE) AS confidence, chunk_id FROM chunks"
 # Sparse chains: each order supersedes an earlier one.
-_CHAIN = "SELECT CAST(o_orderkey AS BIGINT) AS source, CAST(floor(o_orderkey / 3) AS BIGINT) AS target, CAST(0.9 + (o_orderkey % 2) / 20.0 AS DOUBLE) AS confidence FROM orders WHERE o_orderkey % 7 <> 0"
-_NODES = "SELECT CAST(n1 AS BIGINT) AS entity_id, CASE WHEN n1 % 2 = 0 THEN 'government_order' ELSE 'legal_section' END AS entity_type, 'No ' || CAST(n1 AS STRING) AS value FROM chunks WHERE n1 <= 60 GROUP BY n1"
+_CHAIN = "SELECT CAST(o_orderkey AS BIGINT) AS source, CAST(floor(o_orderkey / 3) AS BIGINT) AS target, CAST(0.9 + (o_orderkey % 2) / 20.0 AS DOUBLE) AS confidence FROM orders"
+_NODES = "SELECT CAST(n1 AS BIGINT) AS entity_id, CASE WHEN n1 % 2 = 0 THEN 'government_order' ELSE 'legal_section' END AS entity_type, 'No ' || CAST(n1 AS STRING) AS value FROM chunks GROUP BY n1"
 
 
 def _edges(spark, sf):
@@ -102,7 +103,7 @@ def _(spark, sf):
     return G.closure(spark, _chain(spark, sf)).withColumn("confidence", F.round("confidence", 6))
 
 
-_CW = f"WITH RECURSIVE f AS (SELECT source, min(target) AS target FROM ({_CHAIN}) c GROUP BY 1), chain(start, node, depth) AS (SELECT source, target, 1 FROM f WHERE source <> target UNION ALL SELECT c.start, f.target, c.depth + 1 FROM chain c JOIN f ON c.node = f.source WHERE c.depth < 10 AND f.target <> c.node AND f.target <> c.start)"
+_CW = f"WITH RECURSIVE f AS (SELECT source, min(target) AS target FROM ({_CHAIN}) c GROUP BY 1), chain(start, node, depth) AS (SELECT source, target, 1 FROM f WHERE source <> target UNION ALL SELECT c.start, f.target, c.depth + 1 FROM chain c JOIN f ON c.node = f.source WHERE f.target <> c.node AND f.target <> c.start)"
 
 
 @query("g06_supersession_chains", f"{_CW} SELECT start, node, depth FROM chain")
@@ -110,9 +111,32 @@ def _(spark, sf):
     return G.chains(spark, _chain(spark, sf))
 
 
-@query("g07_current_order", f"{_CW} SELECT start, arg_max(node, depth) AS current, max(depth) AS length FROM chain GROUP BY 1")
+@query("g07_current_order", f"{_CW} SELECT start, arg_max(node, depth) AS current, max(depth)::BIGINT AS length FROM chain GROUP BY 1")
 def _(spark, sf):
-    return G.chain_ends(G.chains(spark, _chain(spark, sf)))
+    return G.chain_ends(spark, _chain(spark, sf))
+
+
+@query(
+    "g10_chain_both_ways",
+    f"{_CW}, bf AS (SELECT target AS source, min(source) AS target FROM ({_CHAIN}) c WHERE source <> target GROUP BY 1), bc(start, node, depth) AS (SELECT source, target, 1 FROM bf UNION ALL SELECT b.start, bf.target, b.depth + 1 FROM bc b JOIN bf ON b.node = bf.source), "
+    "o AS (SELECT start AS node, arg_max(node, depth) AS oldest, max(depth) AS n_older FROM chain GROUP BY 1), w AS (SELECT start AS node, arg_max(node, depth) AS newest, max(depth) AS n_newer FROM bc GROUP BY 1) "
+    "SELECT node, coalesce(oldest, node) AS oldest, coalesce(n_older, 0)::BIGINT AS n_older, coalesce(newest, node) AS newest, coalesce(n_newer, 0)::BIGINT AS n_newer FROM o FULL JOIN w USING (node)",
+)
+def _(spark, sf):
+    return G.chain_sides(spark, _chain(spark, sf))
+
+
+@query(
+    "g01b_closure_in_two_batches",
+    f"WITH RECURSIVE e AS (SELECT source, target, max(confidence) AS confidence FROM ({_CHAIN}) c WHERE source <> target GROUP BY 1, 2), walk(source, target, depth, confidence) AS (SELECT source, target, 1, confidence * 0.8 FROM e WHERE source <> target UNION ALL SELECT w.source, e.target, w.depth + 1, w.confidence * e.confidence * 0.8 FROM walk w JOIN e ON w.target = e.source WHERE w.depth < 10 AND e.target <> w.source AND w.confidence * e.confidence * 0.8 > 0.3) "
+    "SELECT source, target, depth, round(max(confidence), 6) AS confidence FROM walk WHERE confidence > 0.3 GROUP BY 1, 2, 3",
+)
+def _(spark, sf):
+    """The walks of half of the edges, then those of all of them from these: the same as of all at once."""
+    e = G.kept(_chain(spark, sf), shared_folder(spark, "edges"), "0")
+    late = F.col("source") % 2 == 1
+    old = e.where(~late)
+    return G.extend_walks(spark, G.walks(spark, old), old, e.where(late)).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("g05_expand_with_relationships", f"{_W}, r AS (SELECT source, target, confidence, row_number() OVER (PARTITION BY source ORDER BY confidence DESC, target) AS rank FROM (SELECT source, target, max(confidence) AS confidence FROM edges GROUP BY 1, 2) x WHERE confidence > 0.7) SELECT source, target, round(confidence, 6) AS confidence, rank FROM r WHERE rank <= 5")

@@ -144,7 +144,7 @@ def test_chains_hold_any_number_of_rows(spark, few_rows):
     edges = spark.createDataFrame([(s, t, 0.9) for s, t in target.items()], "source long, target long, confidence double")
     got = [tuple(r) for r in graph.chains(spark, edges).collect()]
     assert len(got) == len(set(got)) > 50 and set(got) == want
-    ends = {r.start: (r.current, r.length) for r in graph.chain_ends(graph.chains(spark, edges)).collect()}
+    ends = {r.start: (r.current, r.length) for r in graph.chain_ends(spark, edges).collect()}
     assert ends == {s: max(((n, d) for x, n, d in want if x == s), key=lambda p: p[1]) for s in {x for x, _, _ in want}}
 
 
@@ -160,3 +160,41 @@ def test_closure_holds_any_number_of_rows(spark, few_rows):
     df = spark.createDataFrame([(*k, c) for k, c in edges.items()], "source long, target long, confidence double")
     got = {(r.source, r.target): (r.depth, round(r.confidence, 9)) for r in graph.closure(spark, df).collect()}
     assert got == want and len(got) > 50
+
+
+def test_long_chains_and_cycles(spark):
+    """A chain of a thousand, walks into cycles of several sizes, random graphs: a walk stops before a node that it has seen."""
+    import random
+
+    rng = random.Random(6)
+    target = {i: i + 1 for i in range(1000)}  # ends at 1000
+    target |= {2000 + i: 2000 + (i + 1) % 7 for i in range(7)} | {2100: 2101, 2101: 2003, 2200: 2201, 2201: 2200, 2300: 2300}
+    target |= {3000 + i: 3000 + rng.randrange(300) for i in range(300)}
+    want, length = {}, 0
+    for start, first in target.items():
+        path = [start]
+        while target.get(path[-1], path[-1]) not in path:
+            path.append(target[path[-1]])
+        if first != start:
+            want[start] = (path[-1], len(path) - 1)
+            length += len(path) - 1
+    edges = spark.createDataFrame([(s, t, 0.9) for s, t in target.items()] + [(5, 900, 0.9)], "source long, target long, confidence double")
+    assert {r.start: (r.current, r.length) for r in graph.chain_ends(spark, edges).collect()} == want
+    assert want[0] == (1000, 1000) and graph.chains(spark, edges).count() == length
+    sides = {r.node: (r.oldest, r.n_older, r.newest, r.n_newer) for r in graph.chain_sides(spark, edges.where("source < 1000 AND (target <> 900 OR source = 899)")).collect()}
+    assert sides[0] == (1000, 1000, 0, 0) and sides[1000] == (1000, 0, 0, 1000) and sides[400] == (1000, 600, 0, 400)
+    none = spark.createDataFrame([], "source long, target long, confidence double")
+    assert graph.chain_ends(spark, none).count() == graph.chains(spark, none).count() == 0
+
+
+def test_two_batches_of_edges_are_one(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(rng.randrange(25), rng.randrange(25), rng.choice([0.5, 0.7, 0.9, 1.0, 1.2])) for _ in range(110)]
+    df = lambda r: spark.createDataFrame(r, "source long, target long, confidence double")
+    plain = lambda d: {(r.source, r.target, r.depth): round(r.confidence, 9) for r in d.collect()}
+    whole = plain(graph.walks(spark, df(rows)))
+    first = graph.kept(graph.walks(spark, df(rows[:70])), graph.shared_folder(spark, "test"), "first")
+    assert plain(graph.extend_walks(spark, first, df(rows[:70]), df(rows[70:]))) == whole and len(whole) > 500
+    assert plain(graph.extend_walks(spark, first, df(rows[:70]), df(rows[:20]))) == plain(first)  # nothing new
