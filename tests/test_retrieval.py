@@ -28,12 +28,12 @@ def docs(spark, texts):
 
 @pytest.fixture(scope="module")
 def index(docs, tmp_path_factory):
-    old = postings.CLASS_DOCS
-    postings.CLASS_DOCS = 40
+    old = postings.CHUNK_POSTINGS
+    postings.CHUNK_POSTINGS = 900
     try:
         return BlockMaxIndex.build(docs, f"file://{tmp_path_factory.mktemp('index')}/i")
     finally:
-        postings.CLASS_DOCS = old
+        postings.CHUNK_POSTINGS = old
 
 
 def plain_scores(docs, q):
