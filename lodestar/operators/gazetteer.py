@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..sources.scratch import shared_folder
+from .graph import kept
 
 #: Bits of the filter (4 MB), and words of a name at most.
 FILTER_BITS, MOST_WORDS = 1 << 25, 64
@@ -25,6 +27,14 @@ CONTEXT = 50
 _WORD = r"[\p{L}\p{N}_]+"
 
 
+#: Rows of a batch that a task emits.
+ROWS = 20_000
+
+
+def _batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
+
+
 def _hash(word: str) -> int:
     return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
@@ -84,8 +94,9 @@ def occurrences(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -
         has = lambda at: bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) == 1
         for b in batches:
             out = []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                spans = [m.span() for m in find(text or "")]
+            for key, value in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                text = value.as_py() or ""
+                spans = [m.span() for m in find(text)]
                 ws = [text[s:e].lower() for s, e in spans]
                 if len(known) > KNOWN_WORDS:
                     known.clear()
@@ -99,7 +110,10 @@ def occurrences(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -
                         for i in np.flatnonzero(has(one) & has(two)).tolist():
                             s, e = spans[i][0], spans[i + n - 1][1]
                             out.append((key, " ".join(ws[i : i + n]), i, n, s, e, text[max(0, s - CONTEXT) : e + CONTEXT].strip()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 7, schema, strict=True)], schema=schema)
+                            if len(out) == ROWS:
+                                yield _batch(out, schema)
+                                out = []
+            yield _batch(out, schema)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -113,22 +127,25 @@ def match_names(docs: DataFrame, names: DataFrame, id_col: str = "doc_id", text_
     """(id, kind, value, confidence, word, n, start, end, context): of every kind, from left to right the longest name that begins first; none overlap.
 
     ``names`` has kind, name, canonical (null: the name itself) and confidence, an alias being a row with its canonical name.
-    Null texts have no names; a document of no entry gives no row; ids are unique.
+    The names are stored once in the shared folder. Null texts have no names; a document of no entry gives no row; ids are unique.
     """
-    named = entries(names)
+    named = kept(entries(names), shared_folder(docs.sparkSession, "names"), "0")
     hits = occurrences(docs, named, id_col, text_col).join(named.select("kind", "key", "value", "confidence"), "key")
     per = hits.groupBy(id_col, "kind").agg(F.sort_array(F.collect_list(F.struct("word", (-F.col("n")).alias("m"), "value", "confidence", "start", "end", "context"))).alias("h"))
 
     def choose(batches):
         for b in batches:
             out = []
-            for key, kind, found in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for key, kind, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 end = -1
-                for x in found:
+                for x in found.as_py():
                     if x["word"] >= end:
                         end = x["word"] - x["m"]
                         out.append((key, kind, x["value"], x["confidence"], x["word"], -x["m"], x["start"], x["end"], x["context"]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 9, schema, strict=True)], schema=schema)
+                        if len(out) == ROWS:
+                            yield _batch(out, schema)
+                            out = []
+            yield _batch(out, schema)
 
     from pyspark.sql.pandas.types import to_arrow_type
 

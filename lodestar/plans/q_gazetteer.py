@@ -36,7 +36,8 @@ f AS (SELECT doc_id, kind, value, confidence, word, n FROM b JOIN pick USING (do
 
 def _names(docs):
     n = F.expr("2 + doc_id % 3").cast("int")
-    w = docs.select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= n)
+    first = F.regexp_extract(F.lower(F.coalesce("text", F.lit(""))), r"^(?:[^\p{L}\p{N}_]*[\p{L}\p{N}_]+){1,4}", 0)
+    w = docs.select("doc_id", words(first).alias("w")).where(F.size("w") >= n)
     kind = F.when(F.col("doc_id") % 3 == 0, "scheme").when(F.col("doc_id") % 3 == 1, "metric").otherwise("district")
     alias = F.col("doc_id") % 4 == 3
     canonical = F.when(alias, F.concat(F.lit("name "), F.col("doc_id").cast("string")))
