@@ -79,8 +79,8 @@ def _filter(named: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def occurrences(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, word, n, start, end, context): every sequence of words that is an entry; word and characters count from 0."""
+def occurrences(docs: DataFrame, named: DataFrame, id_col: str, text_col: str, context: bool = False) -> DataFrame:
+    """(id, key, word, n, start, end[, context]): every sequence of words that is an entry; word and characters count from 0."""
     spark = docs.sparkSession
     lengths = sorted(r["n"] for r in named.select("n").distinct().collect())  # MOST_WORDS numbers at most
     shared = spark.sparkContext.broadcast((lengths, _filter(named)))
@@ -109,7 +109,7 @@ def occurrences(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -
                         one, two = _bits(_sequence(h, n), 64 * len(bits))
                         for i in np.flatnonzero(has(one) & has(two)).tolist():
                             s, e = spans[i][0], spans[i + n - 1][1]
-                            out.append((key, " ".join(ws[i : i + n]), i, n, s, e, text[max(0, s - CONTEXT) : e + CONTEXT].strip()))
+                            out.append((key, " ".join(ws[i : i + n]), i, n, s, e, *((text[max(0, s - CONTEXT) : e + CONTEXT].strip(),) if context else ())))
                             if len(out) == ROWS:
                                 yield _batch(out, schema)
                                 out = []
@@ -118,20 +118,20 @@ def occurrences(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = d.schema[id_col].dataType
-    schema = pa.schema([(id_col, to_arrow_type(kind)), ("key", pa.string()), ("word", pa.int64()), ("n", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("context", pa.string())])
-    maybe = d.mapInArrow(run, f"{id_col} {kind.simpleString()}, key string, word long, n int, start long, end long, context string")
+    schema = pa.schema([(id_col, to_arrow_type(kind)), ("key", pa.string()), ("word", pa.int64()), ("n", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), *([("context", pa.string())] if context else [])])
+    maybe = d.mapInArrow(run, f"{id_col} {kind.simpleString()}, key string, word long, n int, start long, end long" + ", context string" * context)
     return maybe.join(named.select("key").distinct(), "key", "left_semi")
 
 
-def match_names(docs: DataFrame, names: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, kind, value, confidence, word, n, start, end, context): of every kind, from left to right the longest name that begins first; none overlap.
+def match_names(docs: DataFrame, names: DataFrame, id_col: str = "doc_id", text_col: str = "text", context: bool = False) -> DataFrame:
+    """(id, kind, value, confidence, word, n, start, end, and with ``context`` the characters around it): of every kind, from left to right the longest name that begins first; none overlap.
 
     ``names`` has kind, name, canonical (null: the name itself) and confidence, an alias being a row with its canonical name.
     The names are stored once in the shared folder. Null texts have no names; a document of no entry gives no row; ids are unique.
     """
     named = kept(entries(names), shared_folder(docs.sparkSession, "names"), "0")
-    hits = occurrences(docs, named, id_col, text_col).join(named.select("kind", "key", "value", "confidence"), "key")
-    per = hits.groupBy(id_col, "kind").agg(F.sort_array(F.collect_list(F.struct("word", (-F.col("n")).alias("m"), "value", "confidence", "start", "end", "context"))).alias("h"))
+    hits = occurrences(docs, named, id_col, text_col, context).join(named.select("kind", "key", "value", "confidence"), "key")
+    per = hits.groupBy(id_col, "kind").agg(F.sort_array(F.collect_list(F.struct("word", (-F.col("n")).alias("m"), "value", "confidence", "start", "end", *["context"] * context))).alias("h"))
 
     def choose(batches):
         for b in batches:
@@ -141,7 +141,7 @@ def match_names(docs: DataFrame, names: DataFrame, id_col: str = "doc_id", text_
                 for x in found.as_py():
                     if x["word"] >= end:
                         end = x["word"] - x["m"]
-                        out.append((key, kind, x["value"], x["confidence"], x["word"], -x["m"], x["start"], x["end"], x["context"]))
+                        out.append((key, kind, x["value"], x["confidence"], x["word"], -x["m"], x["start"], x["end"], *((x["context"],) if context else ())))
                         if len(out) == ROWS:
                             yield _batch(out, schema)
                             out = []
@@ -150,8 +150,8 @@ def match_names(docs: DataFrame, names: DataFrame, id_col: str = "doc_id", text_
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = docs.schema[id_col].dataType
-    schema = pa.schema([(id_col, to_arrow_type(kind)), ("kind", pa.string()), ("value", pa.string()), ("confidence", pa.float64()), ("word", pa.int64()), ("n", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("context", pa.string())])
-    return per.mapInArrow(choose, f"{id_col} {kind.simpleString()}, kind string, value string, confidence double, word long, n int, start long, end long, context string")
+    schema = pa.schema([(id_col, to_arrow_type(kind)), ("kind", pa.string()), ("value", pa.string()), ("confidence", pa.float64()), ("word", pa.int64()), ("n", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), *([("context", pa.string())] if context else [])])
+    return per.mapInArrow(choose, f"{id_col} {kind.simpleString()}, kind string, value string, confidence double, word long, n int, start long, end long" + ", context string" * context)
 
 
 def in_sequence(found: DataFrame, id_col: str) -> DataFrame:

@@ -76,7 +76,7 @@ def test_names_in_texts(spark, monkeypatch, bits):
     names += [("many", f"board {i} of", f"c{i}", 0.85) for i in range(3000)]
     texts = [" ".join(rng.choice(vocabulary) + rng.choice(["", ",", "  -", "\n"]) for _ in range(rng.randrange(0, 60))).replace("school", "School") for _ in range(120)] + [None, "", "Board 17 OF boards", "x" * 40 + " amma vodi scheme" * 3]
     docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    got = sorted((r.id, r.kind, r.value, r.confidence, r.word, r.start, r.end, r.context) for r in gazetteer.match_names(docs, spark.createDataFrame(names, "kind string, name string, canonical string, confidence double"), "id").collect())
+    got = sorted((r.id, r.kind, r.value, r.confidence, r.word, r.start, r.end, r.context) for r in gazetteer.match_names(docs, spark.createDataFrame(names, "kind string, name string, canonical string, confidence double"), "id", context=True).collect())
     known: dict = {}
     for kind, name, canonical, confidence in names:
         w = tuple(re.findall(r"\w+", name.lower()))
