@@ -96,6 +96,8 @@ def closest(names: DataFrame, dictionary: DataFrame, threshold: int = THRESHOLD)
     n = with_keys(names.select("kind", "name").distinct())
     e = with_keys(dictionary.select("kind", "name").distinct()).withColumnRenamed("name", "match")
     pairs = n.join(e, ["kind", "key"]).select("kind", "name", "match").distinct()
+    # Pairs are small rows and much work: a fixed number of partitions, which adaptive execution leaves as it is.
+    pairs = pairs.repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), "kind", "name")
     near = pairs.withColumn("score", F.pandas_udf(scores, "int")("kind", "name", "match")).where(F.col("score") >= threshold)
     best = F.row_number().over(Window.partitionBy("kind", "name").orderBy(F.desc("score"), "match"))
     return near.withColumn("_rn", best).where("_rn = 1").select("kind", "name", "match", "score")
