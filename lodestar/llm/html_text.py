@@ -249,14 +249,32 @@ def _score(root: Node) -> list[Node]:
     return [x for x in order if block[id(x)] is x]
 
 
+#: What stands between the links of a bar of links; other characters make it prose.
+_BAR = frozenset(" \t\n\r\f\v\u00a0|/\u00b7\u2022\u203a\u00bb>-\u2013")
+
+
+def _is_bar(x: Node) -> bool:
+    """Whether nothing but separators stands outside the links."""
+    stack: list = [x]
+    while stack:
+        c = stack.pop()
+        if isinstance(c, str):
+            if not _BAR.issuperset(c):
+                return False
+        elif c.tag != "a":
+            stack.extend(c.children)
+    return True
+
+
 def _drop_link_lists(article: Node) -> None:
-    """Blocks inside the article with three links or more that are nearly all of their text."""
+    """Blocks inside the article that are nearly all links: lists of any length, other blocks of three links or more, paragraphs and the like only if they are bars."""
     stack = [c for c in article.children if not isinstance(c, str)]
     while stack:
         x = stack.pop()
         if x.noise:
             continue
-        if x.tag in BLOCK and x.tag not in HEADING and x.links >= 3 and x.link_chars >= 0.8 * x.chars:
+        few = 1 if x.tag in ("ul", "ol") else 3
+        if x.tag in BLOCK and x.tag not in HEADING and x.links >= few and x.link_chars >= 0.8 * x.chars and (x.tag not in _LEAVES or _is_bar(x)):
             x.noise = True
         else:
             stack.extend(c for c in x.children if not isinstance(c, str))

@@ -473,6 +473,16 @@ def test_links_inside_an_article_are_left_out():
         assert "Link number" not in got and got.startswith("Paragraph 0") and (box == "div" or got.endswith("of what was said before."))
 
 
+def test_prose_of_links_stays_and_short_link_lists_go():
+    prose = "".join(f"<p>Paragraph {i} of prose, with commas, long enough to score well.</p>" for i in range(4))
+    get = lambda middle: html_text.main_text(f"<body><article>{prose}{middle}{prose}</article></body>").split("\n")
+    plain = get("")
+    assert get("<p><a>Term 0</a>, <a>Term 1</a>, <a>Term 2</a>, <a>Term 3</a></p>") == [*plain[:4], "Term 0, Term 1, Term 2, Term 3", *plain[4:]]
+    assert get("<p><a>Home</a> | <a>About</a> | <a>Contact</a></p>") == plain
+    assert get("<ul><li><a>One</a></li><li><a>Two</a></li></ul>") == plain
+    assert get("<ul><li>Plain item, <a>linked</a></li></ul>") == [*plain[:4], "Plain item, linked", *plain[4:]]
+
+
 def slow_scores(root):
     """Points and lengths by the definition: every block climbs to the root."""
     points, chars, links = Counter(), Counter(), Counter()
