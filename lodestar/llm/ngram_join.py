@@ -11,8 +11,10 @@ least 0.8. The steps:
    a bucket whose members are all linked to one centre is done. In others the members that surely
    reach ``LOOSE`` + 1 - threshold are done, and the rest go on to a next turn with four times as many centres. No
    pair gets lost: shingle distance is a metric, so whatever is near a member that is done is itself linked to the same centre.
-3. Connected components of the star edges are the regions inside which links can lie. A region is
-   cut into blocks of bounded size; every pair of blocks is one task unit.
+3. Connected components of the star edges are the regions inside which links can lie. A region is a group, or
+   its buckets are, whichever sends fewer rows: buckets where few classes of a region share keys, as texts around one
+   passage that are else unlike, the region where most do, as copies. Of buckets, only that of the first key which a pair
+   shares compares it. A group is cut into blocks of bounded size; every pair of blocks is one task unit.
 4. A unit gets stored sketches alone. MinHash values are compared a few at a time; a pair is dropped as soon as
    the posterior probability that its similarity reaches the threshold falls below ``TOLERANCE`` (uniform
    prior). Only classes that keep a partner in the unit send their text there, and the pairs that are left
@@ -242,13 +244,14 @@ class _Forest:
 class Unit:
     """The rows of one pair of blocks, in the order of their ids, and the pairs that their sketches leave open."""
 
-    def __init__(self, rows: list[tuple], crossed: bool, threshold: float):
-        """rows: (class id, size, side, shingles, sketch, ...); ``side`` tells the two blocks apart."""
+    def __init__(self, rows: list[tuple], crossed: bool, threshold: float, band: int = -1):
+        """rows: (class id, size, side, shingles, sketch, keys, ...); ``side`` tells the two blocks apart; ``band`` is that of a bucket's key."""
         rows.sort(key=lambda r: (r[2], r[0], r[4]))
-        self.rows, self.threshold = rows, threshold
+        self.rows, self.threshold, self.band = rows, threshold, band
         self.ids = [r[0] for r in rows]
         self.length = np.array([r[3] for r in rows])
         self.sketch = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+        self.keys = np.array([r[5] for r in rows], np.int64) if band >= 0 else None
         self.split = sum(r[2] == rows[0][2] for r in rows) if crossed else None
 
     def open(self):
@@ -257,6 +260,9 @@ class Unit:
         for i in range(n if self.split is None else self.split):
             j = np.arange(i + 1 if self.split is None else self.split, n)
             j = j[np.minimum(length[j], length[i]) >= t * np.maximum(length[j], length[i]) - 1e-9]
+            if self.band >= 0 and len(j):
+                shared = self.keys[j, : self.band + 1] == self.keys[i, : self.band + 1]
+                j = j[shared[:, -1] & ~shared[:, :-1].any(1)]
             got = np.zeros(len(j), np.int32)
             for lo in range(0, HASHES, STEP):
                 if not len(j):
@@ -302,17 +308,20 @@ class Unit:
         return counts, forest
 
 
+UNIT = ["grp", "band", "lo", "hi"]
+
+
 def _by_unit(columns: list[str], done):
-    """A function for mapInArrow over rows sorted by region, lo, hi; ``done(unit, rows)`` gives a unit's batch or None."""
+    """A function for mapInArrow over rows sorted by UNIT; ``done(unit, rows)`` gives a unit's batch or None."""
 
     def run(batches):
         unit, held = None, []
         for batch in batches:
-            for region, lo, hi, *row in zip(*(batch.column(c).to_pylist() for c in ["region", "lo", "hi", *columns]), strict=True):
-                if unit != (region, lo, hi):
+            for grp, band, lo, hi, *row in zip(*(batch.column(c).to_pylist() for c in [*UNIT, *columns]), strict=True):
+                if unit != (grp, band, lo, hi):
                     if held and (out := done(unit, held)):
                         yield out
-                    unit, held = (region, lo, hi), []
+                    unit, held = (grp, band, lo, hi), []
                 held.append(tuple(row))
         if held and (out := done(unit, held)):
             yield out
@@ -323,34 +332,59 @@ def _by_unit(columns: list[str], done):
 def _dealt(rows: DataFrame, count: int) -> DataFrame:
     """Rows by unit: tasks in proportion to their ``count``, so that none holds more than a few units beyond the mean."""
     n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), count // UNIT_ROWS)
-    return rows.repartition(n, "region", "lo", "hi").sortWithinPartitions("region", "lo", "hi")
+    return rows.repartition(n, *UNIT).sortWithinPartitions(*UNIT)
+
+
+def groups_of(reps: DataFrame, regions: DataFrame) -> DataFrame:
+    """(class_id, size, grp, band, blocks, tie, shingles, sketch, keys): a class with every group that it is compared in.
+
+    A region's own rows meet ``blocks`` units each. A region of several blocks gives way to its buckets
+    if these send fewer rows; ``band`` is -1 and ``keys`` null for a region. Classes of different regions have no link, so a
+    bucket is one of a region.
+    """
+    blocks = F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")
+    width = regions.groupBy("region").agg(blocks, F.count("*").alias("n"))
+    large = regions.join(width.where("blocks > 1").select("region"), "region", "left_semi")
+    keyed = large.join(reps.select("class_id", "keys"), "class_id").select("region", "class_id", F.posexplode("keys").alias("band", "key")).distinct()
+    bucket = materialize(keyed.groupBy("region", "band", "key").agg(blocks, F.count("*").alias("n")).where("n > 1"), "buckets")
+    split = bucket.groupBy("region").agg(F.sum(F.col("n") * F.col("blocks")).alias("rows")).join(width, "region").where(F.col("rows") < F.col("n") * F.col("blocks")).select("region")
+    # A large region without any shared key has no unit at all.
+    split = materialize(split.unionByName(width.where("blocks > 1").select("region").join(bucket.select("region"), "region", "left_anti")), "split")
+    whole = regions.join(width.drop("n"), "region").join(split, "region", "left_anti").select("class_id", "size", F.col("region").alias("grp"), F.lit(-1).alias("band"), "blocks")
+    parts = keyed.join(split, "region", "left_semi").join(bucket.drop("n"), ["region", "band", "key"]).join(regions.select("class_id", "size"), "class_id")
+    parts = parts.select("class_id", "size", F.xxhash64("region", "key").alias("grp"), "band", "blocks")
+    return whole.unionByName(parts).join(reps.select("class_id", "tie", "shingles", "sketch", "keys"), "class_id").withColumn("keys", F.when(F.col("band") >= 0, F.col("keys")))
+
+
+def unit_rows(placed: DataFrame) -> DataFrame:
+    """The rows of the units: each class once for every block of its groups."""
+    own = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
+    spread = placed.withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return spread.select("grp", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "class_id", "size", "own", "shingles", "sketch", "keys", "tie")
 
 
 def links(docs: DataFrame, reps: DataFrame, regions: DataFrame, threshold: float, n: int) -> DataFrame:
     """Rows (a, b, n_texts, n_docs): a forest edge where b is not null, else the counts of class a found in one unit.
 
-    docs: doc_id, text; reps: class_id, tie, shingles, sketch; regions: class_id, region, size.
+    docs: doc_id, text; reps: class_id, tie, shingles, sketch, keys; regions: class_id, region, size.
     """
     spark = docs.sparkSession
-    width = regions.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
-    placed = materialize(regions.join(width, "region").withColumn("own", own).join(reps.select("class_id", "tie", "shingles", "sketch"), "class_id"), "placed")
-    spread = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    spread = spread.select("region", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "class_id", "size", "own", "shingles", "sketch", "tie")
-    names = ["region", "lo", "hi", "class_id", "size", "own", "shingles", "sketch", "tie"]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64()]
+    placed = materialize(groups_of(reps, regions), "placed")
+    spread = unit_rows(placed)
+    names = [*UNIT, "class_id", "size", "own", "shingles", "sketch", "keys", "tie"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64()]
 
     def prune(unit, rows):
-        u = Unit(rows, unit[1] != unit[2], threshold)
+        u = Unit(rows, unit[2] != unit[3], threshold, unit[1])
         left = [(*unit, *u.rows[i]) for i in u.survivors()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*left, strict=True), kinds, strict=True)], names=names) if left else None
 
-    open_rows = _dealt(spread, spread.count()).mapInArrow(_by_unit(names[3:], prune), "region long, lo int, hi int, class_id long, size long, own int, shingles long, sketch binary, tie long")
+    open_rows = _dealt(spread, spread.count()).mapInArrow(_by_unit(names[4:], prune), "grp long, band int, lo int, hi int, class_id long, size long, own int, shingles long, sketch binary, keys array<long>, tie long")
     open_rows = materialize(open_rows, "open")
     remove(spark, placed)
 
     def verify(unit, rows):
-        u = Unit(rows, unit[1] != unit[2], threshold)
+        u = Unit(rows, unit[2] != unit[3], threshold, unit[1])
         counts, forest = u.links(shingle_sets([r[-1] for r in u.rows], n))
         a, b, c, d = [], [], [], []
         for x, (texts_, docs_) in counts.items():
@@ -365,7 +399,7 @@ def links(docs: DataFrame, reps: DataFrame, regions: DataFrame, threshold: float
     text = docs.select(F.col("doc_id").cast("long").alias("class_id"), F.xxhash64("text").alias("tie"), "text").join(needed, ["class_id", "tie"], "left_semi").dropDuplicates(["class_id", "tie"])
     text = materialize(text, "texts")
     rows = open_rows.join(text, ["class_id", "tie"]).select(*names[:-1], "text")
-    found = materialize(_dealt(rows, open_rows.count()).mapInArrow(_by_unit([*names[3:-1], "text"], verify), "a long, b long, n_texts long, n_docs long"), "links")
+    found = materialize(_dealt(rows, open_rows.count()).mapInArrow(_by_unit([*names[4:-1], "text"], verify), "a long, b long, n_texts long, n_docs long"), "links")
     for x in (open_rows, needed, text):
         remove(spark, x)
     return found

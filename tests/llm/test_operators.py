@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import sys
 import zlib
 from array import array
 from collections import Counter, defaultdict
@@ -182,6 +183,19 @@ def test_separators_cut_between_items():
     assert b"abab" in hot and len(hot[b"abab"]) > 2
 
 
+def test_splitters_are_bounded_in_bytes(spark):
+    """Cuts of 440 bytes, as texts with a long common beginning give, count as what they take."""
+    rows = [(b"x" * 400 + str(t).encode() + b"-" + str(i).encode(), b"p" * 32, i) for t in range(8) for i in range(200)]
+    cuts = spark.createDataFrame(rows, "seg binary, payload binary, at long")
+    assert suffix_dedup.thinned(cuts, 10**9).count() == 1600
+    taken = lambda got: sum(sys.getsizeof(bytes(r.seg)) + sys.getsizeof(bytes(r.payload)) + sys.getsizeof((1, 2)) + 8 for r in got)
+    for most in (500_000, 100_000, 6_000, 1_500):
+        got = suffix_dedup.thinned(cuts, most).collect()
+        assert 0 < len(got) and taken(got) <= most
+    assert suffix_dedup.thinned(cuts, 10).count() == 0
+    assert suffix_dedup.thinned(cuts.limit(0), 10).count() == 0
+
+
 def test_suffix_dedup_text_and_empty(spark, none):
     assert suffix_dedup.remove_repeats(none).count() == 0
     assert suffix_dedup.drop_repeats(none).count() == 0
@@ -280,6 +294,40 @@ def test_ngram_join_around_a_hot_centre(spark, monkeypatch, share):
     assert got == brute_groups(rows)
 
 
+def test_ngram_join_of_texts_around_one_passage(spark):
+    """Texts that share a passage and have no link become buckets, not one region of all pairs; links among them are found once."""
+    rnd = random.Random(11)
+    word = lambda: f"w{rnd.randrange(10**7)}"
+    passage = [word() for _ in range(130)]
+    rows = [(i, " ".join(passage + [word() for _ in range(70)])) for i in range(1500)]
+    for k in range(40):  # partners of forty of them, at nine words from the end
+        t = rows[k * 30][1].split()
+        rows.append((1500 + k, " ".join(t[:-9] + [word() for _ in range(9)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sk = common.materialize(ngram_join.sketches(df), "sketches")
+    reps = sk.withColumnRenamed("doc_id", "class_id")
+    linked = components(ngram_join.star_edges(reps), "regions")
+    regions = linked.select(F.col("node").alias("class_id"), F.col("component").alias("region"), F.lit(1).cast("long").alias("size"))
+    largest = regions.groupBy("region").count().agg(F.max("count")).first()[0]
+    assert largest > 1000  # one region, as the bounds of the stars are loose
+    units = common.materialize(ngram_join.unit_rows(ngram_join.groups_of(reps, regions)), "units")
+    assert units.groupBy(*ngram_join.UNIT).count().agg(F.max("count")).first()[0] < 300
+    assert units.where("band < 0 and lo <> hi").isEmpty() and units.count() < largest * -(-largest // ngram_join.BLOCK)
+    sides = defaultdict(list)
+    for r in units.groupBy(*ngram_join.UNIT, "own").count().collect():
+        sides[r.grp, r.band, r.lo, r.hi].append(r["count"])
+    compared = sum((n[0] * n[1] if len(n) == 2 else 0) if u[2] != u[3] else n[0] * (n[0] - 1) // 2 for u, n in sides.items())
+    keys = reps.select(F.explode("keys").alias("key")).groupBy("key").count().select(F.sum(F.expr("count * (count - 1) div 2"))).first()[0]
+    assert compared <= keys and compared < largest * (largest - 1) // 4  # no more than the classes share keys
+    got = {r.doc_id: (r.class_id, r.copy_id, r.n_links) for r in ngram_join.near_duplicates(df).collect()}
+    sets = {i: set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for i, t in rows}
+    for i in sets:
+        own = [(i - 1500) * 30] if i >= 1500 else [1500 + i // 30] if i % 30 == 0 and i < 1200 else []
+        n = sum(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in own)
+        assert n == len(own)
+        assert got[i] == (min([i, *own]), i, n)
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(60) if i % 20] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)]
