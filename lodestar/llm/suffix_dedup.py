@@ -49,7 +49,8 @@ SEGMENT = 1 << 18  # windows that are hashed at a time
 PERIOD = 64
 RANGE_BYTES = 24 << 20  # of segments in a range of the sort
 SAMPLE = 32  # segments a range from which splitters are taken
-SPLITTER_BYTES = 128 << 20  # of splitters, which are broadcast; beyond it ranges are larger
+SPLITTER_BYTES = 128 << 20  # of splitters as a worker holds them, which are broadcast; beyond it ranges are larger
+SPLITTER_COST = 200  # bytes of a splitter beside its strings: two objects, a tuple, its place in the list and in the index of hot ones
 RUN_BYTES = 16 << 20  # of segments that a task sorts at a time
 MOST_TASKS = 20_000  # of the merge; a task merges several ranges one after the other
 MOST_VARIANTS = 4096  # of a gram that one task compares
@@ -549,20 +550,35 @@ def _splitters(keyed: DataFrame, alive: DataFrame, length: int, range_bytes: int
     cut = materialize(cut, "sample")
     taken = cut.count()
     every = max(1, taken // ranges)
-    room = SPLITTER_BYTES // 16  # of a splitter, at 16 bytes each beside a few hot ones
 
     def run(batches):
         items = [(seg, _payload(did, tie, lo)) for b in batches for did, tie, lo, seg in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-        got = separators(sorted(items), max(every, -(-every * ranges // room)))
-        yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.binary()) for i in range(2)], names=["seg", "payload"])
+        got = separators(sorted(items), every)
+        yield pa.RecordBatch.from_arrays([*(pa.array([g[i] for g in got], pa.binary()) for i in range(2)), pa.array(range(len(got)), pa.int64())], names=["seg", "payload", "at"])
 
     spark = keyed.sparkSession
     tasks = max(1, min(MOST_TASKS, taken // 20_000))
-    got = cut.repartitionByRange(tasks, "seg", "did", "tie", "lo").mapInArrow(run, "seg binary, payload binary").collect()
+    cuts = materialize(cut.repartitionByRange(tasks, "seg", "did", "tie", "lo").mapInArrow(run, "seg binary, payload binary, at long"), "cuts")
     remove(spark, cut)
+    got = thinned(cuts, SPLITTER_BYTES).collect()
+    remove(spark, cuts)
     return sorted({(bytes(r["seg"]), bytes(r["payload"])) for r in got})
 
 
+def thinned(cuts: DataFrame, most: int) -> DataFrame:
+    """(seg, payload): every cut, or of each task's every second, fourth, ... until what they take in memory is within ``most`` bytes.
+
+    cuts: seg, payload, at (the number of a cut in its task). Ranges only become larger; if one cut a
+    task is still too much, tasks are thinned by a hash.
+    """
+    size = F.length("seg") + F.length("payload") + SPLITTER_COST
+    by_place = [F.col("at") % (1 << i) == 0 for i in range(40)]
+    by_task = [by_place[-1] & (F.pmod(F.xxhash64("seg", "payload"), F.lit(1 << i)) == 0) for i in range(1, 40)]
+    steps = [*by_place, *by_task]
+    sums = cuts.agg(*[F.coalesce(F.sum(F.when(s, size)), F.lit(0)) for s in steps]).first()
+    return cuts.where(next((s for s, total in zip(steps, sums, strict=True) if total <= most), F.lit(False))).select("seg", "payload")
+
+
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for lo, hi in sorted(spans):
