@@ -1,7 +1,7 @@
 """Filters, relevance and graph lookups of the specialised agents, and upkeep of a table of topics.
 
 A topic table has topic, name, keywords, schemes, metrics, districts, patterns, related (arrays of strings; patterns are
-regular expressions). It is a reference table: ``topic_matches`` broadcasts it only below ``MOST_TOPICS`` rows.
+regular expressions). It is a reference table: ``topic_scores`` broadcasts it only up to ``MOST_TOPICS`` rows.
 """
 
 from __future__ import annotations
