@@ -101,6 +101,37 @@ def test_batch_top_k_is_that_of_single_queries(spark, docs, index, tmp_path):
     assert got == {i: x for i, x in want.items() if x}
 
 
+def test_batch_top_k_over_several_shards_moves_no_more_than_k_of_each(spark, docs, index, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "SHARD_POSTINGS", 2000)
+    monkeypatch.setattr(postings, "ASKED", 7)
+    asked = ["two ONE", "w1 w2 w3", "w399 w0 w0", "filler3 two", "w0", "w5 w6 w0 w1 w2"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "qid long, text string")
+    n = iter(range(99))
+    keep = lambda df, name: kept(df, f"file://{tmp_path}", f"{next(n)}")
+    found = index.top_batch(index.query_terms(queries, 10), 5, keep)
+    got: dict = {}
+    for r in found.orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append(r.doc_id)
+    assert got == {i: [d for d, _ in best(plain_scores(docs, q), 5)] for i, q in enumerate(asked)}
+    assert next(n) == 1  # the terms are kept, bounds of queries and blocks are not
+
+
+def test_queries_share_the_search_of_an_expansion(spark, index, tmp_path):
+    terms = spark.createDataFrame([(i, "w3", 1, 1.0) for i in range(40)], "qid long, term string, df long, weight double")
+    extra = spark.createDataFrame([(i, "w5" if i % 2 else "w6", 0.9, 1) for i in range(40)], "qid long, expansion string, confidence double, no int")
+    rows = {}
+    n = iter(range(99))
+
+    def keep(df, name):
+        out = kept(df, f"file://{tmp_path}", f"{next(n)}")
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    found = batch.candidates(index, terms, extra, batch.Plan(), keep)
+    assert found.where("src = 1").select("qid").distinct().count() == 40
+    assert rows["asked"] == [40, 2]
+
+
 def test_query_terms_are_the_rarest(spark, index):
     q = spark.createDataFrame([(1, "w0 w0 two filler3 nothere one")], "qid long, text string")
     got = {r.term: r.weight for r in index.query_terms(q, 3).collect()}
