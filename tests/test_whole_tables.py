@@ -198,3 +198,33 @@ def test_two_batches_of_edges_are_one(spark):
     first = graph.kept(graph.walks(spark, df(rows[:70])), graph.shared_folder(spark, "test"), "first")
     assert plain(graph.extend_walks(spark, first, df(rows[:70]), df(rows[70:]))) == whole and len(whole) > 500
     assert plain(graph.extend_walks(spark, first, df(rows[:70]), df(rows[:20]))) == plain(first)  # nothing new
+
+
+def test_tasks_on_order_texts_grow_with_the_files(spark, orders, monkeypatch):
+    path, rows = orders
+    size = corpus.file_bytes(corpus.table(spark, path, "orders"))
+    monkeypatch.setattr(corpus, "TASK_BYTES", size // 19)
+    c = corpus.chunks(spark, path)
+    assert c.rdd.getNumPartitions() >= 19 and c.count() == len(rows)
+
+
+def test_shingles_are_not_broadcast(spark, orders):
+    """A table that looks small by its files is joined by exchanges, the sets being made after them."""
+    j = core.queries()["u05_jaccard"](spark, orders[0])
+    assert "Broadcast" not in j._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plain_search_before_a_pattern_loses_no_match(spark):
+    from lodestar.functions import classify as C
+    from lodestar.functions import extract as E
+    from lodestar.operators import evidence as V
+
+    patterns = [p for groups in C.TYPE_PATTERNS.values() for g in groups for p in g] + [p for ps in E.SIMPLE.values() for p in ps] + [p for _, p in V.RELATIONSHIPS] + [r[2] for r in (*V.ENTITIES, *V.RELATIONS, *E.RELATIONS)]
+    rows = [r.text for r in corpus.chunks(spark, "/root/testdata/sf0.001").select("text").collect()]
+    rows += [t.upper() for t in rows[:200]] + [t.lower() for t in rows[:200]]
+    assert sum(bool(T.needed(p)) for p in patterns) > len(patterns) * 0.8
+    for p in patterns:
+        for t in rows:
+            if T.needed(p) and not any(x in t.lower() for x in T.needed(p)):
+                assert not re.search(p, t), (p, t)
+    assert T.needed(r"(?i)\\b(?:crores?|lakhs?)\\b".replace("\\\\", "\\")) == ("crore", "lakh") and T.needed(r"\d+") == ()
