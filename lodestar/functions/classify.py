@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import may_match
+
 # Type -> (structure, language, title patterns), matched without case.
 TYPE_PATTERNS = {
     "act": (
@@ -83,7 +85,7 @@ def with_lower(df: DataFrame, text: str, title: str) -> DataFrame:
 def type_scores(full: Column, head: Column) -> dict[str, Column]:
     """Raw score of every type, from lower-case columns: matches in title and text weigh 2 and 1.5, in the title 3."""
     return {
-        kind: reduce(lambda a, b: a + b, [F.regexp_count(src, F.lit(p)) * w for patterns, src, w in zip(groups, (full, full, head), WEIGHTS, strict=True) for p in patterns])
+        kind: reduce(lambda a, b: a + b, [F.when(~may_match(src, p), 0).otherwise(F.regexp_count(src, F.lit(p))) * w for patterns, src, w in zip(groups, (full, full, head), WEIGHTS, strict=True) for p in patterns])
         for kind, groups in TYPE_PATTERNS.items()
     }
 
