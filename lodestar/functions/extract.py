@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .dictionaries import DISTRICTS, EDUCATION_LEVELS, SCHEMES, SCHOOL_TYPES, SOCIAL_CATEGORIES, any_of
+from .text import may_match
 
 # Patterns by kind. Whole matches are kept, white space collapsed, repeats dropped.
 SIMPLE = {
@@ -72,7 +73,8 @@ ACADEMIC_YEAR = r"(?i)\b(?:AY|Academic Year|FY|Financial Year)?\s*(\d{4})-(\d{2,
 
 def matches(text: Column, patterns) -> Column:
     """Distinct whole matches of all patterns, white space collapsed."""
-    found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in patterns])
+    none = F.array().cast("array<string>")
+    found = F.concat(*[F.when(~may_match(text, p), none).otherwise(F.regexp_extract_all(text, F.lit(p), F.lit(0))) for p in patterns])
     return F.array_distinct(F.transform(found, lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))))
 
 

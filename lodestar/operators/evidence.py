@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dictionaries as D
 from ..functions import extract as E
+from ..functions.text import may_match
 
 # Fixed values: (kind, confidence, pattern, group of the value).
 ENTITIES = (
@@ -83,7 +84,7 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
 
     none = F.array().cast(shape)
     # One search settles the texts without a match, which are most.
-    return F.when(text.rlike(pattern), F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])).otherwise(none)
+    return F.when(may_match(text, pattern) & text.rlike(pattern), F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])).otherwise(none)
 
 
 def found(df: DataFrame, id_col: str, text_col: str, rules, window: int = 50) -> DataFrame:
@@ -201,16 +202,17 @@ def relationships(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def metric_pairs(text: Column, most: int = 20) -> Column:
     """Names of rates, ratios and percentages that are given a value."""
-    return F.slice(F.regexp_extract_all(text, F.lit(r"([A-Za-z ]+ (?:rate|ratio|percentage)) (?:was|is|rose)"), F.lit(1)), 1, most)
+    pattern = r"([A-Za-z ]+ (?:rate|ratio|percentage)) (?:was|is|rose)"
+    return F.when(~may_match(text, pattern), F.array().cast("array<string>")).otherwise(F.slice(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), 1, most))
 
 
-def all_entities(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, kind, value): every kind of the first extractor at once, distinct."""
+def all_entities(df: DataFrame, id_col: str, text_col: str, orders: bool = True) -> DataFrame:
+    """(id, kind, value): every kind of the first extractor at once, distinct; ``orders`` adds government orders in their standard form."""
     t = F.coalesce(F.col(text_col), F.lit(""))
 
     def named(kind: str):
         return lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
 
-    each = [F.transform(E.matches(t, p), named(k)) for k, p in E.SIMPLE.items()] + [F.transform(E.order_references(t), named("go_refs"))]
+    each = [F.transform(E.matches(t, p), named(k)) for k, p in E.SIMPLE.items()] + [F.transform(E.order_references(t), named("go_refs"))] * orders
     return df.select(id_col, F.explode(reduce(F.concat, each)).alias("e")).select(id_col, "e.*")
 
