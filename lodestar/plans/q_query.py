@@ -87,7 +87,7 @@ _QW = f"WITH q AS (SELECT c_custkey, {_Q} AS query, lower({_Q}) AS q FROM custom
 
 
 def _queries(spark, sf):
-    return corpus.table(spark, sf, "customer").select("c_custkey", F.expr(_Q).alias("query"))
+    return corpus.dealt(corpus.table(spark, sf, "customer")).select("c_custkey", F.expr(_Q).alias("query"))
 
 
 _SC = {k: " + ".join([f"CASE WHEN {has('q', p)} THEN 0.4 ELSE 0 END" for p in v[0]] + [f"CASE WHEN contains(q, {lit(w)}) THEN 0.2 ELSE 0 END" for w in v[1]]) for k, v in N.INTENTS.items()}
