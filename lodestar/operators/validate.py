@@ -13,7 +13,8 @@ or over sets of tokens, on lower-case forms with white space for punctuation.
 from __future__ import annotations
 
 import re
-from itertools import combinations
+from collections.abc import Iterator
+from itertools import combinations, islice
 
 import pandas as pd
 import pyarrow as pa
@@ -24,6 +25,8 @@ SHORT, THRESHOLD = 16, 80
 MOST_DISTRICTS = 3
 #: Severity of a name that matches nothing; a metric then passes.
 INVALID = {"district": "error", "scheme": "warning"}
+#: Rows of a batch that a task emits: a long name has a thousand keys.
+ROWS = 20_000
 #: Kinds whose names are compared as sets of tokens.
 BY_TOKENS = ("scheme", "metric")
 
@@ -76,15 +79,17 @@ def token_set_ratio(a: str, b: str) -> int:
     return max(ratio(both, one), ratio(both, two), ratio(one, two))
 
 
-def with_keys(names: DataFrame) -> DataFrame:
-    """(kind, name, key) of names (kind, name)."""
+def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, name, key) of batches of (kind, name), at most ``ROWS`` rows at once."""
+    for b in batches:
+        rows = ((k, n, key) for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for key in keys(n))
+        while part := list(islice(rows, ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*part, strict=True)], names=["kind", "name", "key"])
 
-    def run(batches):
-        for b in batches:
-            rows = [(k, n, key) for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for key in sorted(keys(n))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["kind", "name", "key"])
 
-    return names.select("kind", "name").where(F.col("name").isNotNull()).mapInArrow(run, "kind string, name string, key string")
+def with_keys(names: DataFrame) -> DataFrame:
+    """(kind, name, key) of names (kind, name)."""
+    return names.select("kind", "name").where(F.col("name").isNotNull()).mapInArrow(keyed, "kind string, name string, key string")
 
 
 def scores(kind: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
@@ -93,11 +98,12 @@ def scores(kind: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
 
 def closest(names: DataFrame, dictionary: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(kind, name, match, score): for names (kind, name) the best entry (kind, name) at the threshold or above, of equal ones the first by name."""
-    n = with_keys(names.select("kind", "name").distinct())
+    # Names and pairs are small rows and much work: a fixed number of partitions, which adaptive execution leaves as it is.
+    parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = with_keys(names.select("kind", "name").distinct().repartition(parts, F.xxhash64("kind", "name")))  # by a hash: a plain repartition after distinct is left out
     e = with_keys(dictionary.select("kind", "name").distinct()).withColumnRenamed("name", "match")
     pairs = n.join(e, ["kind", "key"]).select("kind", "name", "match").distinct()
-    # Pairs are small rows and much work: a fixed number of partitions, which adaptive execution leaves as it is.
-    pairs = pairs.repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), "kind", "name")
+    pairs = pairs.repartition(parts, "kind", "name")
     near = pairs.withColumn("score", F.pandas_udf(scores, "int")("kind", "name", "match")).where(F.col("score") >= threshold)
     best = F.row_number().over(Window.partitionBy("kind", "name").orderBy(F.desc("score"), "match"))
     return near.withColumn("_rn", best).where("_rn = 1").select("kind", "name", "match", "score")
