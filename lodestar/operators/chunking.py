@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .sections import order_part, pack_parts, split_at
 
 # Fixed values.
@@ -14,9 +15,16 @@ LEGAL_HEADING = r"(?i)(?:Section|Article)\s+\d+(?:\([a-z]\))?[^\n]*"
 SUBSECTION = r"(?m)^\s*\((?:[a-z]|i{1,3}|[0-9]+)\)\s*[^\n]+"
 HOLDING = r"(?i)[^.!?]*\b(?:held|observed|ruled|decided|concluded)\b[^.!?]*[.!?]"
 SUMMARY = r"(?i)[^.!?]*\b(?:total|average|percentage|increase|decrease|shows)\b[^.!?]*[.!?]"
+TABLE_LINE = r"\d.*\s.*\d"
 REFERENCES = (r"(?i)Section\s+(\d+(?:\([a-z]\))?)", r"(?i)Article\s+(\d+)", r"(?i)Rule\s+(\d+)", r"(?i)G\.?O\.?\s*(?:Ms\.?|Rt\.?)?\s*No\.?\s*(\d+)", r"(?i)Chapter\s+(\d+)", r"(?i)clause\s+\(([a-z])\)", r"(?i)sub-section\s+\((\d+)\)")
 
 
+def sentences(text: Column, pattern: str) -> Column:
+    """What ``SUMMARY`` or ``HOLDING`` finds: the sentences with one of its words, each looked at once, where the pattern itself tries every place of a sentence."""
+    word = pattern.removeprefix("(?i)[^.!?]*").removesuffix("[^.!?]*[.!?]")
+    return F.filter(F.regexp_extract_all(text, F.lit(r"[^.!?]*+(?:[.!?]|\z)"), F.lit(0)), lambda x: x.rlike(r"[.!?]\z") & x.rlike("(?i)" + word))
+
+
 def titled_sections(df: DataFrame, id_col: str, text_col: str, heading: str) -> DataFrame:
     """(id, position, title, text) from one heading to the next; the whole text where there is none."""
     s = split_at(F.col(text_col), heading)
@@ -38,19 +46,32 @@ def subsections(text: Column) -> Column:
 
 def holdings(text: Column, least: int = 50) -> Column:
     """Sentences with a holding, longer than ``least`` characters."""
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(HOLDING), F.lit(0)), lambda x: F.trim(x)), lambda x: F.length(x) > least)
+    return F.filter(F.transform(sentences(text, HOLDING), lambda x: F.trim(x)), lambda x: F.length(x) > least)
 
 
 def facts(text: Column, n: int = 3) -> Column:
     return F.slice(F.filter(F.split(text, "\n\n"), lambda p: F.trim(p) != ""), 1, n)
 
 
-def table_runs(df: DataFrame, id_col: str, text_col: str, pattern: str = r"\d.*\s.*\d", keep_lines: bool = False) -> DataFrame:
+def runs_of_lines(text: Column, pattern: str) -> Column:
+    """(first_line, n_lines, lines) of each run of lines that have the pattern, in order, inside the row."""
+
+    def spans(lines):
+        def body(marked):
+            at = lambda i: F.coalesce(F.get(marked, i)["m"], F.lit(False))
+            first = F.filter(marked, lambda x: x["m"] & ~at(x["i"] - 1))
+            last = F.filter(marked, lambda x: x["m"] & ~at(x["i"] + 1))
+            return F.zip_with(first, last, lambda s, e: F.struct(s["i"].alias("first_line"), (e["i"] - s["i"] + 1).alias("n_lines"), F.slice(lines, s["i"] + 1, e["i"] - s["i"] + 1).alias("lines")))
+
+        return let(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.rlike(pattern).alias("m"))), body)
+
+    return let(F.split(text, "\n"), spans)
+
+
+def table_runs(df: DataFrame, id_col: str, text_col: str, pattern: str = TABLE_LINE, keep_lines: bool = False) -> DataFrame:
     """(id, first_line, n_lines[, lines]) of each run of lines that look like table rows (gaps and islands inside one text)."""
-    lines = df.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("line_no", "line")).where(F.col("line").rlike(pattern))
-    island = F.col("line_no") - F.row_number().over(Window.partitionBy(id_col).orderBy("line_no"))
-    more = [F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("lines")] if keep_lines else []
-    return lines.withColumn("i", island).groupBy(id_col, "i").agg(F.min("line_no").alias("first_line"), F.count("*").cast("int").alias("n_lines"), *more).drop("i")
+    r = df.select(id_col, F.explode(runs_of_lines(F.col(text_col), pattern)).alias("r"))
+    return r.select(id_col, "r.first_line", "r.n_lines", *["r.lines"] * keep_lines)
 
 
 def cross_references(text: Column) -> Column:
@@ -125,12 +146,11 @@ def judicial_chunks(df: DataFrame, id_col: str, text_col: str, least: int = 50)
 def data_chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, chunk_type, number, text): the sentences that sum up, and every run of table lines."""
     t = F.coalesce(F.col(text_col), F.lit(""))
-    found = F.transform(F.regexp_extract_all(t, F.lit(SUMMARY), F.lit(0)), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
-    sums = df.select(id_col, F.posexplode(found).alias("number", "text")).select(id_col, F.lit("data_summary").alias("chunk_type"), (F.col("number") + 1).alias("number"), "text")
-    runs = table_runs(df.select(id_col, t.alias("_t")), id_col, "_t", keep_lines=True)
-    k = F.row_number().over(Window.partitionBy(id_col).orderBy("first_line"))
-    tables = runs.select(id_col, F.lit("data_table").alias("chunk_type"), k.alias("number"), F.concat(F.lit("Table "), k.cast("string"), F.lit(":\n"), F.array_join("lines", "\n")).alias("text"))
-    return sums.unionByName(tables)
+    shape = "array<struct<chunk_type:string,number:int,text:string>>"
+    found = F.transform(sentences(t, SUMMARY), lambda x, i: F.struct(F.lit("data_summary"), i + 1, F.regexp_replace(x, r"^\s+|\s+$", ""))).cast(shape)
+    runs = runs_of_lines(t, TABLE_LINE)
+    tables = F.transform(runs, lambda r, i: F.struct(F.lit("data_table"), i + 1, F.concat(F.lit("Table "), (i + 1).cast("string"), F.lit(":\n"), F.array_join(r["lines"], "\n")))).cast(shape)
+    return df.select(id_col, F.explode(F.concat(found, tables)).alias("c")).select(id_col, "c.*")
 
 
 def enrich(text: Column, title: Column | None = None, prefix: int = 100) -> dict[str, Column]:
@@ -166,7 +186,7 @@ def chunk_documents(df: DataFrame, id_col: str, text_col: str, type_col: str, mo
         F.when(kind == "legal", as_chunks(sections, "legal_section"))
         .when(kind == "order", as_chunks(pack_parts(lines, most, "\n"), "go_order"))
         .when(kind == "judicial", F.concat(as_chunks(facts(t), "judicial_fact"), as_chunks(holdings(t), "judicial_holding")))
-        .when(kind == "data", as_chunks(F.transform(F.regexp_extract_all(t, F.lit(SUMMARY), F.lit(0)), lambda x: F.trim(x)), "data_summary"))
+        .when(kind == "data", as_chunks(F.transform(sentences(t, SUMMARY), lambda x: F.trim(x)), "data_summary"))
         .otherwise(general)
     )
     rows = df.select(id_col, F.posexplode(F.when(F.size(own) > 0, own).otherwise(general)).alias("chunk_no", "c"))
