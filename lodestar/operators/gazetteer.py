@@ -136,15 +136,20 @@ def match_names(docs: DataFrame, names: DataFrame, id_col: str = "doc_id", text_
     def choose(batches):
         for b in batches:
             out = []
-            for key, kind, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            # Column by column: a dictionary for each hit costs more than the choice.
+            flat, at = b.column(2).flatten(), 0
+            word, m, *more = (flat.field(i).to_pylist() for i in range(flat.type.num_fields))
+            for key, kind, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).value_lengths().to_pylist(), strict=True):
                 end = -1
-                for x in found.as_py():
-                    if x["word"] >= end:
-                        end = x["word"] - x["m"]
-                        out.append((key, kind, x["value"], x["confidence"], x["word"], -x["m"], x["start"], x["end"], *((x["context"],) if context else ())))
+                for i in range(at, at + size):
+                    if word[i] >= end:
+                        end = word[i] - m[i]
+                        value, confidence, *place = (c[i] for c in more)
+                        out.append((key, kind, value, confidence, word[i], -m[i], *place))
                         if len(out) == ROWS:
                             yield _batch(out, schema)
                             out = []
+                at += size
             yield _batch(out, schema)
 
     from pyspark.sql.pandas.types import to_arrow_type
