@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
+from ..sources.scratch import shared_folder
+from . import set_join
 
 # Signs of an amended version, in a title and in a text.
 AMENDED_TITLE = (r"\bamendment\b", r"\bamended\b", r"\bmodification\b", r"\brevised\b", r"\bupdated\b")
@@ -29,21 +31,12 @@ def duplicate_report(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str, threshold: float = 0.85) -> DataFrame:
     """Pairs (a, b, jaccard) of different texts with character-shingle Jaccard at or above the threshold.
 
-    Exact: copies are represented by their least id; of each set, taken in order of rising shingle
-    frequency, only the first n - ceil(t n) + 1 shingles can be all that a partner misses, so pairs
-    meet on those (prefix filter), are filtered by size and verified on the whole sets.
+    Exact: copies are represented by their least id; texts of like size are compared by bit sketches, which lose no
+    pair, and those that may reach the threshold are verified on the whole sets.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t")).groupBy(T.for_comparison(F.col("_t")).alias("norm")).agg(F.min("id").alias("id"))
-    sets = base.select("id", F.transform(T.char_shingles(F.col("norm"), normalized=True), lambda s: F.xxhash64(s)).alias("sh")).withColumn("k", F.size("sh"))
-    rows = sets.select("id", "k", F.explode("sh").alias("h"))
-    freq = rows.groupBy("h").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "h"))
-    prefix = rows.join(freq, "h").where("df > 1").withColumn("place", place).where(F.col("place") <= F.col("k") - F.ceil(F.lit(threshold) * F.col("k") - 1e-9) + 1).select("id", "k", "h")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    near = (F.col("a.id") < F.col("b.id")) & (F.least("a.k", "b.k") >= F.lit(threshold) * F.greatest("a.k", "b.k") - 1e-9)
-    pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("sh").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("sh").alias("y")), "b")
-    return both.select("a", "b", T.jaccard(F.col("x"), F.col("y")).alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-12).withColumn("jaccard", F.round("jaccard", 6))
+    pairs = set_join.similar_pairs(base.select("id", "norm"), shared_folder(docs.sparkSession, "near"), threshold)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round(F.col("common") / F.col("total"), 6).alias("jaccard"))
 
 
 @F.pandas_udf(DoubleType())

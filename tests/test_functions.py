@@ -1,8 +1,12 @@
+import random
+import re
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from lodestar.functions import classify, extract, quality
 from lodestar.functions import text as T
-from lodestar.operators import dedup, graph, retrieval, sections, understanding
+from lodestar.operators import dedup, graph, retrieval, sections, set_join, understanding
 
 
 def one(spark, value, f):
@@ -88,6 +92,88 @@ def test_dedup(spark):
     assert got == [(1, 2)]
 
 
+def comparison_form(t):
+    t = re.sub(r"\s+", " ", (t or "").lower(), flags=re.A)
+    return re.sub(r"[^\w\s\-.,;:!?]", "", t, flags=re.A).strip()
+
+
+def shingle_set(t):
+    return {t[i : i + 5] for i in range(max(1, len(t) - 4))}
+
+
+def like_texts():
+    """Texts of a small vocabulary, which share many shingles, and changed copies of some."""
+    r = random.Random(7)
+    words = ["".join(r.choices("abcdef", k=r.randint(2, 5))) for _ in range(60)]
+    texts = [" ".join(r.choices(words, k=r.randint(1, 90))) for _ in range(250)]
+    for i in range(150):
+        w = texts[i].split(" ")
+        for _ in range(r.randint(0, max(1, len(w) // 8))):
+            w[r.randrange(len(w))] = r.choice(words)
+        texts.append(" ".join(w + r.choices(words, k=r.randint(0, 1 + len(w) // 12))))
+    return texts
+
+
+def most_rows(plan):
+    """The most rows that a step of a plan that has run put out."""
+    kind = plan.getClass().getSimpleName()
+    inner = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else []
+    children = plan.children()
+    inner += [children.apply(i) for i in range(children.size())]
+    own = plan.metrics().get("numOutputRows")
+    return max([own.get().value() if own.isDefined() else 0, *map(most_rows, inner)])
+
+
+def test_near_duplicates_are_all_pairs(spark, monkeypatch):
+    """No pair is lost: not between shards, size classes or blocks, nor at the threshold itself."""
+    texts = [*like_texts(), "abcdefghijklmnopqrstu", "abcdefghijklmnopqrstuvwx", "Texts  that\u00e9 differ (only) in form", "texts that differ only in form", "aaaaaa", "aaaaaaaaa", "", None, "abc"]
+    forms = {}
+    for i, t in enumerate(texts):
+        forms.setdefault(comparison_form(t), i)
+    sets = [(i, shingle_set(t)) for t, i in forms.items()]
+    want = sorted((min(i, j), max(i, j), round(len(a & b) / len(a | b), 6)) for n, (i, a) in enumerate(sets) for j, b in sets[:n] if 100 * len(a & b) >= 85 * len(a | b))
+    assert len(want) > 40 and (400, 401, 0.85) in want
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    assert sorted(map(tuple, dedup.near_duplicates(d, "id", "text", 0.85).collect())) == want
+    monkeypatch.setattr(set_join, "SHARD_BYTES", 4096)
+    rows = dedup.near_duplicates(d, "id", "text", 0.85)
+    assert sorted(map(tuple, rows.collect())) == want
+
+
+def test_near_duplicates_do_not_meet_on_shingles(spark):
+    """Unlike texts with shingles in common send no row for each of them."""
+    texts = like_texts()
+    rows = dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text", 0.85)
+    assert rows.collect()
+    assert most_rows(rows._jdf.queryExecution().executedPlan()) < 10 * len(texts)
+
+
+def test_near_duplicates_block_by_block():
+    """Blocks of any size hold the same pairs, and sketches never differ in more bits than the sets in shingles."""
+    sets = sorted((set_join.shingles(comparison_form(t)) for t in like_texts()), key=len)
+    words = np.frombuffer(b"".join(set_join._sketch(s, 512) for s in sets), np.uint64).reshape(len(sets), -1)
+    k = np.array([len(s) for s in sets])
+    for x, y in zip(range(0, 300, 3), range(300, 0, -3), strict=True):
+        assert np.bitwise_count(words[x] ^ words[y]).sum() <= len(np.setxor1d(sets[x], sets[y]))
+
+    def pairs(rows, cols):
+        set_join.BLOCK_ROWS = rows, cols
+        return {(int(a), int(b)) for _, _, x, y in set_join._close(k, words, k, np.ascontiguousarray(words.T), 0.85, True) for a, b in zip(x, y, strict=True)}
+
+    kept = set_join.BLOCK_ROWS
+    try:
+        assert pairs(*kept) == pairs(3, 5)
+    finally:
+        set_join.BLOCK_ROWS = kept
+
+
+def test_comparison_form_is_that_of_the_rules(spark):
+    every = "".join(map(chr, range(128))) + "a\u00a0b \u00c9t\u00e9 \u0130 \u2028\u3000 \U0001f600 x & y \x85 "
+    want = T.rewrite(F.lower(F.col("x")), T.COMPARE_RULES)
+    for t in (every, "  & a  &  b & ", "", "&", "\u00a0 \t"):
+        assert one(spark, t, T.for_comparison) == spark.createDataFrame([(t,)], "x string").select(want.alias("y")).first()["y"]
+
+
 def test_ratio_is_difflib(spark):
     from difflib import SequenceMatcher
 
