@@ -22,6 +22,10 @@ SIZE = 5
 SHARD_BYTES = 2 << 20
 #: Shingles on one side of a block of pairs, which are compared and verified together, and its most rows.
 BLOCK_SHINGLES, BLOCK_ROWS = 1 << 20, (64, 1024)
+#: Bits of the number of a text, and of its group, among those that are compared together beside the 40 of a shingle.
+SLICE_BITS = 11
+#: Characters of texts that are compared together, unless a group has more.
+SLICE_CHARS = 1 << 20
 
 
 def shingles(norm: str) -> np.ndarray:
@@ -191,3 +195,101 @@ def similar_pairs(texts: DataFrame, folder: str, t: float) -> DataFrame:
     near = rows.repartition(max(cells, 1), "cell").sortWithinPartitions("cell").mapInArrow(_candidates(t), f"cell long, part long, i long, j long, id {kind}, met array<{kind}>")
     checked = near.join(kept.select("id", "norm"), "id").select(*block, "id", "norm", "met").repartition(*block).sortWithinPartitions(*block)
     return checked.mapInArrow(_verified, f"a {kind}, b {kind}, common long, total long").where(F.col("common") >= F.lit(t) * F.col("total") - 1e-9)
+
+
+def _common(norm: list[bytes], group: np.ndarray):
+    """(first, second, common, total) of each two texts of a group; the rows of a group, numbered from 0, lie together, 2 ** SLICE_BITS at most in all."""
+    size = np.array([len(x) for x in norm], np.int64)
+    data = np.frombuffer(b"".join(norm) + bytes(SIZE), np.uint8)
+    start = np.concatenate(([0], np.cumsum(size)[:-1]))
+    n = np.maximum(size - SIZE + 1, 1)
+    row = np.repeat(np.arange(len(norm)), n)
+    at = np.arange(len(row)) + np.repeat(start - np.concatenate(([0], np.cumsum(n)[:-1])), n)
+    code = np.zeros(len(row), np.uint64)
+    for i in range(SIZE):
+        code |= data[at + i].astype(np.uint64) << np.uint64(8 * i)
+    for i in np.flatnonzero(size < SIZE):  # a shorter text is one shingle
+        code[np.searchsorted(row, i)] = int.from_bytes(norm[i], "little")
+    bits = np.uint64(SLICE_BITS)
+    # Group, shingle, text: of a group, the texts with one shingle are neighbours.
+    key = (group[row].astype(np.uint64) << (bits + np.uint64(8 * SIZE))) | (code << bits) | row.astype(np.uint64)
+    key.sort()
+    key = key[np.concatenate(([True], key[1:] != key[:-1]))]
+    same, row = key >> bits, (key & np.uint64((1 << SLICE_BITS) - 1)).astype(np.int64)
+    sets = np.bincount(row, minlength=len(norm))
+    later = np.searchsorted(group, group, "right") - np.arange(len(group)) - 1  # rows of its group behind a row
+    base = np.concatenate(([0], np.cumsum(later)))
+    common, d = np.zeros(base[-1], np.int64), 1
+    while d < len(key):
+        x = np.flatnonzero(same[d:] == same[:-d])
+        if not len(x):
+            break
+        a, b = row[x], row[x + d]
+        common += np.bincount(base[a] + b - a - 1, minlength=len(common))
+        d += 1
+    first = np.repeat(np.arange(len(norm)), later)
+    second = np.arange(len(first)) - base[first] + first + 1
+    return first, second, common, sets[first] + sets[second] - common
+
+
+def _grouped(kind: pa.DataType):
+    """Pairs inside groups, from rows (group, id, pos, norm) that are sorted by the group."""
+
+    def pairs(t: pa.Table, group: np.ndarray, cross: int = 0):
+        """Of rows of whole groups; with ``cross``, of the one group's pairs only those over this row."""
+        first, second, common, total = _common([x.encode() for x in t["norm"].to_pylist()], group)
+        pos = t["pos"].to_numpy()
+        good = (pos[first] != pos[second]) & ((first < cross) & (second >= cross) if cross else True)
+        first, second, common, total = (x[good] for x in (first, second, common, total))
+        turned = pos[first] > pos[second]
+        a, b = np.where(turned, second, first), np.where(turned, first, second)
+        ids = t["id"].combine_chunks()
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(a)).cast(kind), ids.take(pa.array(b)).cast(kind), pa.array(common), pa.array(total)], ["a", "b", "common", "total"])
+
+    def whole(t: pa.Table):
+        """All pairs of whole groups."""
+        group = t["group"].to_numpy()
+        edges = np.concatenate(([0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]))
+        chars = np.concatenate(([0], np.cumsum([len(x) for x in t["norm"].to_pylist()])))
+        most, at = 1 << SLICE_BITS, 0
+        while at < len(edges) - 1:
+            lo = edges[at]
+            upto = max(at + 1, min(np.searchsorted(edges, lo + most, "right") - 1, np.searchsorted(chars[edges], chars[lo] + SLICE_CHARS, "right") - 1))
+            part = t.slice(lo, edges[upto] - lo)
+            if len(part) <= most:
+                yield pairs(part, np.repeat(np.arange(upto - at), np.diff(edges[at : upto + 1])))
+            else:  # a group with more rows, two blocks of it at a time
+                blocks = [part.slice(i, most // 2) for i in range(0, len(part), most // 2)]
+                for i, x in enumerate(blocks):
+                    yield pairs(x, np.zeros(len(x), np.int64))
+                    for y in blocks[i + 1 :]:
+                        yield pairs(pa.concat_tables([x, y]), np.zeros(len(x) + len(y), np.int64), len(x))
+            at = upto
+
+    def run(batches):
+        rest = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([rest, t]) if rest is not None else t
+            group = t["group"].to_numpy()
+            end = np.searchsorted(group, group[-1])  # the last group may go on
+            if end:
+                yield from whole(t.slice(0, end))
+            rest = t.slice(end)
+        if rest is not None:
+            yield from whole(rest)
+
+    return run
+
+
+def pairs_in_groups(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b, common, total) of rows (group, id, pos, norm) of one group with a.pos < b.pos; a group is a number, its rows lie together in one task in the order of groups.
+
+    The shingles of a text are made once, and those of many groups are sorted together.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = rows.schema["id"].dataType
+    return rows.select("group", "id", "pos", "norm").where("`group` IS NOT NULL AND pos IS NOT NULL").mapInArrow(_grouped(to_arrow_type(kind)), f"a {kind.simpleString()}, b {kind.simpleString()}, common long, total long")

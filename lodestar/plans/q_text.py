@@ -10,6 +10,7 @@ from ..functions import extract as E
 from ..functions import quality as Q
 from ..functions import text as T
 from ..operators import dedup as U
+from ..operators import set_join
 from . import corpus
 from .duck import count, has, lit, rewrite
 
@@ -373,12 +374,9 @@ def _(spark, sf):
     "SELECT a.chunk_id AS a, b.chunk_id AS b, round(len(list_intersect(a.sh, b.sh)) / len(list_distinct(a.sh || b.sh)), 6) AS jaccard FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.pos < b.pos",
 )
 def _(spark, sf):
-    # Texts meet by an exchange and are cut into shingles afterwards: the sets are some fifty times the size of the texts.
-    s = corpus.chunks(spark, sf).select("chunk_id", "doc_id", "pos", "text").repartition(corpus.tasks(corpus.table(spark, sf, "orders")), "doc_id")
-    a, b = s.alias("a"), s.hint("merge").alias("b")
-    j = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.pos") < F.col("b.pos")))
-    both = j.select(F.col("a.chunk_id").alias("a"), F.col("b.chunk_id").alias("b"), T.char_shingles(F.col("a.text")).alias("_a"), T.char_shingles(F.col("b.text")).alias("_b"))
-    return both.select("a", "b", F.round(T.jaccard(F.col("_a"), F.col("_b")), 6).alias("jaccard"))
+    c = corpus.chunks_by_document(spark, sf)
+    j = set_join.pairs_in_groups(c.select(F.col("doc_id").alias("group"), F.col("chunk_id").alias("id"), "pos", T.for_comparison(F.col("text")).alias("norm")))
+    return j.select("a", "b", F.round(F.col("common") / F.col("total"), 6).alias("jaccard"))
 
 
 @query(
