@@ -193,6 +193,8 @@ def test_postings_in_chunks_answer_a_table_of_queries(spark, docs, tmp_path, mon
         rows = lambda x: sorted((r.qid, r["rank"], r.doc_id, round(r.score, 7)) for r in x.top_batch(x.query_terms(queries, 10), 5, keep).collect())
         got = rows(c)
         assert got == rows(i) and len(got) > 60
+        unnamed = c.top_batch(c.query_terms(queries.selectExpr("IF(qid = 1, NULL, qid) AS qid", "text"), 10), 5, keep).where("qid IS NULL")
+        assert [r.doc_id for r in unnamed.orderBy("rank").collect()] == [d for q, _, d, _ in got if q == 1]
         size = lambda p: sum(f.stat().st_size for f in (place / p).rglob("*.parquet"))
         assert chunk == 300 or size("c") < size("i")
 
